@@ -1,40 +1,51 @@
-"""Tolerant parsers. Each returns NULL for text it cannot read and never raises in ANSI mode."""
+"""Tolerant parsers. Each returns NULL for text it cannot read and never raises in ANSI mode.
+
+They are written as chains in which every step uses the one before once: Spark substitutes
+expressions into each other, so a step that is used twice would double the generated code.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tabwise.functions.text import CURRENCY_CODES, PADDING, strip
+from tabwise.functions.text import CURRENCY_CODES, PADDING, WHITESPACE
 
-# try_cast also takes Java spellings ('1d', '1f', hex floats); the guard keeps those as text.
-_NUMBER = (
-    rf"(?i)^{PADDING}[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity){PADDING}$"
-)
+# try_cast also takes Java spellings ('1d', '1f', hex floats); the pattern keeps those as text.
+_NUMBER = rf"(?i)^{PADDING}([+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)){PADDING}$"
+_WHOLE = rf"^{PADDING}([+-]?\d+){PADDING}$"
 _SYMBOLS = "".join(CURRENCY_CODES)
 
-_ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?)?)?$"
 _CLOCK = r"( \d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?"
-_SLASHED = r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK + "$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_YEAR_LAST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + _CLOCK + "$"
-_DAY_NAME_YEAR = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4})" + _CLOCK + "$"
-_NAME_DAY_YEAR = r"^([A-Za-z]{3,9}) (\d{1,2}),? (\d{4})" + _CLOCK + "$"
-
-# The English month names.
+_ISO = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?)?)?$"
+# Spellings and their ISO form. With the year last the month comes first if that is possible.
+_REWRITES = [
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){_CLOCK}$", "$1-$2-$3$4"),
+    (rf"^(0?[1-9]|1[0-2])[/.-](\d{{1,2}})[/.-](\d{{4}}){_CLOCK}$", "$3-$1-$2$4"),
+    (rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_CLOCK}$", "$3-$2-$1$4"),
+    (rf"^(\d{{1,2}})[ -]([A-Za-z]{{3,9}})[ -](\d{{4}}){_CLOCK}$", "$3-$2-$1$4"),
+    (rf"^([A-Za-z]{{3,9}}) (\d{{1,2}}),? (\d{{4}}){_CLOCK}$", "$3-$1-$2$4"),
+]
+# The English month names and their short forms.
 _MONTHS = [
-    "january", "february", "march", "april", "may", "june", "july",
-    "august", "september", "october", "november", "december",
+    "jan(uary)?", "feb(ruary)?", "mar(ch)?", "apr(il)?", "may", "june?", "july?", "aug(ust)?",
+    "sept?(ember)?", "oct(ober)?", "nov(ember)?", "dec(ember)?",
 ]
 
 
 def number(c: Column) -> Column:
     """Text to double."""
-    return F.when(c.rlike(_NUMBER), strip(c).try_cast("double"))
+    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
+
+
+def whole_number(c: Column) -> Column:
+    """Text of digits to bigint."""
+    return F.regexp_extract(c, _WHOLE, 1).try_cast("bigint")
 
 
 def plain_number(c: Column) -> Column:
     """Text with thousands commas to double."""
-    return number(F.replace(c, F.lit(","), F.lit("")))
+    return number(F.translate(c, ",", ""))
 
 
 def percent_number(c: Column) -> Column:
@@ -52,49 +63,21 @@ def loose_number(c: Column) -> Column:
     return number(F.translate(c, _SYMBOLS + ",%", ""))
 
 
-def _iso(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
-
-
-def _month_number(name: Column) -> Column:
-    lowered = F.lower(name)
-    known = F.lit(None).cast("string")
-    for i, month in enumerate(_MONTHS, start=1):
-        known = F.when(lowered.isin(month, month[:3]), F.lit(str(i))).otherwise(known)
-    return F.when(lowered == "sept", F.lit("9")).otherwise(known)
-
-
 def timestamp(c: Column) -> Column:
-    """Text to ``timestamp_ntz``.
-
-    The shape of the text picks one rewrite to the ISO form, which ``try_cast`` reads without
-    raising. With the year last the month comes first unless that gives no valid date.
-    """
-    text = strip(c)
-    return (
-        F.when(text.rlike(_ISO), _iso(text))
-        .when(text.rlike(_COMPACT), _iso(F.regexp_replace(text, _COMPACT, "$1-$2-$3")))
-        .when(text.rlike(_SLASHED), _iso(F.regexp_replace(text, _SLASHED, "$1-$2-$3$4")))
-        .when(
-            text.rlike(_YEAR_LAST),
-            F.coalesce(
-                _iso(F.regexp_replace(text, _YEAR_LAST, "$3-$1-$2$4")),
-                _iso(F.regexp_replace(text, _YEAR_LAST, "$3-$2-$1$4")),
-            ),
-        )
-        .when(text.rlike(_DAY_NAME_YEAR), _iso(_with_month_name(text, _DAY_NAME_YEAR, 1, 2)))
-        .when(text.rlike(_NAME_DAY_YEAR), _iso(_with_month_name(text, _NAME_DAY_YEAR, 2, 1)))
-    )
-
-
-def _with_month_name(text: Column, pattern: str, day: int, month: int) -> Column:
-    group = [F.regexp_extract(text, pattern, i) for i in range(5)]
-    return F.concat(
-        group[3], F.lit("-"), _month_number(group[month]), F.lit("-"), group[day], group[4]
-    )
+    """Text to ``timestamp_ntz``: rewritten to the ISO form, which ``try_cast`` reads."""
+    text = F.btrim(c, F.lit(WHITESPACE))
+    for pattern, iso in _REWRITES:
+        text = F.regexp_replace(text, pattern, iso)
+    numbered = text
+    for i, name in enumerate(_MONTHS, start=1):
+        numbered = F.regexp_replace(numbered, f"(?i)-{name}-", f"-{i}-")
+    text = F.when(text.rlike("[A-Za-z]{3}"), numbered).otherwise(text)
+    return F.regexp_extract(text, _ISO, 0).try_cast("timestamp_ntz")
 
 
 def compact_date(c: Column) -> Column:
     """Eight-digit whole number (``20240105``) to ``timestamp_ntz``."""
     text = c.try_cast("bigint").cast("string")
-    return F.when(text.rlike(_COMPACT), _iso(F.regexp_replace(text, _COMPACT, "$1-$2-$3")))
+    return F.regexp_replace(
+        F.regexp_extract(text, _REWRITES[0][0], 0), _REWRITES[0][0], "$1-$2-$3"
+    ).try_cast("timestamp_ntz")

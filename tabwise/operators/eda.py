@@ -66,6 +66,7 @@ def describe_numeric(
     roles: list[ColumnRole] | DataFrame | None = None,
     measured: TableProfile | None = None,
     parts: Quartiles | None = None,
+    digits: int = 3,
 ) -> DataFrame:
     """Count, mean, deviation, quartiles, limits and skewness of each numeric column."""
     names = numeric_columns(df, as_roles(df, roles))
@@ -76,7 +77,7 @@ def describe_numeric(
     for c, s in stats.items():
         if c in parts:
             shown = [s.mean, s.std, s.low, *parts[c], s.high, s.skewness]
-            rows.append((c, s.count, *[round(x, 3) for x in shown]))
+            rows.append((c, s.count, *[round(x, digits) for x in shown]))
     return local_frame(
         df.sparkSession,
         rows,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwise.functions import parse
-from tabwise.functions.text import CSV_NULL_TOKENS, strip
+from tabwise.functions.text import CSV_NULL_TOKENS
 from tabwise.operators.frames import column, kinds
 
 # Delimiters looked for in a header line, in order of precedence.
@@ -52,7 +52,7 @@ def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
         wanted += [
             F.count(x).alias(f"values{i}"),
             F.count(parse.number(x)).alias(f"numbers{i}"),
-            F.count(_whole(x)).alias(f"wholes{i}"),
+            F.count(parse.whole_number(x)).alias(f"wholes{i}"),
             F.count_if(x.isin(TRUE_FALSE)).alias(f"booleans{i}"),
             F.max(x.contains(_REPLACEMENT)).alias(f"broken{i}"),
         ]
@@ -62,7 +62,7 @@ def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
         rows, values = row["rows"], row[f"values{i}"]
         broken = broken or bool(row[f"broken{i}"])
         if row[f"wholes{i}"] == rows and rows:
-            typed[c] = _whole(x)
+            typed[c] = parse.whole_number(x)
         elif row[f"numbers{i}"] == values:
             typed[c] = parse.number(x)
         elif row[f"booleans{i}"] == rows:
@@ -76,11 +76,6 @@ def _known(c: Column) -> Column:
     return F.when(~c.isin(CSV_NULL_TOKENS), c)
 
 
-def _whole(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-
-
 def load_csv(
     spark: SparkSession,
     path: str | Sequence[str],
