@@ -10,9 +10,7 @@ import tabwise as tw
 from catalog.inputs import TABLES, messy_orders, table
 from tabwise.functions import parse
 from tabwise.operators import charts, cleaning, eda, reporting, roles as role_ops
-from tabwise.operators.frames import (
-    column, kinds, local_frame, nan_to_null, scratch_path,
-)
+from tabwise.operators.frames import kinds, local_frame, scratch_path
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.samples import first_values
 from tabwise.plans.charts import ChartSpec
@@ -314,9 +312,9 @@ over_tables("select_kpis", ["lineitem", "orders", "events", "part"], _figures)
 def select_kpis_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     messy = cleaning.normalise_names(messy_orders(spark, folder))
     plan = cleaning.plan_cleaning(messy)
-    cleaned, audit = cleaning.finish_cleaning(messy, plan)
+    cleaned, _ = cleaning.finish_cleaning(messy, plan)
     roles = role_ops.infer_roles(cleaning.cleaned_head(messy, plan))
-    return rounded(tw.select_kpis(cleaned, roles, symbols=audit.currencies), value=2)
+    return rounded(tw.select_kpis(cleaned, roles, symbols=plan.audit.currencies), value=2)
 
 
 @query

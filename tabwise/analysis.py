@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwise.functions.text import collapse_spaces
 from tabwise.operators import charts, eda, kpi, reporting, validation
 from tabwise.operators.cleaning import (
-    Audit, Cleaning, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
+    Audit, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
 )
-from tabwise.operators.frames import at_once, local_frame, nan_to_null
+from tabwise.operators.frames import at_once, local_frame, nan_to_null, written
 from tabwise.operators.profile import profile
 from tabwise.operators.roles import infer_roles, roles_frame
 from tabwise.plans.charts import ChartSpec
 from tabwise.plans.measures import TableProfile
 from tabwise.plans.roles import ColumnRole
 from tabwise.sources.bundle import write_report
-from tabwise.sources.load import load_table
+from tabwise.sources.load import CSV_NAME, load_table
 
 Result = TypeVar("Result")
 
@@ -86,12 +86,14 @@ def analyze(
     out: str | None = None,
     min_parse_ratio: float = 0.0,
     fmt: str = "parquet",
+    scan: DataFrame | None = None,
 ) -> Report:
     """Analyse a table and, with ``out``, write the report bundle.
 
     The number of Spark jobs does not depend on the number of rows or columns (but for very wide
     correlation matrices). ``order_by`` names the column whose order defines "first rows"; without
-    it that is scan order. A failing optional stage is noted in ``warnings`` and left out.
+    it that is scan order. ``scan`` may hold the same rows in a form that is cheaper to read in
+    full. A failing optional stage is noted in ``warnings`` and left out.
     """
     notes: list[str] = []
 
@@ -104,26 +106,35 @@ def analyze(
             return otherwise
 
     raw = nan_to_null(normalise_names(df))
+    whole = raw if scan is None else nan_to_null(normalise_names(scan))
     order_by = collapse_spaces(order_by) if order_by else None
-    first, raw_roles = at_once(
-        spark,
-        lambda: profile(raw),
-        lambda: attempt("roles", lambda: infer_roles(raw, order_by=order_by), []),
-    )
-    summary, checked, (cleaning, cleaned, audit) = at_once(
-        spark,
-        lambda: attempt("summary", lambda: validation.table_summary(raw, first), None),
-        lambda: attempt("validation", lambda: validation.validate(raw, first), None),
-        lambda: _cleaned(raw, raw_roles, order_by, min_parse_ratio),
-    )
-    roles, measured = at_once(
-        spark,
-        lambda: attempt(
-            "roles of the cleaned table",
-            lambda: infer_roles(cleaned_head(raw, cleaning, order_by=order_by)),
-            raw_roles,
-        ),
-        lambda: profile(cleaned),
+
+    def checks() -> tuple[DataFrame | None, DataFrame | None]:
+        first = profile(whole)
+        return tuple(
+            at_once(
+                spark,
+                lambda: attempt("summary", lambda: validation.table_summary(whole, first), None),
+                lambda: attempt("validation", lambda: validation.validate(whole, first), None),
+            )
+        )
+
+    def cleaning_chain() -> tuple:
+        before = attempt("roles", lambda: infer_roles(raw, order_by=order_by), [])
+        cleaning = plan_cleaning(raw, before, order_by, min_parse_ratio, whole)
+        (table, found), after = at_once(
+            spark,
+            lambda: finish_cleaning(whole, cleaning),
+            lambda: attempt(
+                "roles of the cleaned table",
+                lambda: infer_roles(cleaned_head(raw, cleaning, order_by=order_by)),
+                before,
+            ),
+        )
+        return before, after, table, found, cleaning.audit
+
+    (summary, checked), (raw_roles, roles, cleaned, measured, audit) = at_once(
+        spark, checks, cleaning_chain
     )
     symbols = audit.currencies
     sections, figures, (specs, tables) = at_once(
@@ -156,13 +167,6 @@ def analyze(
     return report
 
 
-def _cleaned(
-    raw: DataFrame, roles: list[ColumnRole], order_by: str | None, min_parse_ratio: float
-) -> tuple[Cleaning, DataFrame, Audit]:
-    cleaning = plan_cleaning(raw, roles, order_by, min_parse_ratio)
-    return cleaning, *finish_cleaning(raw, cleaning)
-
-
 def _charts(
     df: DataFrame, roles: list[ColumnRole], measured: TableProfile
 ) -> tuple[list[ChartSpec], DataFrame]:
@@ -196,6 +200,11 @@ def describe(
 def analyze_path(
     spark: SparkSession, path: str, out: str | None = None, fmt: str | None = None, **options
 ) -> Report:
-    """Load a file or directory and analyse it."""
-    table, _ = load_table(spark, path, fmt)
-    return analyze(spark, table, out=out, **options)
+    """Load a file or directory and analyse it.
+
+    Text formats are parsed once and kept as a columnar copy in the shared scratch folder, which
+    the passes over the whole table read.
+    """
+    table, name = load_table(spark, path, fmt)
+    scan = written(table) if fmt in ("csv", "json") or name == CSV_NAME else None
+    return analyze(spark, table, out=out, scan=scan, **options)

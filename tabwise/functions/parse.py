@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from tabwise.functions.text import CURRENCY_CODES, PADDING, WHITESPACE
 
 # try_cast also takes Java spellings ('1d', '1f', hex floats); the pattern keeps those as text.
-_NUMBER = rf"(?i)^{PADDING}([+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)){PADDING}$"
+_NUMBER = rf"(?i)^{PADDING}[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity){PADDING}$"
 _WHOLE = rf"^{PADDING}([+-]?\d+){PADDING}$"
 _SYMBOLS = "".join(CURRENCY_CODES)
 
@@ -34,8 +34,8 @@ _MONTHS = [
 
 
 def number(c: Column) -> Column:
-    """Text to double."""
-    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
+    """Text to double. Only text of the right form is cast, for a failing cast is slow."""
+    return F.when(c.rlike(_NUMBER), F.btrim(c, F.lit(WHITESPACE)).try_cast("double"))
 
 
 def whole_number(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 # Every character that counts as white space when a cell is stripped (all lie below U+3001).
@@ -14,7 +12,6 @@ MISSING_TOKENS = ["", "na", "n/a", "null", "none", "-", "--", "nan", "undefined"
 
 # White space at either end, as a regular expression.
 PADDING = f"[{WHITESPACE}]*"
-_MISSING = f"(?i)^{PADDING}({'|'.join(re.escape(t) for t in MISSING_TOKENS)}){PADDING}$"
 
 # Cell texts a CSV load reads as missing (exact spelling).
 CSV_NULL_TOKENS = [
@@ -33,16 +30,23 @@ LONG_TEXT = 64
 def strip(c: Column) -> Column:
     """Remove white space at both ends.
 
-    Most cells begin and end with a printable ASCII character; testing that first is cheaper than
+    Most cells begin and end with a printable ASCII character; comparing these two is cheaper than
     looking every end up in the whole set.
     """
-    clean = c.rlike(r"^[!-~](?s:.*[!-~])?$")
+    clean = _printable(c) & _printable(F.substring(c, -1, 1))
     return F.when(clean, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
+def _printable(c: Column) -> Column:
+    """Whether text begins with a character from ``!`` to ``~``."""
+    return (c >= F.lit("!")) & (c < F.lit("\x7f"))
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, or NULL where the trimmed text is a missing-value token."""
-    return F.when(~c.rlike(_MISSING), strip(c))
+    text = strip(c)
+    longer = F.length(text) > max(map(len, MISSING_TOKENS))
+    return F.when(longer | ~F.lower(text).isin(MISSING_TOKENS), text)
 
 
 def grouping_key(c: Column) -> Column:

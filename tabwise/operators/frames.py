@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 import pyarrow as pa
@@ -17,6 +18,9 @@ Result = TypeVar("Result")
 
 # Groups that share the work of the first of two top-n levels.
 _TOP_GROUPS = 1024
+# Data per shuffle partition, and a bound for plans whose size Spark cannot tell.
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 100_000
 
 
 def kind(data_type: T.DataType) -> str:
@@ -133,6 +137,36 @@ def first_rows(df: DataFrame, n: int, order_by: str | None = None) -> DataFrame:
     return local_frame(df.sparkSession, df.take(n), df.schema)
 
 
+def leading_rows(df: DataFrame, n: int, order_by: str | None = None) -> DataFrame:
+    """Like ``first_rows``, but left distributed, for a larger ``n``."""
+    return df.limit(n) if order_by is None else top_n(df, n, column(order_by))
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[None]:
+    """Start shuffles of the whole table with enough partitions for its size.
+
+    Adaptive execution merges small partitions but never splits a large one of an aggregate, so
+    the start must fit the data. A higher setting of the session is kept.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = int(str(size)) // PARTITION_BYTES
+    before = spark.conf.get(name, None)
+    current = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted <= current:
+        yield
+        return
+    spark.conf.set(name, min(wanted, MOST_PARTITIONS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

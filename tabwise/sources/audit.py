@@ -42,9 +42,12 @@ def audit_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> Da
         error = f"File not found: {path}"
         rows = [(path, False, "unknown", 0, 0, None, None, error)]
         return local_frame(spark, rows, AUDIT_SCHEMA)
-    listed = files.select(
+    # The scan leaves out empty files, which the listing behind it knows.
+    names = local_frame(spark, [(name,) for name in files.inputFiles()], "path string")
+    sizes = files.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
     )
+    listed = names.join(sizes, "path", "left").fillna(0, ["bytes"])
     contents = _contents(spark, path, limits)
     return _verdicts(listed.join(contents, "path", "left"), limits)
 

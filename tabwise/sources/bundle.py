@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwise.functions.display import export_safe
-from tabwise.operators.frames import column, first_rows, kinds, local_frame
+from tabwise.operators.frames import column, first_rows, kinds, leading_rows, local_frame
 
 if TYPE_CHECKING:
     from tabwise.analysis import Report
@@ -53,7 +53,7 @@ def cleaned_export(
     if max_rows is None or rows <= max_rows:
         return df, f"Cleaned Data — {rows:,} rows"
     title = f"Cleaned Data — first {max_rows:,} of {rows:,} rows"
-    return first_rows(df, max_rows, order_by), title
+    return leading_rows(df, max_rows, order_by), title
 
 
 def write_report(
