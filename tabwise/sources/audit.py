@@ -44,21 +44,30 @@ def audit_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> Da
         return local_frame(spark, rows, AUDIT_SCHEMA)
     # The scan leaves out empty files, which the listing behind it knows.
     names = local_frame(spark, [(name,) for name in files.inputFiles()], "path string")
+    names = names.select(_same_form(F.col("path")).alias("path"))
     sizes = files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
+        _same_form(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_size").alias("bytes"),
     )
     listed = names.join(sizes, "path", "left").fillna(0, ["bytes"])
     contents = _contents(spark, path, limits)
     return _verdicts(listed.join(contents, "path", "left"), limits)
 
 
+def _same_form(path: Column) -> Column:
+    """Local paths are listed as ``file:/a`` and read as ``file:///a``."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def _contents(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     size = F.col("_metadata.file_size")
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return (
         lines.filter((size > 0) & (size <= limits.file_bytes))
-        .select(F.col("_metadata.file_path").alias("path"), "value", place.alias("place"))
+        .select(
+            _same_form(F.col("_metadata.file_path")).alias("path"), "value", place.alias("place")
+        )
         .groupBy("path")
         .agg(
             F.min_by("value", "place").alias("header"),
