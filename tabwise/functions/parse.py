@@ -43,29 +43,39 @@ def whole_number(c: Column) -> Column:
     return F.regexp_extract(c, _WHOLE, 1).try_cast("bigint")
 
 
+def _without(c: Column, characters: str) -> Column:
+    for ch in characters:
+        c = F.replace(c, F.lit(ch), F.lit(""))
+    return c
+
+
 def plain_number(c: Column) -> Column:
     """Text with thousands commas to double."""
-    return number(F.translate(c, ",", ""))
+    return number(_without(c, ","))
 
 
 def percent_number(c: Column) -> Column:
     """``'25%'`` to 0.25. Commas are not removed."""
-    return number(F.translate(c, "%", "")) / F.lit(100.0)
+    return number(_without(c, "%")) / F.lit(100.0)
 
 
 def currency_number(c: Column) -> Column:
     """``'₹1,500.00'`` to 1500.0."""
-    return number(F.translate(c, _SYMBOLS + ",", ""))
+    return number(_without(c, _SYMBOLS + ","))
 
 
 def loose_number(c: Column) -> Column:
     """Number test used by role detection: commas, percent and currency signs are ignored."""
-    return number(F.translate(c, _SYMBOLS + ",%", ""))
+    return number(_without(c, _SYMBOLS + ",%"))
 
 
 def timestamp(c: Column) -> Column:
-    """Text to ``timestamp_ntz``: rewritten to the ISO form, which ``try_cast`` reads."""
+    """Text to ``timestamp_ntz``: ISO text directly, other spellings rewritten to it first."""
     text = F.btrim(c, F.lit(WHITESPACE))
+    return F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")).otherwise(_other_spelling(text))
+
+
+def _other_spelling(text: Column) -> Column:
     for pattern, iso in _REWRITES:
         text = F.regexp_replace(text, pattern, iso)
     numbered = text

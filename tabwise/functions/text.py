@@ -42,11 +42,13 @@ def _printable(c: Column) -> Column:
     return (c >= F.lit("!")) & (c < F.lit("\x7f"))
 
 
-def blank_to_null(c: Column) -> Column:
-    """Trimmed text, or NULL where the trimmed text is a missing-value token."""
-    text = strip(c)
-    longer = F.length(text) > max(map(len, MISSING_TOKENS))
-    return F.when(longer | ~F.lower(text).isin(MISSING_TOKENS), text)
+def token_to_null(stripped: Column) -> Column:
+    """Stripped text, or NULL where it is a missing-value token.
+
+    The argument is used three times, so strip in a projection of its own.
+    """
+    longer = F.length(stripped) > max(map(len, MISSING_TOKENS))
+    return F.when(longer | ~F.lower(stripped).isin(MISSING_TOKENS), stripped)
 
 
 def grouping_key(c: Column) -> Column:

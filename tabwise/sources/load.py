@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwise.functions import parse
 from tabwise.functions.text import CSV_NULL_TOKENS
-from tabwise.operators.frames import column, kinds
+from tabwise.operators.frames import column, kinds, long_form
 
 # Delimiters looked for in a header line, in order of precedence.
 DELIMITERS = [",", ";", "\t"]
@@ -19,6 +19,9 @@ CSV_NAME = "CSV Data"
 # What a decoder puts in place of bytes it cannot read.
 _REPLACEMENT = "\ufffd"
 
+# Stands for the table itself among the columns that are counted.
+_ROWS = ""
+
 _FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
 
 
@@ -46,29 +49,34 @@ def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
     texts = [c for c, k in kinds(df).items() if k == "text"]
     if not texts:
         return df, False
-    cells = {c: _known(column(c)) for c in texts}
-    wanted = [F.count(F.lit(1)).alias("rows")]
-    for i, x in enumerate(cells.values()):
-        wanted += [
-            F.count(x).alias(f"values{i}"),
-            F.count(parse.number(x)).alias(f"numbers{i}"),
-            F.count(parse.whole_number(x)).alias(f"wholes{i}"),
-            F.count_if(x.isin(TRUE_FALSE)).alias(f"booleans{i}"),
-            F.max(x.contains(_REPLACEMENT)).alias(f"broken{i}"),
-        ]
-    row = df.agg(*wanted).first()
+    value = F.col("value")
+    rows = (
+        long_form(df, {_ROWS: F.lit("")} | {c: _known(column(c)) for c in texts})
+        .groupBy("column_name")
+        .agg(
+            F.count(value).alias("values"),
+            F.count(parse.number(value)).alias("numbers"),
+            F.count(parse.whole_number(value)).alias("wholes"),
+            F.count_if(value.isin(TRUE_FALSE)).alias("booleans"),
+            F.max(value.contains(_REPLACEMENT)).alias("broken"),
+        )
+        .collect()
+    )
+    found = {r["column_name"]: r for r in rows}
+    total = found[_ROWS]["values"] if rows else 0
     typed, broken = {}, False
-    for i, (c, x) in enumerate(cells.items()):
-        rows, values = row["rows"], row[f"values{i}"]
-        broken = broken or bool(row[f"broken{i}"])
-        if row[f"wholes{i}"] == rows and rows:
-            typed[c] = parse.whole_number(x)
-        elif row[f"numbers{i}"] == values:
+    for c in texts:
+        x, seen = _known(column(c)), found.get(c)
+        if seen is None or seen["numbers"] == seen["values"]:
             typed[c] = parse.number(x)
-        elif row[f"booleans{i}"] == rows:
+        elif seen["booleans"] == total:
             typed[c] = x.cast("boolean")
         else:
             typed[c] = x
+        if seen is not None:
+            broken = broken or seen["broken"]
+            if seen["wholes"] == total:
+                typed[c] = parse.whole_number(x)
     return df.withColumns(typed), broken
 
 

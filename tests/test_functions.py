@@ -32,7 +32,7 @@ def test_missing_tokens(spark):
             return None
         return c.strip()
 
-    assert values(spark, text.blank_to_null, CELLS) == [expected(c) for c in CELLS]
+    assert values(spark, lambda c: text.token_to_null(text.strip(c)), CELLS) == [expected(c) for c in CELLS]
 
 
 def test_strip_random_text(spark):
