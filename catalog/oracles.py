@@ -708,3 +708,36 @@ SELECT 'chart_1' AS chart_id,
 UNION ALL SELECT 'chart_2', least((SELECT count(DISTINCT o_orderstatus) FROM orders), 20)
 UNION ALL SELECT 'chart_3', least((SELECT count(DISTINCT o_orderpriority) FROM orders), 6)
 UNION ALL SELECT 'chart_4', least((SELECT count(*) FROM orders), 100)"""
+
+
+# --- whole analysis --------------------------------------------------------------------------
+
+_CLEANED_CHARTS = _specs(
+    "cleaned",
+    [
+        ("line", "Amount Over Time", "order_date", "amount", "sum",
+         "Time series trend of amount across order_date.", "count(order_date) > 0"),
+        ("bar", "Total Amount by Status", "status", "amount", "sum",
+         "Comparison of amount across status categories.", "count(DISTINCT status) BETWEEN 2 AND 6"),
+        ("pie", "Amount Distribution by Status", "status", "amount", "sum",
+         "Proportional share of amount across status segments.", "min(amount) >= 0"),
+        ("bar", "Top 10 Customer Names by Amount", "Customer Name", "amount", "top10_sum",
+         "Leaderboard ranking top 10 Customer Name performers by amount.",
+         'count(DISTINCT "Customer Name") > 20'),
+    ],
+)
+ORACLES["analyze_dashboard"] = f"""
+WITH {CLEANED_SQL},
+figures AS ({_select_kpis(_offered(_CLEANED_MEASURES, "cleaned", "$"), "cleaned")}),
+totals AS (SELECT (SELECT count(*) FROM cleaned) AS kept, (SELECT count(*) FROM messy) AS given,
+  (SELECT {_GAPS} FROM marked) AS gaps),
+summary AS (SELECT unnest([1, 2, 3, 4]) AS position, unnest(['Total Rows', 'Total Columns',
+    'Duplicate Rows Removed', 'Missing Values Cleaned']) AS label,
+  unnest([kept, 7, given - kept, gaps]) AS n FROM totals),
+charts AS ({_CLEANED_CHARTS})
+SELECT 'kpi' AS section, CAST(rank AS INTEGER) AS position, label, value, formatted_value AS text,
+  role, number_format FROM figures
+UNION ALL SELECT 'summary', position, label, CAST(n AS DOUBLE), format('{{:,}}', n), 'count', '#,##0'
+FROM summary
+UNION ALL SELECT 'chart', CAST(right(chart_id, 1) AS INTEGER), title, NULL, description, chart_type,
+  NULL FROM charts"""

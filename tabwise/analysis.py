@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,14 +15,16 @@ from tabwise.operators import charts, eda, kpi, reporting, validation
 from tabwise.operators.cleaning import (
     Audit, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
 )
-from tabwise.operators.frames import at_once, local_frame, nan_to_null, written
+from tabwise.operators.frames import at_once, local_frame, nan_to_null, sized_shuffles, written
 from tabwise.operators.profile import profile
 from tabwise.operators.roles import infer_roles, roles_frame
 from tabwise.plans.charts import ChartSpec
 from tabwise.plans.measures import TableProfile
 from tabwise.plans.roles import ColumnRole
+from tabwise.sources.audit import Limits, audit_files
 from tabwise.sources.bundle import write_report
 from tabwise.sources.load import CSV_NAME, load_table
+from tabwise.sources.ranking import rank_tables
 
 Result = TypeVar("Result")
 
@@ -48,6 +51,7 @@ class Report:
     charts: list[ChartSpec]
     chart_tables: DataFrame
     warnings: list[str] = field(default_factory=list)
+    seconds: float = 0.0
 
     @property
     def spark(self) -> SparkSession:
@@ -96,6 +100,7 @@ def analyze(
     full. A failing optional stage is noted in ``warnings`` and left out.
     """
     notes: list[str] = []
+    started = time.perf_counter()
 
     def attempt(stage: str, run: Callable[[], Result], otherwise: Result) -> Result:
         try:
@@ -109,6 +114,24 @@ def analyze(
     whole = raw if scan is None else nan_to_null(normalise_names(scan))
     order_by = collapse_spaces(order_by) if order_by else None
 
+    with sized_shuffles(whole):
+        report = _run(raw, whole, order_by, min_parse_ratio, attempt)
+        report.warnings = notes
+        if out is not None:
+            write_report(report, out, fmt)
+    report.seconds = time.perf_counter() - started
+    return report
+
+
+def _run(
+    raw: DataFrame,
+    whole: DataFrame,
+    order_by: str | None,
+    min_parse_ratio: float,
+    attempt: Callable,
+) -> Report:
+    spark = raw.sparkSession
+
     def checks() -> tuple[DataFrame | None, DataFrame | None]:
         first = profile(whole)
         return tuple(
@@ -134,7 +157,7 @@ def analyze(
         return before, after, table, found, cleaning.audit
 
     (summary, checked), (raw_roles, roles, cleaned, measured, audit) = at_once(
-        spark, checks, cleaning_chain
+        spark, lambda: attempt("checks", checks, (None, None)), cleaning_chain
     )
     symbols = audit.currencies
     sections, figures, (specs, tables) = at_once(
@@ -147,7 +170,7 @@ def analyze(
         ),
         lambda: attempt("charts", lambda: _charts(cleaned, roles, measured), ([], None)),
     )
-    report = Report(
+    return Report(
         raw=raw,
         cleaned=cleaned,
         audit=audit,
@@ -160,11 +183,7 @@ def analyze(
         kpis=figures,
         charts=specs,
         chart_tables=tables or charts.chart_tables(cleaned, []),
-        warnings=notes,
     )
-    if out is not None:
-        write_report(report, out, fmt)
-    return report
 
 
 def _charts(
@@ -198,13 +217,30 @@ def describe(
 
 
 def analyze_path(
-    spark: SparkSession, path: str, out: str | None = None, fmt: str | None = None, **options
+    spark: SparkSession,
+    path: str,
+    out: str | None = None,
+    fmt: str | None = None,
+    limits: Limits | None = None,
+    **options,
 ) -> Report:
-    """Load a file or directory and analyse it.
+    """Load a file or directory and analyse it. With ``limits`` the files are checked first.
 
     Text formats are parsed once and kept as a columnar copy in the shared scratch folder, which
     the passes over the whole table read.
     """
+    if limits is not None:
+        refused = audit_files(spark, path, limits).filter("NOT valid").take(1)
+        if refused:
+            raise ValueError(refused[0]["error"])
     table, name = load_table(spark, path, fmt)
     scan = written(table) if fmt in ("csv", "json") or name == CSV_NAME else None
     return analyze(spark, table, out=out, scan=scan, **options)
+
+
+def analyze_tables(
+    spark: SparkSession, tables: dict[str, DataFrame], **options
+) -> tuple[str, Report]:
+    """Choose the table that holds the data, like a sheet of a workbook, and analyse it."""
+    best = rank_tables(tables).filter("selected").first()["table_name"]
+    return best, analyze(spark, tables[best], **options)

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.text import LONG_TEXT, grouping_key
-from tabwise.operators.frames import as_double, column, is_numeric, kinds, local_frame, long_form, top_n
+from tabwise.operators.frames import (
+    as_double, column, is_numeric, kinds, local_frame, long_form, sized_shuffles, top_n,
+)
 from tabwise.operators.frequency import value_counts
 from tabwise.operators.profile import profile
 from tabwise.operators.quantiles import exact_quantiles
@@ -107,7 +109,10 @@ def top_categories(df: DataFrame, rows: int | None = None, k: int = TOP_VALUES)
         F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("present")
     )
     order = F.struct((-F.col("n")).alias("n"), F.col("value"))
-    best = top_n(counted, k, order, ["column_name"]).join(F.broadcast(unique), "column_name").collect()
+    ranked = top_n(counted, k, order, ["column_name"], levels=1)
+    # One row per column on the broadcast side, so its size is that of the schema.
+    with sized_shuffles(df):
+        best = ranked.join(F.broadcast(unique), "column_name").collect()
     position = {c: i for i, c in enumerate(names)}
     best.sort(key=lambda r: (position[r["column_name"]], -r["n"], r["value"]))
     table, rank = [], {}
@@ -121,7 +126,8 @@ def top_categories(df: DataFrame, rows: int | None = None, k: int = TOP_VALUES)
 
 
 def _with_texts(df: DataFrame, result: DataFrame, digested: list[tuple[str, str]]) -> DataFrame:
-    """Replace the few digests in ``result`` by the texts they stand for."""
+    """Replace the few digests in ``result`` (ten per column at most, hence the broadcast) by the
+    texts they stand for."""
     spark = df.sparkSession
     columns = list(dict.fromkeys(c for c, _ in digested))
     wanted = F.broadcast(local_frame(spark, digested, "column_name string, digest string"))

@@ -18,9 +18,10 @@ Result = TypeVar("Result")
 
 # Groups that share the work of the first of two top-n levels.
 _TOP_GROUPS = 1024
-# Data per shuffle partition, and a bound for plans whose size Spark cannot tell.
-PARTITION_BYTES = 128 * 1024 * 1024
-MOST_PARTITIONS = 100_000
+# Stored data per shuffle partition (it takes two to four times that in a shuffle), and a bound
+# that keeps the bookkeeping of a shuffle small on the driver.
+PARTITION_BYTES = 64 * 1024 * 1024
+MOST_PARTITIONS = 30_000
 
 
 def kind(data_type: T.DataType) -> str:
@@ -103,19 +104,23 @@ def long_form(
     return df.select(*carried, F.inline(F.array(*entries))).filter("value IS NOT NULL")
 
 
-def top_n(df: DataFrame, n: int, order: Column, within: Sequence[str] = ()) -> DataFrame:
+def top_n(
+    df: DataFrame, n: int, order: Column, within: Sequence[str] = (), levels: int = 2
+) -> DataFrame:
     """The first ``n`` rows by ``order`` (per ``within`` group), in two levels.
 
     A task keeps ``n`` rows per group, so ranking all of them at once would send (tasks × n)
     rows to one place. The first level ranks inside many small groups of tasks, the second
-    ranks what these keep.
+    ranks what these keep. One level is enough for a small ``n`` after a shuffle.
     """
     salt, rank = "__salt", "__rank"
     groups = [column(c) for c in within]
     salted = df.withColumn(salt, F.spark_partition_id() % F.lit(_TOP_GROUPS))
     first = Window.partitionBy(*groups, salt).orderBy(order)
-    kept = salted.withColumn(rank, F.row_number().over(first)).filter(column(rank) <= n)
-    kept = kept.drop(salt, rank)
+    kept = df
+    if levels > 1:
+        kept = salted.withColumn(rank, F.row_number().over(first)).filter(column(rank) <= n)
+        kept = kept.drop(salt, rank)
     if not groups:
         return kept.orderBy(order).limit(n)
     second = Window.partitionBy(*groups).orderBy(order)
@@ -168,9 +173,12 @@ def sized_shuffles(df: DataFrame) -> Iterator[None]:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """New folder under the shared ``spark.checkpoint.dir``. A local session may have none set;
+    on a cluster every executor must reach the folder, so there it has to be named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         base = tempfile.mkdtemp(prefix="tabwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tabwise-{uuid.uuid4().hex}/{name}"

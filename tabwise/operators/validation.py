@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.functions.text import grouping_key
-from tabwise.operators.frames import as_double, column, is_numeric, kinds, local_frame
+from tabwise.operators.frames import (
+    as_double, column, is_numeric, kinds, local_frame, sized_shuffles,
+)
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.profile import profile
 from tabwise.plans import vocabulary as v
@@ -21,7 +23,8 @@ def distinct_rows(df: DataFrame) -> int:
     """Number of different rows (NULL equals NULL). Long texts take part as digests, so that the
     shuffle does not carry them; tasks drop their own repeats first."""
     compact = [_comparable(df, c, k) for c, k in kinds(df).items()]
-    return df.select(*compact).distinct().count() if compact else 0
+    with sized_shuffles(df):
+        return df.select(*compact).distinct().count() if compact else 0
 
 
 def _comparable(df: DataFrame, name: str, kind: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwise.functions import parse
@@ -97,8 +98,14 @@ def load_csv(
     not valid UTF-8; the lines are only checked when a cell looks undecodable. Files are split
     over tasks; quoted line breaks need ``multi_line``, which reads each file in one task.
     """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            raise FileNotFoundError(f"CSV file not found: {path}") from missing
+        raise
     if sep is None:
-        first = spark.read.text(path).take(1)
+        first = lines.take(1)
         if not first:
             raise ValueError(f"No data in '{path}'")
         sep = sniff_delimiter(first[0]["value"])
@@ -109,7 +116,7 @@ def load_csv(
 
     table, broken = _typed(read(encoding or "UTF-8"))
     if broken and encoding is None:
-        invalid = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+        invalid = lines.filter(~F.is_valid_utf8("value"))
         if invalid.take(1):
             table = infer_types(read("ISO-8859-1"))
     return table

@@ -90,3 +90,21 @@ def test_load_table(spark, tmp_path, csv):
         assert (table.count(), name) == (3, "t")
     with pytest.raises(ValueError, match="Unsupported file format"):
         tw.load_table(spark, "a.xls")
+
+
+def test_missing_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tw.load_table(spark, f"{tmp_path}/none.csv")
+
+
+def test_refused_file(spark, csv):
+    path = csv("r.csv", "a,b\n1,2\n3,4\n")
+    with pytest.raises(ValueError, match="exceeding the maximum limit of 1"):
+        tw.analyze_path(spark, path, limits=tw.Limits(rows=1))
+
+
+def test_best_of_several_tables(spark):
+    data = spark.range(60).selectExpr("id AS order_no", "id % 4 AS kind", "id * 1.5 AS price")
+    note = spark.createDataFrame([("hello",)], "text string")
+    name, report = tw.analyze_tables(spark, {"notes": note, "orders": data})
+    assert name == "orders" and report.audit.cleaned_rows == 60 and report.seconds > 0
