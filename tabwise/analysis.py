@@ -15,7 +15,7 @@ from tabwise.operators import charts, eda, kpi, reporting, validation
 from tabwise.operators.cleaning import (
     Audit, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
 )
-from tabwise.operators.frames import at_once, local_frame, nan_to_null, sized_shuffles, written
+from tabwise.operators.frames import at_once, local_frame, nan_to_null, tuned, written
 from tabwise.operators.profile import profile
 from tabwise.operators.roles import infer_roles, roles_frame
 from tabwise.plans.charts import ChartSpec
@@ -114,7 +114,7 @@ def analyze(
     whole = raw if scan is None else nan_to_null(normalise_names(scan))
     order_by = collapse_spaces(order_by) if order_by else None
 
-    with sized_shuffles(whole):
+    with tuned(whole):
         report = _run(raw, whole, order_by, min_parse_ratio, attempt)
         report.warnings = notes
         if out is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.text import LONG_TEXT, grouping_key
 from tabwise.operators.frames import (
-    as_double, column, is_numeric, kinds, local_frame, long_form, sized_shuffles, top_n,
+    as_double, column, is_numeric, kinds, local_frame, long_form, tuned, top_n,
 )
 from tabwise.operators.frequency import value_counts
 from tabwise.operators.profile import profile
@@ -111,7 +111,7 @@ def top_categories(df: DataFrame, rows: int | None = None, k: int = TOP_VALUES)
     order = F.struct((-F.col("n")).alias("n"), F.col("value"))
     ranked = top_n(counted, k, order, ["column_name"], levels=1)
     # One row per column on the broadcast side, so its size is that of the schema.
-    with sized_shuffles(df):
+    with tuned(df):
         best = ranked.join(F.broadcast(unique), "column_name").collect()
     position = {c: i for i, c in enumerate(names)}
     best.sort(key=lambda r: (position[r["column_name"]], -r["n"], r["value"]))
@@ -257,21 +257,29 @@ def count_in_bins(
 ) -> tuple[dict[str, list[int]], dict[str, bool]]:
     """Values per bin of each column (last bin closed), all columns in one aggregate, and whether
     any value lies strictly between the outer edges."""
-    wanted = []
-    for i, (c, e) in enumerate(edges.items()):
-        x = as_double(df, c)
-        wanted.append(F.max((x > F.lit(e[0])) & (x < F.lit(e[-1]))).alias(f"inner{i}"))
-        for b in range(len(e) - 1):
-            last = b == len(e) - 2
-            inside = (x >= F.lit(e[b])) & ((x <= F.lit(e[b + 1])) if last else (x < F.lit(e[b + 1])))
-            wanted.append(F.count_if(inside).alias(f"bin{i}_{b}"))
-    if not wanted:
+    if not edges:
         return {}, {}
-    row = df.agg(*wanted).first()
-    counts = {
-        c: [row[f"bin{i}_{b}"] for b in range(len(e) - 1)] for i, (c, e) in enumerate(edges.items())
-    }
-    return counts, {c: bool(row[f"inner{i}"]) for i, c in enumerate(edges)}
+    names, at, x = list(edges), F.col("column_number"), F.col("value")
+    # The bin of a value is the number of inner edges that it reaches.
+    place = F.lit(0)
+    for b in range(1, max(map(len, edges.values())) - 1):
+        inner = [e[b] if b < len(e) - 1 else None for e in edges.values()]
+        reached = x >= F.get(F.array(*[F.lit(v).cast("double") for v in inner]), at)
+        place = place + F.when(reached, 1).otherwise(0)
+    low, high = (F.get(F.array(*[F.lit(e[k]) for e in edges.values()]), at) for k in (0, -1))
+    rows = (
+        long_form(df, {c: as_double(df, c) for c in names}, numbered=True)
+        .groupBy("column_number", place.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max((x > low) & (x < high)).alias("inner"))
+        .collect()
+    )
+    counts = {c: [0] * (len(e) - 1) for c, e in edges.items()}
+    varied = dict.fromkeys(names, False)
+    for r in rows:
+        name = names[r["column_number"]]
+        counts[name][r["bin"]] = r["n"]
+        varied[name] = varied[name] or r["inner"]
+    return counts, varied
 
 
 def histograms(

@@ -22,6 +22,10 @@ _TOP_GROUPS = 1024
 # that keeps the bookkeeping of a shuffle small on the driver.
 PARTITION_BYTES = 64 * 1024 * 1024
 MOST_PARTITIONS = 30_000
+# Largest method, in bytes of byte code, that the JVM compiles.
+COMPILED_BYTES = 8000
+_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def kind(data_type: T.DataType) -> str:
@@ -148,28 +152,33 @@ def leading_rows(df: DataFrame, n: int, order_by: str | None = None) -> DataFram
 
 
 @contextmanager
-def sized_shuffles(df: DataFrame) -> Iterator[None]:
-    """Start shuffles of the whole table with enough partitions for its size.
+def tuned(df: DataFrame) -> Iterator[None]:
+    """Session settings that a pass over the whole table needs, restored afterwards.
 
-    Adaptive execution merges small partitions but never splits a large one of an aggregate, so
-    the start must fit the data. A higher setting of the session is kept.
+    Shuffles start with enough partitions for the size of the table: adaptive execution merges
+    small partitions but never splits a large one of an aggregate. Generated methods stay below
+    the size up to which the JVM compiles them, or long projections would be interpreted. Settings
+    that go further already are kept.
     """
-    spark, name = df.sparkSession, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf = df.sparkSession.conf
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    wanted = int(str(size)) // PARTITION_BYTES
-    before = spark.conf.get(name, None)
-    current = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    if wanted <= current:
-        yield
-        return
-    spark.conf.set(name, min(wanted, MOST_PARTITIONS))
+    partitions = min(int(str(size)) // PARTITION_BYTES, MOST_PARTITIONS)
+    wanted = {}
+    if partitions > int(conf.get(_PARTITIONS, None) or conf.get("spark.sql.shuffle.partitions")):
+        wanted[_PARTITIONS] = str(partitions)
+    if int(conf.get(_METHOD_LIMIT, None) or COMPILED_BYTES + 1) > COMPILED_BYTES:
+        wanted[_METHOD_LIMIT] = str(COMPILED_BYTES)
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.text import grouping_key
-from tabwise.operators.frames import column, long_form, sized_shuffles
+from tabwise.operators.frames import column, long_form, tuned
 
 
 def value_counts(df: DataFrame, columns: list[str], whole_values: bool = False) -> DataFrame:
@@ -28,7 +28,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Exact number of distinct non-null values of each column."""
     if not columns:
         return {}
-    with sized_shuffles(df):
+    with tuned(df):
         counted = value_counts(df, columns).groupBy("column_name")
         rows = counted.agg(F.count(F.lit(1)).alias("n")).collect()
     return dict.fromkeys(columns, 0) | {r["column_name"]: r["n"] for r in rows}
@@ -39,7 +39,7 @@ def smallest_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     if not columns:
         return {}
     best = F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("best")
-    with sized_shuffles(df):
+    with tuned(df):
         counted = value_counts(df, columns, whole_values=True)
         rows = counted.groupBy("column_name").agg(best).collect()
     return {r["column_name"]: r["best"]["value"] for r in rows}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.functions.text import grouping_key
 from tabwise.operators.frames import (
-    as_double, column, is_numeric, kinds, local_frame, sized_shuffles,
+    as_double, column, is_numeric, kinds, local_frame, tuned,
 )
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.profile import profile
@@ -23,7 +23,7 @@ def distinct_rows(df: DataFrame) -> int:
     """Number of different rows (NULL equals NULL). Long texts take part as digests, so that the
     shuffle does not carry them; tasks drop their own repeats first."""
     compact = [_comparable(df, c, k) for c, k in kinds(df).items()]
-    with sized_shuffles(df):
+    with tuned(df):
         return df.select(*compact).distinct().count() if compact else 0
 
 

@@ -224,9 +224,10 @@ def test_failing_stage_is_reported(spark, monkeypatch):
     assert report.eda == {} and report.kpis.count() >= 1
 
 
-def test_shuffles_are_sized_and_settings_restored(spark, monkeypatch):
-    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+def test_tuned_session_is_restored(spark, monkeypatch):
+    names = [frames._PARTITIONS, frames._METHOD_LIMIT]
+    before = [spark.conf.get(n, None) for n in names]
     monkeypatch.setattr(frames, "PARTITION_BYTES", 8)
-    with frames.sized_shuffles(spark.range(1000)):
-        assert int(spark.conf.get(name)) > 8
-    assert spark.conf.get(name, None) is None
+    with frames.tuned(spark.range(1000)):
+        assert int(spark.conf.get(names[0])) > 8 and spark.conf.get(names[1]) == "8000"
+    assert [spark.conf.get(n, None) for n in names] == before
