@@ -374,7 +374,8 @@ ORACLES["table_summary_messy"] = _summary(MESSY_KINDS, "marked", MARKED_SQL)
 ORACLES["missing_summary"] = f"WITH {MARKED_SQL} " + union(
     [
         f"""SELECT {quoted(n)} AS column_name, {i} AS position, count(*) - count("{n}") AS null_count,
-  CAST(round(100 * (count(*) - count("{n}")) / count(*), 2) AS DOUBLE) AS null_percentage FROM marked"""
+  CAST(format('{{:.2f}}', (count(*) - count("{n}")) / count(*) * 100) AS DOUBLE) AS null_percentage
+  FROM marked"""
         for i, n in enumerate(CLEAN_NAMES)
     ]
 )
@@ -407,7 +408,7 @@ def _top(table: str) -> str:
     return union(
         [
             f"""SELECT '{c}' AS column_name, unique_count, CAST(rank AS INTEGER) AS rank, value, count,
-  CAST(round(100 * count / (SELECT count(*) FROM {table}), 2) AS DOUBLE) AS percentage
+  CAST(format('{{:.2f}}', count / (SELECT count(*) FROM {table}) * 100) AS DOUBLE) AS percentage
 FROM (SELECT {c} AS value, count(*) AS count, count(*) OVER () AS unique_count,
     row_number() OVER (ORDER BY count(*) DESC, {key.format(c=c)}) AS rank
   FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 10"""
