@@ -22,6 +22,8 @@ _TOP_GROUPS = 1024
 # that keeps the bookkeeping of a shuffle small on the driver.
 PARTITION_BYTES = 64 * 1024 * 1024
 MOST_PARTITIONS = 30_000
+# From this many partitions on a table is large.
+LARGE_PARTITIONS = 64
 # Largest method, in bytes of byte code, that the JVM compiles.
 COMPILED_BYTES = 8000
 _PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -156,9 +158,10 @@ def tuned(df: DataFrame) -> Iterator[None]:
     """Session settings that a pass over the whole table needs, restored afterwards.
 
     Shuffles start with enough partitions for the size of the table: adaptive execution merges
-    small partitions but never splits a large one of an aggregate. Generated methods stay below
-    the size up to which the JVM compiles them, or long projections would be interpreted. Settings
-    that go further already are kept.
+    small partitions but never splits a large one of an aggregate. On large tables generated
+    methods stay below the size up to which the JVM compiles them, or long projections would be
+    interpreted; on small ones that takes longer to set up than it saves. Settings that go
+    further already are kept.
     """
     conf = df.sparkSession.conf
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -166,7 +169,8 @@ def tuned(df: DataFrame) -> Iterator[None]:
     wanted = {}
     if partitions > int(conf.get(_PARTITIONS, None) or conf.get("spark.sql.shuffle.partitions")):
         wanted[_PARTITIONS] = str(partitions)
-    if int(conf.get(_METHOD_LIMIT, None) or COMPILED_BYTES + 1) > COMPILED_BYTES:
+    method_limit = int(conf.get(_METHOD_LIMIT, None) or COMPILED_BYTES + 1)
+    if partitions > LARGE_PARTITIONS and method_limit > COMPILED_BYTES:
         wanted[_METHOD_LIMIT] = str(COMPILED_BYTES)
     before = {name: conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
