@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan
+from . import language_id, line_quality, secret_scan
 from .common import pick
 
 
@@ -19,8 +19,23 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(docs).select("doc_id", *(f.name for f in secret_scan.FIELDS))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language_id.held_out(pick(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
+    model = language_id.train(docs.filter("not held_out and doc_id is not null"))
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return line_quality.clean_lines(docs).drop("text", "clean_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": line_quality.oracle(),
+}
