@@ -155,7 +155,8 @@ def train(labelled: DataFrame, train_rows: int = 1600, buckets: int = 1 << 14, d
         some, ["text"], [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))],
         lambda text: _bags(text, buckets),
     )
-    got = bag.select("draw", "lang", "ids", "counts").orderBy("draw", "lang", F.size("ids")).limit(2 * train_rows).toArrow()
+    once = bag.select("draw", "lang", "ids", "counts").dropDuplicates(["draw", "lang"])  # copies count once
+    got = once.orderBy("draw", "lang", F.size("ids")).limit(2 * train_rows).toArrow()
     examples = [
         (langs.index(lang), np.asarray(i.values), np.asarray(c.values).astype(np.float32))
         for lang, i, c in zip(got["lang"].to_pylist(), got["ids"], got["counts"], strict=True)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_quality, secret_scan
+from . import archive, language_id, line_quality, mixing, packing, secret_scan
 from .common import pick
 
 
@@ -30,12 +31,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.clean_lines(docs).drop("text", "clean_text")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark, _table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = archive.write_archives(spark, _table(spark, sf_dir, "pages"))
+    return archive.read_archives(files)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+    "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": line_quality.oracle(),
+    "op7_warc": archive.ORACLE,
 }
