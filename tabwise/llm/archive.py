@@ -218,7 +218,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORDS.names)
 
-    return files.select("path").repartition("path").mapInArrow(run, RECORDS)
+    return files.select("path").repartition(max(1, files.count()), "path").mapInArrow(run, RECORDS)
 
 
 ORACLE = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language_id, line_quality, mixing, packing, secret_scan
+from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, pseudonyms, repeats, secret_scan
 from .common import pick
 
 
@@ -36,6 +36,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pseudonyms.pseudonymise(docs)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = archive.write_archives(spark, _table(spark, sf_dir, "pages"))
     return archive.read_archives(files)
@@ -45,13 +54,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts.join_near(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.links(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
