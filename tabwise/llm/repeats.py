@@ -10,10 +10,16 @@ so only those that can matter take part:
    windows have equal smallest q-grams, so they meet. Consecutive windows mostly share a bucket; such a run
    is one row, with a digest of all bytes it spans.
 2. Buckets with a single run hold no repeat. In a bucket whose runs are all equal, all windows repeat.
-3. In the other buckets runs of equal bytes are one class. Classes of several runs repeat; one run of every
-   class is refined: its windows get the digest of their full 200 bytes, and equal windows repeat.
+3. In the other buckets runs of equal bytes are one class, and a class of several runs repeats. The others
+   are refined by the identifiers at later offsets: the windows of a run lie in four ranges, and those of
+   a range have 166 bytes in common, whose identifier comes from the buckets at three offsets. Only ranges
+   that meet another class go on; their windows get the digest of their full 200 bytes.
 4. The repeated window starts of a text are gathered and their bytes removed.
 
+Runs are made twice rather than kept, and a bitmap of fixed size, of hashed bucket or text identifiers,
+keeps out of the second pass and of the joins what surely has no part in them. A full bitmap would keep
+nothing out; results do not depend on it.
+
 Defined results: a null or empty text has no bytes, nothing removed; texts shorter than the window lose
 nothing; overlaps and repeats within one text count; equal rows are repeats of each other; texts of any
 length are taken whole; an empty table gives an empty table; extra columns are ignored. A cut through a
@@ -39,7 +45,35 @@ WINDOW, GRAM, LONGEST_RUN = 200, 64, 256
 _BYTE = np.random.default_rng(21).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.random.default_rng(22).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
-RUNS = "m long, s long, k long, p int, n int, inner boolean"
+RUNS = "m long, s long, k long, p int, n int, inner boolean, a int, e array<long>"
+#: Ranges of a run's windows, and the bits of a bitmap (2 MB).
+PARTS, BITS = 4, 1 << 24
+
+
+def bitmap(df: DataFrame, name: str) -> np.ndarray:
+    """Which remainders of the numbers occur, a bit for each."""
+    at = F.pmod(F.col(name), F.lit(BITS)) + 1
+    rows = df.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("v")
+    ).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["v"]), np.uint8)
+        out[(r["b"] - 1) * len(part) : r["b"] * len(part)] = part
+    return out
+
+
+def has(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    h = numbers.astype(np.int64) % BITS
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+
+def ranges(window: int, gram: int) -> list[tuple[int, int, int]]:
+    """(first, last, length): windows that begin so many bytes before the bucket's q-gram have in common
+    the bytes from `first` before it, `length` long."""
+    room = window - gram
+    step = -(-room // PARTS)
+    return [(f, min(f + step - (f + step < room), room), gram + room - step) for f in range(0, max(room, 1), max(step, 1))]
 
 
 def buckets(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -62,8 +96,9 @@ def smallest(at: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(body: np.ndarray, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(bucket, digest, first window, windows, whether windows of it can be equal) of one text."""
+def runs(body: np.ndarray, wanted: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> Iterator[tuple]:
+    """(bucket, digest, first window, windows, whether windows of it can be equal, place of the bucket's
+    q-gram, identifiers of the ranges) of one text; with a bitmap, of its buckets alone."""
     if len(body) < window:
         return
     ids = buckets(body, gram)
@@ -71,31 +106,45 @@ def runs(body: np.ndarray, window: int = WINDOW, gram: int = GRAM, longest: int
     least = smallest(ids, width)
     begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(begins[1:], len(least))
-    # the bucket's q-gram occurs twice in the span: only then can two of the run's windows be equal
+    if wanted is not None:
+        some = has(wanted, least[begins].view(np.int64))
+        begins, ends = begins[some], ends[some]
     raw = body.tobytes()
-    names = least[begins].view(np.int64)
-    for lo, hi, name, key in zip(begins.tolist(), ends.tolist(), names.tolist(), least[begins], strict=True):
-        inner = hi - lo > 1 and np.count_nonzero(ids[lo : hi + width - 1] == key) > 1
-        for a in range(lo, hi, longest):
-            b = min(a + longest, hi)
-            digest = int.from_bytes(blake2b(raw[a : b + window - 1], digest_size=8).digest(), "little", signed=True)
-            yield name, digest, a, b - a, bool(inner)
+    keys = least[begins]
+    spread = ranges(window, gram)
+    for lo, hi, name, key in zip(begins.tolist(), ends.tolist(), keys.view(np.int64).tolist(), keys, strict=True):
+        # where the bucket's q-gram occurs twice in the span, and only there, windows of the run can be equal
+        spots = np.flatnonzero(ids[lo : hi + width - 1] == key)
+        inner, a = len(spots) > 1, lo + int(spots[0])
+        codes = None
+        if wanted is not None and not inner:
+            codes = []
+            for first, _, length in spread:
+                x = a - first
+                inside = x >= 0 and x + length <= len(body)
+                offsets = [*range(0, length - gram, gram), length - gram]
+                codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]) if inside else None)
+        for b in range(lo, hi, longest):
+            c = min(b + longest, hi)
+            digest = int.from_bytes(blake2b(raw[b : c + window - 1], digest_size=8).digest(), "little", signed=True)
+            yield name, digest, b, c - b, inner, a, codes
 
 
 def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _runs_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _runs_of(docs: DataFrame, wanted: np.ndarray | None, window: int, gram: int) -> DataFrame:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
+    names = ["m", "s", "k", "p", "n", "inner", "a", "e"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        names = ["m", "s", "k", "p", "n", "inner"]
         for batch in batches:
             data, limits = utf8(batch.column(1))
             rows: list[tuple] = []
-            for key, lo, hi in zip(batch.column(0).to_pylist(), limits[:-1].tolist(), limits[1:].tolist(), strict=True):
-                rows += [(m, s, key, p, n, inner) for m, s, p, n, inner in runs(data[lo:hi], window, gram)]
-                if len(rows) >= 50_000:
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                rows += [(m, s, key, *rest) for m, s, *rest in runs(data[limits[i] : limits[i + 1]], wanted, window, gram)]
+                if rows and (len(rows) >= 50_000 or i == len(batch) - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
             if rows:
@@ -104,52 +153,70 @@ def _runs_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, RUNS)
 
 
+def only(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows whose k the bitmap has, or those that it has not."""
+    at = docs.columns.index("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has(bits, np.asarray(batch.column(at))) == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _windows_of(rows: DataFrame, window: int) -> DataFrame:
-    """(text, rs: list of (m, s, p, n)) -> (m, s, p, w1, w2) of every window of the runs."""
+    """(k, text, rs: list of (p, n, one)) -> (k, p, one, w1, w2) of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, limits = utf8(batch.column(1))
-            for i, listed in enumerate(batch.column(2).to_pylist()):
-                body, rows, digests = data[limits[i] : limits[i + 1]].tobytes(), [], []
-                for r in listed:
-                    for p in range(r["p"], r["p"] + r["n"]):
-                        rows.append((r["m"], r["s"], p))
-                        digests.append(blake2b(body[p : p + window], digest_size=16).digest())
-                ids = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                m, s, p = zip(*rows, strict=True)
+            for i, (k, listed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                body = data[limits[i] : limits[i + 1]].tobytes()
+                rows = [(p, r["one"]) for r in listed for p in range(r["p"], r["p"] + r["n"])]
+                if not rows:
+                    continue
+                ids = np.frombuffer(b"".join(blake2b(body[p : p + window], digest_size=16).digest() for p, _ in rows), np.int64).reshape(-1, 2)
+                places, alone = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.int32()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())],
-                    names=["k", "m", "s", "p", "w1", "w2"],
+                    [pa.array([k] * len(rows), pa.int64()), pa.array(places, pa.int32()), pa.array(alone, pa.bool_()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())],
+                    names=["k", "p", "one", "w1", "w2"],
                 )
 
-    return rows.mapInArrow(run, "k long, m long, s long, p int, w1 long, w2 long")
+    return rows.mapInArrow(run, "k long, p int, one boolean, w1 long, w2 long")
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, saved: Saved, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k, p, n): the windows from p to p + n - 1 of the text k are repeated."""
-    found = saved(_runs_of(docs, window, gram))
-    held = found.groupBy("m").agg(
-        F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("inner").alias("any_inner")
-    ).filter("c > 1 or any_inner").select("m", (F.expr("lo <> hi") | F.col("any_inner")).alias("mixed"))
-    hit = saved(found.join(held, "m"))
-    saved.drop(found)
+    held = saved(
+        _runs_of(docs, None, window, gram).groupBy("m").agg(
+            F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("inner").alias("any_inner")
+        ).filter("c > 1 or any_inner").select("m", (F.expr("lo <> hi") | F.col("any_inner")).alias("mixed"))
+    )
+    hit = saved(_runs_of(docs, bitmap(held, "m"), window, gram).join(held, "m"))
     plain = hit.filter("not mixed").select("k", "p", "n")
     mixed = hit.filter("mixed")
-    classes = saved(mixed.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("k", "p", "n")).alias("one"), F.max("inner").alias("inner")))
+    classes = saved(mixed.groupBy("m", "s").agg(
+        F.count("*").alias("c"), F.min(F.struct("k", "p", "n", "a", "e")).alias("r"), F.max("inner").alias("inner")
+    ).select("m", "s", "c", "inner", "r.*"))
     copied = mixed.join(classes.filter("c > 1").select("m", "s"), ["m", "s"]).select("k", "p", "n")
-    # a bucket of one class needs no refinement but for windows that are equal within a run
-    several = classes.groupBy("m").agg(F.count("*").alias("classes"), F.max("inner").alias("i")).filter("classes > 1 or i").select("m")
-    listed = (
-        classes.join(several, "m").select("m", "s", "one.*")
-        .groupBy("k").agg(F.collect_list(F.struct("m", "s", "p", "n")).alias("rs"))
-    )
-    windows = saved(_windows_of(docs.join(listed, "k").select("k", "text", "rs"), window))
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    equal = windows.join(twice, ["w1", "w2"]).select("m", "s", "p")
-    # only classes of one run still need them
-    single = classes.filter("c = 1").select("m", "s", F.col("one.k").alias("k"))
-    refined = equal.join(single, ["m", "s"]).select("k", "p", F.lit(1).alias("n"))
+    # ranges that meet another class, where at least one of the two isn't known to repeat
+    spread = ranges(window, gram)
+    by_range = classes.filter("not inner").select("m", "c", "k", "p", "n", "a", F.posexplode("e").alias("j", "code")).filter("code is not null")
+    meet = by_range.groupBy("m", "j", "code").agg(F.count("*").alias("x"), F.min("c").alias("y")).filter("x > 1 and y = 1").select("m", "j", "code")
+    first, last = (F.element_at(F.array(*(F.lit(r[i]) for r in spread)), F.col("j") + 1) for i in (0, 1))
+    begin = F.greatest(F.col("p"), F.col("a") - last)
+    some = by_range.join(meet, ["m", "j", "code"]).select(
+        "k", begin.alias("p"), (F.least(F.col("p") + F.col("n") - 1, F.col("a") - first) - begin + 1).alias("n"), (F.col("c") == 1).alias("one")
+    ).filter("n > 0")
+    # windows that may be equal within a run can also equal those of any class of their bucket
+    loose = classes.groupBy("m").agg(F.max("inner").alias("i")).filter("i").select("m")
+    whole = classes.join(loose, "m").select("k", "p", "n", (F.col("c") == 1).alias("one"))
+    ranged = some.unionByName(whole)
+    listed = saved(ranged.groupBy("k").agg(F.collect_list(F.struct("p", "n", "one")).alias("rs")))
+    near = only(docs.select("k", "text"), bitmap(listed, "k")).join(listed, "k").select("k", "text", "rs")
+    windows = saved(_windows_of(near, window).dropDuplicates(["k", "p", "w1", "w2"]))
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("x"), F.max("one").alias("y")).filter("x > 1 and y").select("w1", "w2")
+    refined = windows.filter("one").join(twice, ["w1", "w2"]).select("k", "p", F.lit(1).alias("n"))
     return plain.unionByName(copied).unionByName(refined)
 
 
@@ -168,8 +235,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each row of docs."""
     saved = Saved(spark)
     rows = pick(docs, "doc_id", "text").withColumn("k", _key())
-    starts = repeated_windows(spark, rows, saved, window, gram).groupBy("k").agg(F.collect_list(F.struct("p", "n")).alias("rs"))
-    joined = rows.join(starts, "k", "left").select("doc_id", "text", "rs")
+    starts = saved(repeated_windows(spark, rows, saved, window, gram).groupBy("k").agg(F.collect_list(F.struct("p", "n")).alias("rs")))
+    bits = bitmap(starts, "k")
+    none = F.lit(None).cast(starts.schema["rs"].dataType)
+    joined = only(rows, bits).join(starts, "k", "left").select("doc_id", "text", "rs")
+    joined = joined.unionByName(only(rows, bits, inside=False).select("doc_id", "text", none.alias("rs")))
     schema = T.StructType([
         rows.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")),
         T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()),
