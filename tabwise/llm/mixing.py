@@ -107,33 +107,46 @@ def solve(spark: SparkSession, counted: DataFrame, goal: DataFrame, saved: Saved
     return state.select("source", "target", "mean", "lam")
 
 
-def copies(spark: SparkSession, docs: DataFrame, solved: DataFrame, saved: Saved, most: int = MOST) -> DataFrame:
-    """docs (source, size, draw, …) with the whole number of copies that the mix takes of each."""
-    low = F.floor(F.col("rate"))
-    rated = (
-        docs.alias("d").join(solved.alias("t"), F.expr("d.source <=> t.source"), "left").select("d.*", "t.target", "t.mean", "t.lam")
-        .withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(
-            F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))))))
-        .withColumn("low", low.cast("int"))
-        # a document takes one copy more where its key lies below the shift of its source; 0: as drawn
-        .withColumn("key", F.when((F.col("low") < most) & (F.col("size") > 0), F.col("draw") - (F.col("rate") - F.col("low"))))
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """rows (size, draw, mean, lam) with rate, low and key: one copy more than low where key lies below
+    the source's shift; a shift of 0 leaves the draws as they are. first: the key's bin of -1 to 1."""
+    rows = rows.withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(
+        F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))))))
+    rows = rows.withColumn("low", F.floor("rate").cast("int"))
+    open_ = (F.col("low") < most) & (F.col("size") > 0)
+    rows = rows.withColumn("key", F.when(open_, F.col("draw") - (F.col("rate") - F.col("low"))))
+    return rows.withColumn("first", F.least(F.floor((F.col("key") + 1) / 2 * BINS), F.lit(BINS - 1)))
+
+
+def _within() -> Column:
+    """The bin of a key inside the first bin that the source's shift falls into."""
+    return F.least(F.floor(((F.col("key") + 1) / 2 * BINS - F.col("bin1")) * BINS), F.lit(BINS - 1))
+
+
+def parameters(rows: DataFrame, solved: DataFrame, goal: DataFrame, saved: Saved, most: int = MOST) -> DataFrame:
+    """All that decides a document's copies, a row for each source: multiplier, and the shift as two bins."""
+    drawn = _drawn(rows.alias("d").join(solved.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "t.target", "t.mean", "t.lam"), most)
+    sure = drawn.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("low")).alias("sure"))
+    b1 = saved(_find(drawn.withColumn("bin", F.col("first")), sure, "sure"))
+    deep = drawn.alias("d").join(b1.alias("b"), F.expr("d.source <=> b.source")).select("d.*", F.col("b.bin").alias("bin1"))
+    inner = deep.filter(F.col("first") == F.col("bin1")).withColumn("bin", _within())
+    b2 = _find(inner, b1.select("source", "target", F.col("before").alias("sure")), "sure", nearest=True)
+    return saved(
+        goal.alias("g").join(solved.alias("t"), F.expr("g.source <=> t.source"), "left")
+        .join(b1.alias("b"), F.expr("g.source <=> b.source"), "left").join(b2.alias("c"), F.expr("g.source <=> c.source"), "left")
+        .select("g.source", "g.source_size", "g.target", "t.mean", "t.lam", F.col("b.bin").alias("bin1"), F.coalesce("c.bin", F.lit(0)).alias("bin2"))
     )
-    # keys lie between -1 and 1; the shift that meets the target is found to 2 / 4096 and then within
-    first = F.least(F.floor((F.col("key") + 1) / 2 * BINS), F.lit(BINS - 1))
-    sure = rated.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("low")).alias("sure"))
-    b1 = _find(rated.withColumn("bin", first), sure, "sure")
-    deep = rated.alias("d").join(b1.alias("b"), F.expr("d.source <=> b.source"), "left").select("d.*", F.col("b.bin").alias("bin1"), F.col("b.before").alias("before1"))
-    within = ((F.col("key") + 1) / 2 * BINS - F.col("bin1")) * BINS
-    second = F.when(first == F.col("bin1"), F.least(F.floor(within), F.lit(BINS - 1)))
-    inner = deep.withColumn("bin", second)
-    b2 = _find(inner.filter("bin is not null"), b1.select("source", "target", F.col("before").alias("sure")), "sure", nearest=True)
-    out = inner.alias("d").join(b2.alias("c"), F.expr("d.source <=> c.source"), "left").select("d.*", F.col("c.bin").alias("bin2"))
-    up = F.col("key").isNotNull() & (
-        (first < F.col("bin1")) | ((first == F.col("bin1")) & (F.col("bin") < F.coalesce(F.col("bin2"), F.lit(0))))
-    )
-    return out.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("low") + F.coalesce(up, F.lit(False)).cast("int"))).drop(
-        "bin", "bin1", "bin2", "before1", "key", "low", "draw", "mean", "lam"
+
+
+def copies(rows: DataFrame, parameters: DataFrame, most: int = MOST) -> DataFrame:
+    """rows (source, size, draw, …) with source_size, target, rate and the whole number of copies."""
+    with_them = rows.alias("d").join(parameters.alias("p"), F.expr("d.source <=> p.source")).select(
+        "d.*", *(f"p.{c}" for c in parameters.columns if c != "source")
     )
+    drawn = _drawn(with_them, most)
+    up = (F.col("first") < F.col("bin1")) | ((F.col("first") == F.col("bin1")) & (_within() < F.col("bin2")))
+    number = F.when(F.col("size") == 0, 1).otherwise(F.col("low") + F.coalesce(up, F.lit(False)).cast("int"))
+    return drawn.withColumn("copies", number).drop("low", "key", "first", "mean", "lam", "bin1", "bin2")
 
 
 def _find(rows: DataFrame, sure: DataFrame, start: str, nearest: bool = False) -> DataFrame:
@@ -157,21 +170,37 @@ def _find(rows: DataFrame, sure: DataFrame, start: str, nearest: bool = False) -
     )
 
 
+def _sized(text: str, doc_id: str) -> dict[str, Column]:
+    return {
+        "size": word_count(F.col(text)),
+        "draw": F.pmod(F.xxhash64(doc_id, text, F.lit(11)), F.lit(1 << 40)) / float(1 << 40),
+    }
+
+
+def _prepared(spark: SparkSession, docs: DataFrame, saved: Saved, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents without their texts, and the sources' parameters."""
+    rows = saved(pick(docs, "doc_id", "text", "source").withColumns(_sized("text", "doc_id")).drop("text"))
+    counted = saved(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    goal = saved(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
+    return rows, parameters(rows, solve(spark, counted, goal, saved, most), goal, saved, most)
+
+
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken), a row for each row of docs."""
-    saved = Saved(spark)
-    rows = saved(
-        pick(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"),
-            (F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)).alias("draw"),
-        )
-    )
-    counted = saved(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
-    sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goal = saved(targets(sizes, weights, most))
-    solved = solve(spark, counted, goal, saved, most)
-    out = copies(spark, rows, solved, saved, most).drop("target")
-    return out.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select(
-        "d.doc_id", "d.source", "d.size", "g.source_size", "g.target", "d.rate",
-        F.col("d.copies").cast("int").alias("copies"), (F.col("d.copies") * F.col("d.size")).cast("long").alias("taken"),
+    rows, decided = _prepared(spark, docs, Saved(spark), weights, most)
+    return copies(rows, decided, most).select(
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
+
+
+def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: every row of docs as often as its copies, with the columns of docs.
+
+    Only the sources' few parameters meet the texts, which need no shuffle.
+    """
+    _, decided = _prepared(spark, docs, Saved(spark), weights, most)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text, doc_id, source = (f"c{names.index(x)}" for x in ("text", "doc_id", "source"))
+    chosen = copies(plain.withColumns({**_sized(text, doc_id), "source": F.col(source)}), decided, most).filter("copies > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
