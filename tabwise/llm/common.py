@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,11 @@ class Saved:
         self.paths[id(back)] = (path, back)
         return back
 
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of finished steps, which it does when their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:

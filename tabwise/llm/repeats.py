@@ -12,8 +12,9 @@ so only those that can matter take part:
 2. Buckets with a single run hold no repeat. In a bucket whose runs are all equal, all windows repeat.
 3. In the other buckets runs of equal bytes are one class, and a class of several runs repeats. The others
    are refined by the identifiers at later offsets: the windows of a run lie in four ranges, and those of
-   a range have 166 bytes in common, whose identifier comes from the buckets at three offsets. Only ranges
-   that meet another class go on; their windows get the digest of their full 200 bytes.
+   a range have 166 bytes in common, whose identifier comes from the buckets at three offsets. Ranges that
+   are equal in all their bytes repeat. Where ranges of one identifier differ, the windows of one of each
+   sort get the digest of their full 200 bytes, and equal windows repeat.
 4. The repeated window starts of a text are gathered and their bytes removed.
 
 Runs are made twice rather than kept, and a bitmap of fixed size, of hashed bucket or text identifiers,
@@ -96,9 +97,10 @@ def smallest(at: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(body: np.ndarray, wanted: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> Iterator[tuple]:
+def runs(body: np.ndarray, wanted: np.ndarray | None = None, mixed: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> Iterator[tuple]:
     """(bucket, digest, first window, windows, whether windows of it can be equal, place of the bucket's
-    q-gram, identifiers of the ranges) of one text; with a bitmap, of its buckets alone."""
+    q-gram, identifiers of the ranges and then their digests) of one text; with bitmaps, of the wanted buckets
+    alone, and ranges of the mixed ones alone."""
     if len(body) < window:
         return
     ids = buckets(body, gram)
@@ -112,18 +114,24 @@ def runs(body: np.ndarray, wanted: np.ndarray | None = None, window: int = WINDO
     raw = body.tobytes()
     keys = least[begins]
     spread = ranges(window, gram)
-    for lo, hi, name, key in zip(begins.tolist(), ends.tolist(), keys.view(np.int64).tolist(), keys, strict=True):
+    refine = has(mixed, keys.view(np.int64)).tolist() if mixed is not None else [False] * len(begins)
+    for lo, hi, name, key, fine in zip(begins.tolist(), ends.tolist(), keys.view(np.int64).tolist(), keys, refine, strict=True):
         # where the bucket's q-gram occurs twice in the span, and only there, windows of the run can be equal
         spots = np.flatnonzero(ids[lo : hi + width - 1] == key)
         inner, a = len(spots) > 1, lo + int(spots[0])
         codes = None
-        if wanted is not None and not inner:
-            codes = []
-            for first, _, length in spread:
-                x = a - first
-                inside = x >= 0 and x + length <= len(body)
+        if fine and not inner:
+            codes, fulls = [], []
+            for first, last, length in spread:
+                x, begin, stop = a - first, max(lo, a - last), min(hi - 1, a - first)
+                if begin > stop:  # the run has no window of this range
+                    codes.append(None)
+                    fulls.append(None)
+                    continue
                 offsets = [*range(0, length - gram, gram), length - gram]
-                codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]) if inside else None)
+                codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]))
+                fulls.append(int.from_bytes(blake2b(raw[begin : stop + window], digest_size=8).digest(), "little", signed=True))
+            codes += fulls
         for b in range(lo, hi, longest):
             c = min(b + longest, hi)
             digest = int.from_bytes(blake2b(raw[b : c + window - 1], digest_size=8).digest(), "little", signed=True)
@@ -134,7 +142,7 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _runs_of(docs: DataFrame, wanted: np.ndarray | None, window: int, gram: int) -> DataFrame:
+def _runs_of(docs: DataFrame, wanted: np.ndarray | None, mixed: np.ndarray | None, window: int, gram: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
     names = ["m", "s", "k", "p", "n", "inner", "a", "e"]
 
@@ -143,7 +151,7 @@ def _runs_of(docs: DataFrame, wanted: np.ndarray | None, window: int, gram: int)
             data, limits = utf8(batch.column(1))
             rows: list[tuple] = []
             for i, key in enumerate(batch.column(0).to_pylist()):
-                rows += [(m, s, key, *rest) for m, s, *rest in runs(data[limits[i] : limits[i + 1]], wanted, window, gram)]
+                rows += [(m, s, key, *rest) for m, s, *rest in runs(data[limits[i] : limits[i + 1]], wanted, mixed, window, gram)]
                 if rows and (len(rows) >= 50_000 or i == len(batch) - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
@@ -188,36 +196,44 @@ def _windows_of(rows: DataFrame, window: int) -> DataFrame:
 def repeated_windows(spark: SparkSession, docs: DataFrame, saved: Saved, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k, p, n): the windows from p to p + n - 1 of the text k are repeated."""
     held = saved(
-        _runs_of(docs, None, window, gram).groupBy("m").agg(
+        _runs_of(docs, None, None, window, gram).groupBy("m").agg(
             F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("inner").alias("any_inner")
         ).filter("c > 1 or any_inner").select("m", (F.expr("lo <> hi") | F.col("any_inner")).alias("mixed"))
     )
-    hit = saved(_runs_of(docs, bitmap(held, "m"), window, gram).join(held, "m"))
+    wanted, refine = bitmap(held, "m"), bitmap(held.filter("mixed"), "m")
+    hit = saved(_runs_of(docs, wanted, refine, window, gram).join(held, "m"))
+    saved.free()
     plain = hit.filter("not mixed").select("k", "p", "n")
     mixed = hit.filter("mixed")
     classes = saved(mixed.groupBy("m", "s").agg(
         F.count("*").alias("c"), F.min(F.struct("k", "p", "n", "a", "e")).alias("r"), F.max("inner").alias("inner")
     ).select("m", "s", "c", "inner", "r.*"))
     copied = mixed.join(classes.filter("c > 1").select("m", "s"), ["m", "s"]).select("k", "p", "n")
-    # ranges that meet another class, where at least one of the two isn't known to repeat
-    spread = ranges(window, gram)
-    by_range = classes.filter("not inner").select("m", "c", "k", "p", "n", "a", F.posexplode("e").alias("j", "code")).filter("code is not null")
-    meet = by_range.groupBy("m", "j", "code").agg(F.count("*").alias("x"), F.min("c").alias("y")).filter("x > 1 and y = 1").select("m", "j", "code")
-    first, last = (F.element_at(F.array(*(F.lit(r[i]) for r in spread)), F.col("j") + 1) for i in (0, 1))
-    begin = F.greatest(F.col("p"), F.col("a") - last)
-    some = by_range.join(meet, ["m", "j", "code"]).select(
-        "k", begin.alias("p"), (F.least(F.col("p") + F.col("n") - 1, F.col("a") - first) - begin + 1).alias("n"), (F.col("c") == 1).alias("one")
-    ).filter("n > 0")
     # windows that may be equal within a run can also equal those of any class of their bucket
     loose = classes.groupBy("m").agg(F.max("inner").alias("i")).filter("i").select("m")
     whole = classes.join(loose, "m").select("k", "p", "n", (F.col("c") == 1).alias("one"))
-    ranged = some.unionByName(whole)
-    listed = saved(ranged.groupBy("k").agg(F.collect_list(F.struct("p", "n", "one")).alias("rs")))
+    spread = ranges(window, gram)
+    first, last = (F.element_at(F.array(*(F.lit(r[i]) for r in spread)), F.col("j") + 1) for i in (0, 1))
+    begin = F.greatest(F.col("p"), F.col("a") - last)
+    by_range = (
+        classes.join(loose, "m", "left_anti").filter("e is not null")
+        .select("m", "c", "k", "p", "n", "a", "e", F.posexplode(F.slice("e", 1, len(spread))).alias("j", "code")).filter("code is not null")
+        .select("m", "c", "k", "j", "code", F.element_at("e", F.col("j") + 1 + len(spread)).alias("full"), begin.alias("p"),
+                (F.least(F.col("p") + F.col("n") - 1, F.col("a") - first) - begin + 1).alias("n"))
+    )
+    sorts = saved(by_range.groupBy("m", "j", "code", "full").agg(F.sum("c").alias("t"), F.min(F.struct("k", "p", "n")).alias("r")))
+    saved.free()
+    equal = by_range.filter("c = 1").join(sorts.filter("t > 1").select("m", "j", "code", "full"), ["m", "j", "code", "full"]).select("k", "p", "n")
+    meet = sorts.groupBy("m", "j", "code").agg(F.count("*").alias("x"), F.min("t").alias("y")).filter("x > 1 and y = 1").select("m", "j", "code")
+    some = sorts.join(meet, ["m", "j", "code"]).select("r.k", "r.p", "r.n", (F.col("t") == 1).alias("one"))
+    listed = saved(some.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("p", "n", "one")).alias("rs")))
     near = only(docs.select("k", "text"), bitmap(listed, "k")).join(listed, "k").select("k", "text", "rs")
-    windows = saved(_windows_of(near, window).dropDuplicates(["k", "p", "w1", "w2"]))
+    # a text that occurs in several equal rows gives its windows several times, but none of them is alone
+    windows = saved(_windows_of(near, window))
+    saved.free()
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("x"), F.max("one").alias("y")).filter("x > 1 and y").select("w1", "w2")
     refined = windows.filter("one").join(twice, ["w1", "w2"]).select("k", "p", F.lit(1).alias("n"))
-    return plain.unionByName(copied).unionByName(refined)
+    return plain.unionByName(copied).unionByName(equal).unionByName(refined)
 
 
 def _keep(length: int, starts: list, window: int) -> tuple[np.ndarray, int]:
@@ -236,6 +252,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     saved = Saved(spark)
     rows = pick(docs, "doc_id", "text").withColumn("k", _key())
     starts = saved(repeated_windows(spark, rows, saved, window, gram).groupBy("k").agg(F.collect_list(F.struct("p", "n")).alias("rs")))
+    saved.free()
     bits = bitmap(starts, "k")
     none = F.lit(None).cast(starts.schema["rs"].dataType)
     joined = only(rows, bits).join(starts, "k", "left").select("doc_id", "text", "rs")
