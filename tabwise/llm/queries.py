@@ -38,7 +38,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.remove_repeats(spark, _table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

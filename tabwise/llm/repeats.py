@@ -142,7 +142,7 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _runs_of(docs: DataFrame, wanted: np.ndarray | None, mixed: np.ndarray | None, window: int, gram: int) -> DataFrame:
+def _runs_of(docs: DataFrame, wanted: np.ndarray, mixed: np.ndarray, window: int, gram: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
     names = ["m", "s", "k", "p", "n", "inner", "a", "e"]
 
@@ -155,19 +155,38 @@ def _runs_of(docs: DataFrame, wanted: np.ndarray | None, mixed: np.ndarray | Non
                 if rows and (len(rows) >= 50_000 or i == len(batch) - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select("k", "text").mapInArrow(run, RUNS)
 
 
-def only(docs: DataFrame, bits: np.ndarray, inside: bool = True) -> DataFrame:
-    """The rows whose k the bitmap has, or those that it has not."""
+def _all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(m, s, inner) of every run: what tells which buckets matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, limits = utf8(batch.column(0))
+            m: list[int] = []
+            s: list[int] = []
+            inner: list[bool] = []
+            for i in range(len(batch)):
+                for found in runs(data[limits[i] : limits[i + 1]], window=window, gram=gram):
+                    m.append(found[0])
+                    s.append(found[1])
+                    inner.append(found[4])
+                if m and (len(m) >= 50_000 or i == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(inner, pa.bool_())], names=["m", "s", "inner"])
+                    m, s, inner = [], [], []
+
+    return docs.select("text").mapInArrow(run, "m long, s long, inner boolean")
+
+
+def only(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose k the bitmap has."""
     at = docs.columns.index("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has(bits, np.asarray(batch.column(at))) == inside))
+            yield batch.filter(pa.array(has(bits, np.asarray(batch.column(at)))))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -196,7 +215,7 @@ def _windows_of(rows: DataFrame, window: int) -> DataFrame:
 def repeated_windows(spark: SparkSession, docs: DataFrame, saved: Saved, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k, p, n): the windows from p to p + n - 1 of the text k are repeated."""
     held = saved(
-        _runs_of(docs, None, None, window, gram).groupBy("m").agg(
+        _all_runs(docs, window, gram).groupBy("m").agg(
             F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("inner").alias("any_inner")
         ).filter("c > 1 or any_inner").select("m", (F.expr("lo <> hi") | F.col("any_inner")).alias("mixed"))
     )
@@ -236,43 +255,58 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, saved: Saved, window:
     return plain.unionByName(copied).unionByName(equal).unionByName(refined)
 
 
-def _keep(length: int, starts: list, window: int) -> tuple[np.ndarray, int]:
+def _keep(length: int, p: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, int]:
     """Which bytes stay, and the number of removed runs."""
-    step = np.zeros(length + 1, np.int64)
-    for r in starts or ():
-        step[r["p"]] += 1
-        step[r["p"] + r["n"] - 1 + window] -= 1
+    step = np.zeros(length + 1, np.int32)
+    np.add.at(step, p, 1)
+    np.add.at(step, p + n - 1 + window, -1)
     gone = np.cumsum(step[:-1]) > 0
     edges = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(length > 0 and gone[0])
     return ~gone, edges
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), a row for each row of docs."""
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]), a row for each row of docs."""
     saved = Saved(spark)
     rows = pick(docs, "doc_id", "text").withColumn("k", _key())
     starts = saved(repeated_windows(spark, rows, saved, window, gram).groupBy("k").agg(F.collect_list(F.struct("p", "n")).alias("rs")))
     saved.free()
     bits = bitmap(starts, "k")
-    none = F.lit(None).cast(starts.schema["rs"].dataType)
-    joined = only(rows, bits).join(starts, "k", "left").select("doc_id", "text", "rs")
-    joined = joined.unionByName(only(rows, bits, inside=False).select("doc_id", "text", none.alias("rs")))
     schema = T.StructType([
         rows.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")),
-        T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()),
+        T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else []),
     ])
+    kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def result(doc_id: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
+
+    def row(kept: bytes, n_bytes: int, spans: int) -> tuple:
+        out = (n_bytes, n_bytes - len(kept), spans, sha256(kept).hexdigest())
+        return (*out, kept.decode(errors="replace")) if with_text else out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, limits = utf8(batch.column(1))
-            out: list[tuple] = []
+            lists = batch.column(2)
+            at, flat = np.asarray(lists.offsets), lists.values
+            p, n = (np.asarray(flat.field(i)) for i in (0, 1))
+            out = []
             for i in range(len(batch)):
                 body = data[limits[i] : limits[i + 1]]
-                stays, spans = _keep(len(body), batch.column(2)[i].as_py(), window)
-                kept = body[stays].tobytes()
-                out.append((len(body), len(body) - len(kept), spans, sha256(kept).hexdigest(), kept.decode(errors="replace")))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+                lo, hi = (int(at[i]), int(at[i + 1])) if lists[i].is_valid else (0, 0)
+                stays, spans = _keep(len(body), p[lo:hi], n[lo:hi], window) if hi > lo else (slice(None), 0)
+                out.append(row(body[stays].tobytes(), len(body), spans))
+            yield result(batch.column(0), out)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that surely have no repeat need no join."""
+        for batch in batches:
+            batch = batch.filter(pa.array(~has(bits, np.asarray(batch.column(2)))))
+            data, limits = utf8(batch.column(1))
+            bodies = [data[lo:hi].tobytes() for lo, hi in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+            yield result(batch.column(0), [row(x, len(x), 0) for x in bodies])
+
+    joined = only(rows, bits).join(starts, "k", "left").select("doc_id", "text", "rs")
+    return joined.mapInArrow(cut, schema).unionByName(rows.mapInArrow(whole, schema))
