@@ -97,7 +97,7 @@ def _has_letter(text: pa.Array) -> np.ndarray:
     return out
 
 
-def predict(text: pa.Array, model: Model, block: int = 1 << 22) -> list[pa.Array]:
+def predict(text: pa.Array, model: Model, block: int = 1 << 19) -> list[pa.Array]:
     data, limits = _spaced(text)
     k, n = len(model.langs), len(text)
     sums, counts = np.zeros((k, n)), np.zeros(n)

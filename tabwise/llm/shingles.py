@@ -45,7 +45,7 @@ def word_hashes(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(total + lengths.astype(np.uint64)), rows
 
 
-def rows_in_blocks(text: pa.Array, block: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def rows_in_blocks(text: pa.Array, block: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, limits) in blocks of bounded size, one row at least."""
     data, limits = utf8(text)
     row, n = 0, len(text)
