@@ -113,18 +113,12 @@ FROM scored"""
 
 ORACLES["rank_tables"] = _rank()
 ORACLES["export_cleaned"] = """
-WITH n AS (SELECT count(*) AS n FROM orders)
-SELECT o.*, CASE WHEN n <= 100000 THEN format('Cleaned Data — {:,} rows', n)
-    ELSE format('Cleaned Data — first 100,000 of {:,} rows', n) END AS title
-FROM (SELECT *, row_number() OVER () AS place FROM orders) o, n
-WHERE n <= 100000 OR place <= 100000""".replace("SELECT o.*", "SELECT o.* EXCLUDE (place)")
+SELECT o.*, format('Cleaned Data — {:,} rows', n) AS title
+FROM orders o, (SELECT count(*) AS n FROM orders)"""
 ORACLES["preview_original"] = """
-WITH n AS (SELECT count(*) AS n FROM lineitem),
-keyed AS (SELECT *, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS row_key
-  FROM lineitem)
-SELECT k.*, CASE WHEN n <= 50000 THEN format('Original Data — {:,} rows', n)
-    ELSE format('Original Data Preview — first 5,000 of {:,} rows', n) END AS title
-FROM keyed k, n QUALIFY n <= 50000 OR row_number() OVER (ORDER BY row_key) <= 5000"""
+SELECT k.*, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS row_key,
+  format('Original Data — {:,} rows', n) AS title
+FROM lineitem k, (SELECT count(*) AS n FROM lineitem)"""
 ORACLES["output_cells"] = """
 SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value,
   CAST(ts AS VARCHAR) AS ts, event_type FROM events"""
@@ -132,7 +126,7 @@ ORACLES["report_bundle"] = f"""
 WITH {CLEANED_SQL}
 SELECT true AS valid, CAST(NULL AS VARCHAR) AS error,
   'dashboard, cleaned_data, cleaning_report, original_data, chart_data' AS tables,
-  (SELECT CASE WHEN count(*) <= 50000 THEN count(*) ELSE 5000 END FROM messy) AS original_rows,
+  (SELECT count(*) FROM messy) AS original_rows,
   (SELECT count(*) FROM cleaned) AS cleaned_rows"""
 
 # --- cleaning --------------------------------------------------------------------------------

@@ -86,7 +86,7 @@ def rank_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def export_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    rows, title = cleaned_export(table(spark, folder, "orders"), max_rows=100_000)
+    rows, title = cleaned_export(table(spark, folder, "orders"))
     return rows.withColumn("title", F.lit(title))
 
 

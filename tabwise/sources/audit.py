@@ -14,11 +14,11 @@ from tabwise.sources.load import DELIMITERS, header_columns
 
 @dataclass(frozen=True)
 class Limits:
-    """The largest accepted file."""
+    """The largest accepted file; None sets no limit."""
 
-    file_bytes: int = 100 * 1024 * 1024
-    rows: int = 500_000
-    columns: int = 200
+    file_bytes: int | None = None
+    rows: int | None = None
+    columns: int | None = None
     suffixes: tuple[str, ...] = ("csv",)
 
 
@@ -63,8 +63,11 @@ def _contents(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     size = F.col("_metadata.file_size")
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    wanted = (size > 0) & _file_type(F.col("_metadata.file_path")).isin(*limits.suffixes)
+    if limits.file_bytes is not None:
+        wanted &= size <= limits.file_bytes
     return (
-        lines.filter((size > 0) & (size <= limits.file_bytes))
+        lines.filter(wanted)
         .select(
             _same_form(F.col("_metadata.file_path")).alias("path"), "value", place.alias("place")
         )
@@ -77,9 +80,16 @@ def _contents(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     )
 
 
+def _suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def _file_type(path: Column) -> Column:
+    return F.replace(_suffix(path), F.lit("."), F.lit(""))
+
+
 def _verdicts(files: DataFrame, limits: Limits) -> DataFrame:
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    file_type = F.replace(suffix, F.lit("."), F.lit(""))
+    suffix, file_type = _suffix(F.col("path")), _file_type(F.col("path"))
     counts = {d: header_columns(F.col("header"), d) for d in DELIMITERS}
     columns = F.greatest(*counts.values())
     delimiter: Column = F.lit(DELIMITERS[-1])
@@ -88,12 +98,16 @@ def _verdicts(files: DataFrame, limits: Limits) -> DataFrame:
     rows = F.greatest(F.col("filled") - 1, F.lit(0)).cast("bigint")
     megabytes = F.format_number(F.col("bytes") / F.lit(1024.0 * 1024.0), 2)
     supported = file_type.isin(*limits.suffixes)
-    largest = limits.file_bytes // (1024 * 1024)
+    none = 2**63 - 1
+    most_bytes, most_rows, most_columns = (
+        none if most is None else most for most in (limits.file_bytes, limits.rows, limits.columns)
+    )
+    largest = most_bytes // (1024 * 1024)
     names = " and ".join(f".{s}" for s in limits.suffixes)
     error = (
         F.when(F.col("bytes") == 0, F.lit("The file is empty (0 bytes)."))
         .when(
-            F.col("bytes") > limits.file_bytes,
+            F.col("bytes") > most_bytes,
             F.concat(
                 F.lit("File size ("), megabytes,
                 F.lit(f" MB) exceeds maximum allowed size of {largest} MB."),
@@ -106,21 +120,21 @@ def _verdicts(files: DataFrame, limits: Limits) -> DataFrame:
             ),
         )
         .when(
-            columns > limits.columns,
+            columns > most_columns,
             F.concat(
                 F.lit("CSV has "), columns.cast("string"),
-                F.lit(f" columns, exceeding the maximum limit of {limits.columns}."),
+                F.lit(f" columns, exceeding the maximum limit of {most_columns}."),
             ),
         )
         .when(
-            rows > limits.rows,
+            rows > most_rows,
             F.concat(
                 F.lit("CSV has "), rows.cast("string"),
-                F.lit(f" rows, exceeding the maximum limit of {limits.rows}."),
+                F.lit(f" rows, exceeding the maximum limit of {most_rows}."),
             ),
         )
     )
-    read = (F.col("bytes") > 0) & (F.col("bytes") <= limits.file_bytes)
+    read = (F.col("bytes") > 0) & (F.col("bytes") <= most_bytes)
     counted = read & supported
     return files.select(
         "path",

@@ -8,15 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwise.functions.display import export_safe
-from tabwise.operators.frames import column, first_rows, kinds, leading_rows, local_frame
+from tabwise.operators.frames import column, kinds, leading_rows, local_frame
 
 if TYPE_CHECKING:
     from tabwise.analysis import Report
 
-# The tables of a bundle and the sizes of the previews.
+# The tables of a bundle.
 TABLES = ["dashboard", "cleaned_data", "cleaning_report", "original_data", "chart_data"]
-FULL_ORIGINAL_ROWS = 50_000
-PREVIEW_ROWS = 5_000
 
 
 def output_values(df: DataFrame, nested_as_json: bool = False) -> DataFrame:
@@ -35,14 +33,14 @@ def output_values(df: DataFrame, nested_as_json: bool = False) -> DataFrame:
 
 
 def original_preview(
-    df: DataFrame, rows: int | None = None, order_by: str | None = None
+    df: DataFrame, rows: int | None = None, order_by: str | None = None, max_rows: int | None = None
 ) -> tuple[DataFrame, str]:
-    """The whole table if it is small, else its first rows, with a title that says which."""
+    """The whole table, unless ``max_rows`` asks for its first rows, with a title that says which."""
     rows = df.count() if rows is None else rows
-    if rows <= FULL_ORIGINAL_ROWS:
+    if max_rows is None or rows <= max_rows:
         return df, f"Original Data — {rows:,} rows"
-    title = f"Original Data Preview — first {PREVIEW_ROWS:,} of {rows:,} rows"
-    return first_rows(df, PREVIEW_ROWS, order_by), title
+    title = f"Original Data Preview — first {max_rows:,} of {rows:,} rows"
+    return leading_rows(df, max_rows, order_by), title
 
 
 def cleaned_export(
@@ -57,11 +55,12 @@ def cleaned_export(
 
 
 def write_report(
-    report: Report, path: str, fmt: str = "parquet", max_cleaned_rows: int | None = None
+    report: Report, path: str, fmt: str = "parquet", max_cleaned_rows: int | None = None,
+    max_original_rows: int | None = None,
 ) -> str:
-    """Write the five tables of a report, one folder each."""
+    """Write the five tables of a report, one folder each; limits are options."""
     original, original_title = original_preview(
-        report.raw, report.audit.original_rows, report.order_by
+        report.raw, report.audit.original_rows, report.order_by, max_original_rows
     )
     cleaned, cleaned_title = cleaned_export(
         report.cleaned, report.audit.cleaned_rows, max_cleaned_rows
