@@ -64,7 +64,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)))
 
 
-def append(df: DataFrame, needs: list[str], fields: list[T.StructField], compute: Callable[..., list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, needs: list[str], fields: list[T.StructField], compute: Callable[..., list[pa.Array]], step: int = 2000) -> DataFrame:
     """All columns of df and those that `compute` makes of the needed ones, an Arrow batch at a time.
 
     A column of df that has the name of a new one is replaced.
@@ -74,9 +74,11 @@ def append(df: DataFrame, needs: list[str], fields: list[T.StructField], compute
     new = [T.StructField(f"x{i}", f.dataType) for i, f in enumerate(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = compute(*(b.column(i) for i in at))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *(f.name for f in new)])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):  # smaller batches, less memory for what `compute` makes
+                b = whole.slice(lo, step)
+                made = compute(*(b.column(i) for i in at))
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *(f.name for f in new)])
 
     out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *new]))
     names = {f.name for f in fields}

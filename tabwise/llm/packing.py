@@ -110,7 +110,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=schema.names
             )
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The worker lives on after the task; what it has kept of the words need not."""
+        try:
+            yield from run(batches)
+        finally:
+            for kept in _encoder(path):
+                kept.clear()
+
+    return pick(docs, "doc_id", "text").mapInArrow(freed, schema)
 
 
 # --- the plan: a few numbers for each length
