@@ -414,7 +414,7 @@ FROM (SELECT {c} AS value, count(*) AS count, count(*) OVER () AS unique_count,
 
 def _histograms(table: str) -> str:
     parts = []
-    for c, k in _measured(table)[:5]:
+    for c, k in _measured(table):
         whole = "greatest(width, 1)" if k == "w" else "width"
         parts.append(
             f"""SELECT '{c}' AS column_name, CAST(b AS INTEGER) AS bin, round(left_edge, 2) AS bin_left,

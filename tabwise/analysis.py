@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwise.functions.text import collapse_spaces
 from tabwise.operators import charts, eda, kpi, reporting, validation
 from tabwise.operators.cleaning import (
-    Audit, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
+    NUMBER_RATIO, Audit, cleaned_head, finish_cleaning, normalise_names, plan_cleaning,
 )
 from tabwise.operators.frames import at_once, local_frame, nan_to_null, tuned, written
 from tabwise.operators.profile import profile
@@ -23,7 +23,7 @@ from tabwise.plans.measures import TableProfile
 from tabwise.plans.roles import ColumnRole
 from tabwise.sources.audit import Limits, audit_files
 from tabwise.sources.bundle import write_report
-from tabwise.sources.load import CSV_NAME, load_table
+from tabwise.sources.load import load_table, table_format
 from tabwise.sources.ranking import rank_tables
 
 Result = TypeVar("Result")
@@ -88,7 +88,7 @@ def analyze(
     df: DataFrame,
     order_by: str | None = None,
     out: str | None = None,
-    min_parse_ratio: float = 0.0,
+    min_parse_ratio: float = NUMBER_RATIO,
     fmt: str = "parquet",
     scan: DataFrame | None = None,
 ) -> Report:
@@ -222,9 +222,11 @@ def analyze_path(
     out: str | None = None,
     fmt: str | None = None,
     limits: Limits | None = None,
+    csv: dict[str, object] | None = None,
     **options,
 ) -> Report:
-    """Load a file or directory and analyse it. With ``limits`` the files are checked first.
+    """Load a file or directory and analyse it. With ``limits`` the files are checked first;
+    ``csv`` holds options of ``load_csv`` (``sep``, ``encoding``, ``multi_line``).
 
     Text formats are parsed once and kept as a columnar copy in the shared scratch folder, which
     the passes over the whole table read.
@@ -233,8 +235,8 @@ def analyze_path(
         refused = audit_files(spark, path, limits).filter("NOT valid").take(1)
         if refused:
             raise ValueError(refused[0]["error"])
-    table, name = load_table(spark, path, fmt)
-    scan = written(table) if fmt in ("csv", "json") or name == CSV_NAME else None
+    table, name = load_table(spark, path, fmt, **(csv or {}))
+    scan = written(table) if table_format(path, fmt) in ("csv", "json") else None
     return analyze(spark, table, out=out, scan=scan, **options)
 
 

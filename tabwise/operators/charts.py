@@ -120,6 +120,16 @@ def _number(df: DataFrame, name: str) -> Column:
     return parse.number(column(name)) if kind == "text" else F.lit(None).cast("double")
 
 
+def _label(df: DataFrame, name: str, value: Column | None = None) -> Column:
+    """A cell as plain text: whole numbers as they are, large doubles without an exponent."""
+    kind = kinds(df)[name]
+    if kind not in ("double", "text") or (kind == "text" and value is None):
+        return column(name).cast("string")
+    x = as_double(df, name) if value is None else value
+    digits = F.regexp_replace(x.try_cast("decimal(38,10)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e27), digits).otherwise(x.cast("string"))
+
+
 def _grouped(df: DataFrame, key: Column, spec: ChartSpec, mean: bool) -> DataFrame:
     """Sum or mean of the measure per key, over rows that have both."""
     pairs = df.select(key.alias("category"), _number(df, spec.y_col).alias("y")).dropna()
@@ -140,25 +150,28 @@ def _line(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
 
 
 def _bar(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
-    key = column(spec.x_col).cast("string")
+    key = _label(df, spec.x_col)
     bars = TOP_BARS if "top10" in spec.aggregation else BARS
     return _largest(_grouped(df, key, spec, "mean" in spec.aggregation), bars)
 
 
 def _pie(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
-    return _largest(_grouped(df, column(spec.x_col).cast("string"), spec, False), SLICES)
+    return _largest(_grouped(df, _label(df, spec.x_col), spec, False), SLICES)
 
 
 def _scatter(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
-    """All points, or a hundred chosen by a hash of the row's key: the same ones in every run."""
+    """All points, or a hundred chosen by a hash of the row's key, or of all its cells where no key is
+    given: the same ones in every run and however the rows are partitioned."""
     x, y = _number(df, spec.x_col), _number(df, spec.y_col)
     if order_by is not None:
         draw = F.md5(F.concat(column(order_by).cast("string"), F.lit(SAMPLE_SEED)))
     else:
-        draw = F.xxhash64(x, y, F.monotonically_increasing_id(), F.lit(SAMPLE_SEED))
-    points = df.select(x.alias("x"), y.alias("value"), draw.alias("draw")).dropna()
+        cells = [column(c) for c, k in kinds(df).items() if k != "nested"]
+        draw = F.xxhash64(*cells, F.lit(SAMPLE_SEED))
+    label = _label(df, spec.x_col, x).alias("category")
+    points = df.select(x.alias("x"), y.alias("value"), draw.alias("draw"), label).dropna()
     drawn = top_n(points, POINTS, F.struct("draw", "x", "value"))
-    return drawn.orderBy("x", "value").select(F.col("x").cast("string").alias("category"), "value")
+    return drawn.orderBy("x", "value").select("category", "value")
 
 
 def _histogram(df: DataFrame, spec: ChartSpec, measured: TableProfile | None) -> list[tuple]:

@@ -21,7 +21,6 @@ from tabwise.plans.roles import ColumnRole
 QUARTILES = [0.25, 0.5, 0.75]
 TOP_VALUES = 10
 MAX_BINS = 10
-HISTOGRAM_COLUMNS = 5
 # Column pairs measured in one aggregate; a wide table takes several.
 PAIRS_PER_JOB = 300
 
@@ -287,10 +286,11 @@ def histograms(
     roles: list[ColumnRole] | DataFrame | None = None,
     measured: TableProfile | None = None,
     parts: Quartiles | None = None,
+    most: int | None = None,
 ) -> DataFrame:
-    """Up to ten equal bins for the first five numeric columns with over two distinct values."""
+    """Up to ten equal bins for every numeric column (or the first ``most``) with over two distinct values."""
     by_kind = kinds(df)
-    names = numeric_columns(df, as_roles(df, roles))[:HISTOGRAM_COLUMNS]
+    names = numeric_columns(df, as_roles(df, roles))[:most]
     measured = measured or profile(df, names, nulls=False)
     stats = {
         c: measured.numeric[c]

@@ -122,16 +122,24 @@ def load_csv(
     return table
 
 
-def load_table(
-    spark: SparkSession, path: str, fmt: str | None = None
-) -> tuple[DataFrame, str]:
-    """``(table, name)`` of a file or directory; the format follows from the suffix."""
+def table_format(path: str, fmt: str | None = None) -> str:
+    """The format given, or the one that the suffix of the path stands for."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     fmt = fmt or _FORMATS.get(suffix)
     if fmt not in _FORMATS.values():
         known = ", ".join(_FORMATS)
         raise ValueError(f"Unsupported file format '{suffix}'. Must be one of {known}")
+    return fmt
+
+
+def load_table(
+    spark: SparkSession, path: str, fmt: str | None = None, **csv_options
+) -> tuple[DataFrame, str]:
+    """``(table, name)`` of a file or directory; the format follows from the suffix. Options of
+    ``load_csv`` (``sep``, ``encoding``, ``multi_line``) are passed on."""
+    fmt = table_format(path, fmt)
     if fmt == "csv":
-        return load_csv(spark, path), CSV_NAME
+        return load_csv(spark, path, **csv_options), CSV_NAME
     table = spark.read.format(fmt).load(path)
-    return table, os.path.basename(path.rstrip("/")).removesuffix(suffix)
+    base, suffix = os.path.splitext(os.path.basename(path.rstrip("/")))
+    return table, base if suffix.lower() in _FORMATS else base + suffix

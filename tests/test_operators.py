@@ -128,10 +128,36 @@ def test_date_columns(spark):
 def test_free_text_guard(spark):
     rows = [("up 5% today",), ("all calm",), ("nothing",)]
     df = spark.createDataFrame(rows, "note string")
-    destroyed, _ = tw.clean(df)
-    assert dict(destroyed.dtypes)["note"] == "double"
-    kept, _ = tw.clean(df, min_parse_ratio=0.8)
-    assert kept.count() == 3 and dict(kept.dtypes)["note"] == "string"
+    kept, _ = tw.clean(df)
+    assert sorted(r["note"] for r in kept.collect()) == sorted(r[0] for r in rows)
+
+
+def test_one_sign_among_many_texts(spark):
+    text = F.when(F.col("id") == 3, F.lit("up 5%")).otherwise(F.concat(F.lit("note "), F.col("id")))
+    kept, audit = tw.clean(spark.range(2000).select(text.alias("note")))
+    assert audit.percentages == [] and kept.filter("note = 'up 5%'").count() == 1 and kept.count() == 2000
+
+
+def test_currency_signs_after_plain_values(spark):
+    text = F.when(F.col("id") >= 50, F.concat(F.lit("$"), F.col("id"))).otherwise(F.col("id").cast("string"))
+    converted, audit = tw.clean(spark.range(2000).select(text.alias("paid")))
+    assert audit.currencies == {"paid": "$"}
+    assert converted.agg(F.sum("paid")).first()[0] == sum(range(2000))
+
+
+def test_scatter_text_and_draw(spark):
+    points = spark.range(5000).select(
+        (F.col("id") * 3).alias("whole"), (F.col("id") + 12345678.5).alias("large"), F.col("id").cast("double").alias("y")
+    )
+
+    def drawn(df, x):
+        rows = tw.chart_data(df, ChartSpec("c", "scatter", "", x, "y", "raw", "")).collect()
+        return [(r["category"], r["value"]) for r in rows]
+
+    whole = drawn(points.repartition(3), "whole")
+    assert len(whole) == 100 and whole == drawn(points.repartition(5), "whole")
+    assert all(c == str(int(y) * 3) for c, y in whole)
+    assert all(c == f"{y + 12345678.5:.1f}" for c, y in drawn(points, "large"))
 
 
 def test_percent_numbers(spark):
