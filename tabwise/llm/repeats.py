@@ -82,60 +82,77 @@ def buckets(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     at, have, level = _BYTE[data], 1, 0
     while have < gram:
         step = min(have, gram - have)  # the last step may overlap
-        at = mix(at[: len(at) - step] * _STEP[level] + at[step:])
-        have, level = have + step, level + 1
-    return at
+        longer = at[: len(at) - step] * _STEP[level]
+        longer += at[step:]
+        at, have, level = longer, have + step, level + 1
+    return mix(at)
 
 
-def smallest(at: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each `width` neighbours, by doubling."""
+def extreme(at: np.ndarray, width: int, of: np.ufunc = np.minimum) -> np.ndarray:
+    """The minimum (or maximum) of each `width` neighbours, by doubling."""
     have = 1
     while have < width:
         step = min(have, width - have)
-        at = np.minimum(at[: len(at) - step], at[step:])
+        at = of(at[: len(at) - step], at[step:])
         have += step
     return at
 
 
-def runs(body: np.ndarray, wanted: np.ndarray | None = None, mixed: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> Iterator[tuple]:
+def runs(body: np.ndarray, wanted: np.ndarray | None = None, mixed: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> tuple | None:
     """(bucket, digest, first window, windows, whether windows of it can be equal, place of the bucket's
-    q-gram, identifiers of the ranges and then their digests) of one text; with bitmaps, of the wanted buckets
-    alone, and ranges of the mixed ones alone."""
+    q-gram) as arrays, and a list of identifiers of the ranges and then their digests, of the runs of one
+    text; with bitmaps, of the wanted buckets alone, and ranges of the mixed ones alone. None: no run."""
     if len(body) < window:
-        return
+        return None
     ids = buckets(body, gram)
     width = window - gram + 1
-    least = smallest(ids, width)
+    least = extreme(ids, width)
     begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(begins[1:], len(least))
+    # a place is the smallest of some window if the largest minimum of the windows around is its own; the
+    # places of a run follow each other, and where there are several, windows of the run can be equal
+    room = np.zeros(width - 1, np.uint64)
+    spots = np.flatnonzero(extreme(np.concatenate([room, least, room]), width, np.maximum) == ids)
+    names = ids[spots]
+    firsts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    inner, places = np.diff(np.append(firsts, len(spots))) > 1, spots[firsts]
     if wanted is not None:
         some = has(wanted, least[begins].view(np.int64))
-        begins, ends = begins[some], ends[some]
-    raw = body.tobytes()
-    keys = least[begins]
-    spread = ranges(window, gram)
-    refine = has(mixed, keys.view(np.int64)).tolist() if mixed is not None else [False] * len(begins)
-    for lo, hi, name, key, fine in zip(begins.tolist(), ends.tolist(), keys.view(np.int64).tolist(), keys, refine, strict=True):
-        # where the bucket's q-gram occurs twice in the span, and only there, windows of the run can be equal
-        spots = np.flatnonzero(ids[lo : hi + width - 1] == key)
-        inner, a = len(spots) > 1, lo + int(spots[0])
-        codes = None
-        if fine and not inner:
-            codes, fulls = [], []
-            for first, last, length in spread:
-                x, begin, stop = a - first, max(lo, a - last), min(hi - 1, a - first)
-                if begin > stop:  # the run has no window of this range
-                    codes.append(None)
-                    fulls.append(None)
-                    continue
-                offsets = [*range(0, length - gram, gram), length - gram]
-                codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]))
-                fulls.append(int.from_bytes(blake2b(raw[begin : stop + window], digest_size=8).digest(), "little", signed=True))
-            codes += fulls
-        for b in range(lo, hi, longest):
-            c = min(b + longest, hi)
-            digest = int.from_bytes(blake2b(raw[b : c + window - 1], digest_size=8).digest(), "little", signed=True)
-            yield name, digest, b, c - b, inner, a, codes
+        begins, ends, inner, places = begins[some], ends[some], inner[some], places[some]
+        if not len(begins):
+            return None
+    keys = least[begins].view(np.int64)
+    codes: list[list | None] = [None] * len(begins)
+    if mixed is not None:
+        raw = body.tobytes()
+        for r in np.flatnonzero(has(mixed, keys) & ~inner).tolist():
+            codes[r] = _codes(raw, ids, int(begins[r]), int(ends[r]), int(places[r]), window, gram)
+    # long runs in several rows
+    rows = -(-(ends - begins) // longest)
+    run = np.repeat(np.arange(len(begins)), rows)
+    p = begins[run] + (np.arange(len(run)) - np.repeat(np.cumsum(rows) - rows, rows)) * longest
+    n = np.minimum(p + longest, ends[run]) - p
+    # all bytes that a row spans, by the q-grams that cover them
+    span = n + window - 1
+    digest = span.astype(np.uint64)
+    for o in range(0, int(span.max()), gram):
+        digest = mix(digest * _STEP[-1] + ids[p + np.minimum(o, span - gram)])
+    return keys[run], digest.view(np.int64), p, n, inner[run], places[run], [codes[r] for r in run.tolist()]
+
+
+def _codes(raw: bytes, ids: np.ndarray, lo: int, hi: int, a: int, window: int, gram: int) -> list[int | None]:
+    """Identifiers of a run's ranges, then digests of all bytes of their windows."""
+    codes, fulls = [], []
+    for first, last, length in ranges(window, gram):
+        x, begin, stop = a - first, max(lo, a - last), min(hi - 1, a - first)
+        if begin > stop:  # the run has no window of this range
+            codes.append(None)
+            fulls.append(None)
+            continue
+        offsets = [*range(0, length - gram, gram), length - gram]
+        codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]))
+        fulls.append(int.from_bytes(blake2b(raw[begin : stop + window], digest_size=8).digest(), "little", signed=True))
+    return codes + fulls
 
 
 def _key() -> Column:
@@ -143,18 +160,24 @@ def _key() -> Column:
 
 
 def _runs_of(docs: DataFrame, wanted: np.ndarray, mixed: np.ndarray, window: int, gram: int) -> DataFrame:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
     names = ["m", "s", "k", "p", "n", "inner", "a", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, limits = utf8(batch.column(1))
-            rows: list[tuple] = []
+            held, rows = [], 0
             for i, key in enumerate(batch.column(0).to_pylist()):
-                rows += [(m, s, key, *rest) for m, s, *rest in runs(data[limits[i] : limits[i + 1]], wanted, mixed, window, gram)]
-                if rows and (len(rows) >= 50_000 or i == len(batch) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
+                found = runs(data[limits[i] : limits[i + 1]], wanted, mixed, window, gram)
+                if found:
+                    m, s, *rest = found
+                    held.append((m, s, np.full(len(m), key, np.int64), *rest))
+                    rows += len(m)
+                if held and (rows >= 50_000 or i == len(batch) - 1):
+                    *cols, codes = zip(*held, strict=True)
+                    arrays = [pa.array(np.concatenate(c)).cast(t) for c, t in zip(cols, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([e for c in codes for e in c], pa.list_(pa.int64()))], names=names)
+                    held, rows = [], 0
 
     return docs.select("k", "text").mapInArrow(run, RUNS)
 
@@ -165,17 +188,15 @@ def _all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, limits = utf8(batch.column(0))
-            m: list[int] = []
-            s: list[int] = []
-            inner: list[bool] = []
+            held, rows = [], 0
             for i in range(len(batch)):
-                for found in runs(data[limits[i] : limits[i + 1]], window=window, gram=gram):
-                    m.append(found[0])
-                    s.append(found[1])
-                    inner.append(found[4])
-                if m and (len(m) >= 50_000 or i == len(batch) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(inner, pa.bool_())], names=["m", "s", "inner"])
-                    m, s, inner = [], [], []
+                found = runs(data[limits[i] : limits[i + 1]], window=window, gram=gram)
+                if found:
+                    held.append((found[0], found[1], found[4]))
+                    rows += len(found[0])
+                if held and (rows >= 50_000 or i == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["m", "s", "inner"])
+                    held, rows = [], 0
 
     return docs.select("text").mapInArrow(run, "m long, s long, inner boolean")
 
