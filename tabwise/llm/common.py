@@ -64,6 +64,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{i}").alias(name) for i, name in zip(at, names, strict=True)))
 
 
+_RELEASE: list[Callable[[], None]] = []
+
+
+def on_release(free: Callable[[], None]) -> None:
+    """Call `free` in this worker when a pass of `append` begins in it."""
+    _RELEASE.append(free)
+
+
+def release() -> None:
+    """Let go of what passes that have ended keep in this worker from one of their tasks to the next."""
+    for free in _RELEASE:
+        free()
+
+
 def append(df: DataFrame, needs: list[str], fields: list[T.StructField], compute: Callable[..., list[pa.Array]], step: int = 2000) -> DataFrame:
     """All columns of df and those that `compute` makes of the needed ones, an Arrow batch at a time.
 
@@ -74,6 +88,7 @@ def append(df: DataFrame, needs: list[str], fields: list[T.StructField], compute
     new = [T.StructField(f"x{i}", f.dataType) for i, f in enumerate(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for lo in range(0, whole.num_rows, step):  # smaller batches, less memory for what `compute` makes
                 b = whole.slice(lo, step)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Saved, append, pick, text_of
+from .common import Saved, append, on_release, pick, text_of
 
 END, CAPACITY = 2, 1024
 
@@ -73,6 +73,9 @@ def _encoder(path: str) -> tuple[_Ids, _Ids]:
     tokenizer.encode_special_tokens = True  # the marks' names in a text are ordinary text
     first, later = _Ids(tokenizer, ""), _Ids(tokenizer, " ")
     first.after = later.after = first
+    # tasks of one pass share the words; the pass that places the pieces lets go of them
+    on_release(first.clear)
+    on_release(later.clear)
     return first, later
 
 
@@ -110,15 +113,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=schema.names
             )
 
-    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The worker lives on after the task; what it has kept of the words need not."""
-        try:
-            yield from run(batches)
-        finally:
-            for kept in _encoder(path):
-                kept.clear()
-
-    return pick(docs, "doc_id", "text").mapInArrow(freed, schema)
+    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 # --- the plan: a few numbers for each length
