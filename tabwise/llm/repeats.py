@@ -100,8 +100,9 @@ def extreme(at: np.ndarray, width: int, of: np.ufunc = np.minimum) -> np.ndarray
 
 def runs(body: np.ndarray, wanted: np.ndarray | None = None, mixed: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST_RUN) -> tuple | None:
     """(bucket, digest, first window, windows, whether windows of it can be equal, place of the bucket's
-    q-gram) as arrays, and a list of identifiers of the ranges and then their digests, of the runs of one
-    text; with bitmaps, of the wanted buckets alone, and ranges of the mixed ones alone. None: no run."""
+    q-gram, whether ranges are given) as arrays, of the runs of one text, and identifiers of the ranges and
+    then their digests, and which of these there are, a row for each run with ranges; with bitmaps, of the
+    wanted buckets alone, and ranges of the mixed ones alone. None: no run."""
     if len(body) < window:
         return None
     ids = buckets(body, gram)
@@ -122,37 +123,38 @@ def runs(body: np.ndarray, wanted: np.ndarray | None = None, mixed: np.ndarray |
         if not len(begins):
             return None
     keys = least[begins].view(np.int64)
-    codes: list[list | None] = [None] * len(begins)
-    if mixed is not None:
-        raw = body.tobytes()
-        for r in np.flatnonzero(has(mixed, keys) & ~inner).tolist():
-            codes[r] = _codes(raw, ids, int(begins[r]), int(ends[r]), int(places[r]), window, gram)
+    fine = has(mixed, keys) & ~inner if mixed is not None else np.zeros(len(keys), bool)
+    codes, there = _codes(ids, begins[fine], ends[fine], places[fine], window, gram)
     # long runs in several rows
     rows = -(-(ends - begins) // longest)
     run = np.repeat(np.arange(len(begins)), rows)
     p = begins[run] + (np.arange(len(run)) - np.repeat(np.cumsum(rows) - rows, rows)) * longest
     n = np.minimum(p + longest, ends[run]) - p
-    # all bytes that a row spans, by the q-grams that cover them
-    span = n + window - 1
+    digest = _digest(ids, p, n + window - 1, gram).view(np.int64)
+    # a run without a repeated q-gram is one row
+    return keys[run], digest, p, n, inner[run], places[run], fine[run], codes, there
+
+
+def _digest(ids: np.ndarray, begin: np.ndarray, span: np.ndarray, gram: int) -> np.ndarray:
+    """Identifiers of the bytes from `begin` on, `span` long, by the q-grams that cover them."""
     digest = span.astype(np.uint64)
-    for o in range(0, int(span.max()), gram):
-        digest = mix(digest * _STEP[-1] + ids[p + np.minimum(o, span - gram)])
-    return keys[run], digest.view(np.int64), p, n, inner[run], places[run], [codes[r] for r in run.tolist()]
-
-
-def _codes(raw: bytes, ids: np.ndarray, lo: int, hi: int, a: int, window: int, gram: int) -> list[int | None]:
-    """Identifiers of a run's ranges, then digests of all bytes of their windows."""
-    codes, fulls = [], []
-    for first, last, length in ranges(window, gram):
-        x, begin, stop = a - first, max(lo, a - last), min(hi - 1, a - first)
-        if begin > stop:  # the run has no window of this range
-            codes.append(None)
-            fulls.append(None)
-            continue
-        offsets = [*range(0, length - gram, gram), length - gram]
-        codes.append(int(mix((ids[[x + o for o in offsets]] * _STEP[: len(offsets)]).sum(keepdims=True)).view(np.int64)[0]))
-        fulls.append(int.from_bytes(blake2b(raw[begin : stop + window], digest_size=8).digest(), "little", signed=True))
-    return codes + fulls
+    for o in range(0, int(span.max(initial=0)), gram):
+        digest = mix(digest * _STEP[-1] + ids[begin + np.minimum(o, span - gram)])
+    return digest
+
+
+def _codes(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the ranges of runs, then digests of all bytes of their windows, and which there are."""
+    first, last, length = np.array(ranges(window, gram)).T
+    lo, hi, a = lo[:, None], hi[:, None], a[:, None]
+    begin, stop = np.maximum(lo, a - last), np.minimum(hi - 1, a - first)
+    some = begin <= stop  # else the run has no window of this range
+    there = np.hstack([some, some])
+    at = np.hstack([a - first, begin])
+    span = np.hstack([np.broadcast_to(length, some.shape), stop - begin + window])
+    codes = np.zeros(there.shape, np.uint64)
+    codes[there] = _digest(ids, at[there], span[there], gram)
+    return codes.view(np.int64), there
 
 
 def _key() -> Column:
@@ -174,9 +176,12 @@ def _runs_of(docs: DataFrame, wanted: np.ndarray, mixed: np.ndarray, window: int
                     held.append((m, s, np.full(len(m), key, np.int64), *rest))
                     rows += len(m)
                 if held and (rows >= 50_000 or i == len(batch) - 1):
-                    *cols, codes = zip(*held, strict=True)
-                    arrays = [pa.array(np.concatenate(c)).cast(t) for c, t in zip(cols, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([e for c in codes for e in c], pa.list_(pa.int64()))], names=names)
+                    *cols, fine, codes, there = (np.concatenate(c) for c in zip(*held, strict=True))
+                    arrays = [pa.array(c).cast(t) for c, t in zip(cols, kinds, strict=True)]
+                    ends = np.concatenate([[0], np.cumsum(fine * codes.shape[1])]).astype(np.int32)
+                    values = pa.array(codes.ravel(), mask=~there.ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~fine))
+                    yield pa.RecordBatch.from_arrays([*arrays, lists], names=names)
                     held, rows = [], 0
 
     return docs.select("k", "text").mapInArrow(run, RUNS)
