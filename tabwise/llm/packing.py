@@ -3,11 +3,13 @@
 Documents become token ids and are cut only where they are longer than a sequence. What decides the
 packing is the histogram of piece lengths, at most as many numbers as a sequence has tokens. A
 configuration is a multiset of lengths that fits a sequence; the linear program asks for the least
-number of configurations that cover the histogram. Multiplicative weights solve it: each length has a
-price, a knapsack by dynamic programming finds the configuration of the highest price, and the prices
-of the lengths that it covers fall. The solution is rounded down to whole sequences, what remains is
-packed best fit in decreasing length. Pieces are numbered within their length, in salted groups, and
-look their sequence and offset up in the plan.
+number of configurations that cover the histogram. Multiplicative weights solve it to a stated gap: each
+length has a price, a knapsack by dynamic programming finds the configurations of the highest price, and
+the prices of the lengths that they cover fall by small steps. The sum of all rounds is rounded down to
+whole sequences, what remains is packed best fit in decreasing length. Where rounding costs more than the
+program gains (few pieces of each length), or best fit of all pieces needs no more sequences than the
+tokens fill, best fit is the plan. Pieces are numbered within
+their length, in salted groups, and look their sequence and offset up in the plan.
 
 Defined results: null or empty text is its end mark alone; equal rows are packed like any others; an
 empty table gives an empty table; a text of any length is cut whole, its first piece being the short
@@ -119,57 +121,71 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 # --- the plan: a few numbers for each length
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths that fits and has the highest price: an unbounded knapsack."""
-    worth = np.zeros(capacity + 1)
-    chosen = np.zeros(capacity + 1, np.int64)
-    order = np.argsort(lengths)
-    ls, ps = lengths[order], price[order]
-    fit = np.searchsorted(ls, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        worth[c], chosen[c] = worth[c - 1], 0
-        if m := fit[c]:
-            total = worth[c - ls[:m]] + ps[:m]
-            j = int(total.argmax())
-            if total[j] > worth[c]:
-                worth[c], chosen[c] = total[j], ls[j]
-    out, c = Counter(), capacity
-    while c > 0:
-        if chosen[c]:
-            out[int(chosen[c])] += 1
-            c -= int(chosen[c])
-        else:
-            c -= 1
-    return out
+def best_configurations(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every space up to the capacity the highest price of lengths that fit, and the last of these lengths.
+
+    An unbounded knapsack; ``price`` has an entry for every length from 0 to the capacity, 0 where there is none.
+    """
+    capacity = len(price) - 1
+    worth, chosen, falling = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), price[::-1].copy()
+    for space in range(1, capacity + 1):
+        total = worth[:space] + falling[capacity - space : capacity]
+        rest = int(total.argmax())
+        worth[space], chosen[space] = total[rest], space - rest
+    return worth, chosen
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, rate: float = 0.7) -> list[tuple[Counter, float]]:
-    """Configurations and how often each is used, fractional, by multiplicative weights.
+def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, step: float = 0.2) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+    """Configurations with how often each is used, fractional, and a lower bound, by multiplicative weights.
 
     A price starts as the length's share of a sequence, which is the right dual where nothing is wasted.
-    A round uses the dearest configuration as often as its scarcest length allows, and lowers the prices
-    of its lengths by how much of their demand it covers. Ends when all demand is covered.
+    A round takes, of the dearest configurations that begin with each length, those near the dearest of
+    all, in proportion to what their scarcest length allows, and scaled so that no length gains more than
+    ``step``. Every price is the share times exp(-gain), also of lengths that are covered already; prices
+    near 0 count as 0. The sum of the rounds, divided by the least gain, covers every piece. Prices
+    divided by the worth of the dearest configuration are a dual; it is evaluated for each round and for
+    their mean, and gives a lower bound next to all tokens over the capacity. Ends when the sum is within
+    ``gap`` of the best bound: the sum of all rounds, or that of a later stretch, which has no share in the
+    first prices. A stretch is twice as long as the one before and has smaller steps, so any gap is reached.
     """
     lengths = np.array(sorted(counts), np.int64)
-    need = np.array([counts[int(x)] for x in lengths], float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    price, covered, used = lengths / capacity, np.zeros(len(lengths)), []
-    for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        config = best_configuration(price[open_], lengths[open_], capacity)
-        if not config:
-            break
-        at = np.array([place[x] for x in config])
-        times = np.array([config[x] for x in config], float)
-        amount = float((need[at] * np.maximum(1 - covered[at], 0) / times).min())
-        amount = max(amount, 1e-9)
-        used.append((config, amount))
-        covered[at] += amount * times / need[at]
-        covered[at[covered[at] > 1 - 1e-9]] = 1.0
-        price[at] *= np.exp(-rate * 0.1 * amount * times / need[at])
-    return used
+    need, share = np.zeros(capacity + 1), np.arange(capacity + 1) / capacity
+    need[lengths] = [counts[int(x)] for x in lengths]
+    gain, every = np.zeros(len(lengths)), defaultdict(float)
+    bound, rounds, spent = float((need * share).sum()), 400, 0.0
+    while True:
+        near, stretch, before, began, mean = 0.05 * step, defaultdict(float), spent, gain.copy(), np.zeros(capacity + 1)
+        for k in range(1, rounds + 1):
+            factor = np.exp(gain.min() - gain)
+            price = np.zeros(capacity + 1)
+            price[lengths] = np.where(factor > near, share[lengths] * factor, 0.0)
+            worth, chosen = best_configurations(price)
+            bound = max(bound, float((price * need).sum() / worth[capacity]))
+            mean += price / worth[capacity]
+            if k % 50 == 0:
+                bound = max(bound, float((mean * need).sum() / best_configurations(mean)[0][capacity]))
+            first = lengths[(price[lengths] > 0) & (price[lengths] + worth[capacity - lengths] >= (1 - near) * worth[capacity])]
+            held, space = [first], capacity - first
+            while (space > 0).any():
+                held.append(np.where(price[chosen[space]] > 0, chosen[space], 0))
+                space = space - chosen[space]
+            rows = -np.sort(-np.stack(held, 1), axis=1)
+            number = np.repeat(np.arange(len(rows)), rows.shape[1])
+            keys, times = np.unique((number * (capacity + 1) + rows.ravel())[rows.ravel() > 0], return_counts=True)
+            of, length = keys // (capacity + 1), keys % (capacity + 1)
+            amounts = np.minimum.reduceat(need[length] / times, np.searchsorted(of, np.arange(len(rows))))
+            more = np.bincount(length, amounts[of] * times, capacity + 1)[lengths] / need[lengths]
+            scale = step / more.max()
+            gain += more * scale
+            for config, size, amount in zip(rows.tolist(), (rows > 0).sum(axis=1).tolist(), (amounts * scale).tolist(), strict=True):
+                every[tuple(config[:size])] += amount
+                stretch[tuple(config[:size])] += amount
+            spent += float(amounts.sum()) * scale
+            for used, total, covered in ((every, spent, gain), (stretch, spent - before, gain - began)):
+                least = float(covered.min())
+                if least > 0 and total <= (1 + gap) * bound * least:
+                    return [(config, amount / least) for config, amount in used.items()], bound
+        rounds, step = 2 * rounds, 0.85 * step
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -200,16 +216,22 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     """(lengths of a sequence, how many such sequences): all pieces of the histogram, each once."""
     left, out = dict(counts), []
     full = left.pop(capacity, 0)
-    if full:
-        out.append(((capacity,), full))
-    if left:
-        for config, amount in solve(left, capacity):
-            n = min([int(amount + 1e-6), *(left[x] // k for x, k in config.items())])
-            if n > 0:
-                out.append((tuple(sorted(config.elements(), reverse=True)), n))
-                for x, k in config.items():
-                    left[x] -= n * k
-    return out + best_fit({x: n for x, n in left.items() if n}, capacity)
+    whole = [((capacity,), full)] if full else []
+    if not left:
+        return whole
+    plain = best_fit(left, capacity)
+    if sum(n for _, n in plain) == -(-sum(x * n for x, n in left.items()) // capacity):
+        return whole + plain  # no plan has fewer
+    solution, _ = solve(left, capacity)
+    for config, amount in sorted(solution, key=lambda x: (-x[1], x[0])):
+        times = Counter(config)
+        n = min([int(amount + 1e-6), *(left[x] // k for x, k in times.items())])
+        if n > 0:
+            out.append((config, n))
+            for x, k in times.items():
+                left[x] -= n * k
+    out += best_fit({x: n for x, n in left.items() if n}, capacity)
+    return whole + min(out, plain, key=lambda x: sum(n for _, n in x))
 
 
 def _lookup(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

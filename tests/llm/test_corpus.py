@@ -178,6 +178,36 @@ def test_plan_uses_every_piece_once():
         assert sum(n for _, n in planned) <= 1.05 * least + 2
 
 
+def lognormal_counts(seed: int, n: int) -> dict:
+    rng = random.Random(seed)
+    return dict(Counter(1 + int(rng.lognormvariate(6.0, 1.0)) % 1023 for _ in range(n)))
+
+
+@pytest.mark.parametrize("n", [40, 900, 10000])
+def test_configurations_are_solved_to_the_gap(n):
+    counts = lognormal_counts(n, n)
+    solution, bound = packing.solve(counts, gap=0.02)
+    covered = Counter()
+    for config, amount in solution:
+        assert sum(config) <= 1024
+        for x in config:
+            covered[x] += amount
+    assert all(covered[x] >= n * (1 - 1e-9) for x, n in counts.items())
+    assert sum(amount for _, amount in solution) <= 1.02 * bound * (1 + 1e-9)
+    assert sum(x * n for x, n in counts.items()) / 1024 <= bound <= sum(n for _, n in packing.best_fit(counts))
+
+
+@pytest.mark.parametrize("counts", [lognormal_counts(1, 200), lognormal_counts(2, 10000), {600: 7}, {1: 5000, 1023: 4000}, {512: 3, 1024: 2}])
+def test_plan_needs_no_more_sequences_than_best_fit(counts):
+    planned = packing.plan(counts)
+    used = Counter()
+    for held, n in planned:
+        for x in held:
+            used[x] += n
+    assert used == Counter(counts)
+    assert sum(n for _, n in planned) <= sum(n for _, n in packing.best_fit(counts))
+
+
 def test_packing_of_odd_rows(spark, odd, odd_rows, nothing):
     got = packing.pack(spark, odd, BPE).collect()
     tokenizer = Tokenizer.from_file(BPE)
