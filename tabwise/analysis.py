@@ -91,13 +91,15 @@ def analyze(
     min_parse_ratio: float = NUMBER_RATIO,
     fmt: str = "parquet",
     scan: DataFrame | None = None,
+    role_sample: int | None = None,
 ) -> Report:
     """Analyse a table and, with ``out``, write the report bundle.
 
     The number of Spark jobs does not depend on the number of rows or columns (but for very wide
     correlation matrices). ``order_by`` names the column whose order defines "first rows"; without
     it that is scan order. ``scan`` may hold the same rows in a form that is cheaper to read in
-    full. A failing optional stage is noted in ``warnings`` and left out.
+    full. Roles are decided by all values of a column; ``role_sample`` limits that to the first ones.
+    A failing optional stage is noted in ``warnings`` and left out.
     """
     notes: list[str] = []
     started = time.perf_counter()
@@ -115,7 +117,7 @@ def analyze(
     order_by = collapse_spaces(order_by) if order_by else None
 
     with tuned(whole):
-        report = _run(raw, whole, order_by, min_parse_ratio, attempt)
+        report = _run(raw, whole, order_by, min_parse_ratio, role_sample, attempt)
         report.warnings = notes
         if out is not None:
             write_report(report, out, fmt)
@@ -128,6 +130,7 @@ def _run(
     whole: DataFrame,
     order_by: str | None,
     min_parse_ratio: float,
+    role_sample: int | None,
     attempt: Callable,
 ) -> Report:
     spark = raw.sparkSession
@@ -143,17 +146,17 @@ def _run(
         )
 
     def cleaning_chain() -> tuple:
-        before = attempt("roles", lambda: infer_roles(raw, order_by=order_by), [])
+        first = raw if role_sample else whole
+        before = attempt("roles", lambda: infer_roles(first, role_sample, order_by), [])
         cleaning = plan_cleaning(raw, before, order_by, min_parse_ratio, whole)
-        (table, found), after = at_once(
-            spark,
-            lambda: finish_cleaning(whole, cleaning),
-            lambda: attempt(
-                "roles of the cleaned table",
-                lambda: infer_roles(cleaned_head(raw, cleaning, order_by=order_by)),
-                before,
-            ),
-        )
+        table, found = finish_cleaning(whole, cleaning)
+
+        def cleaned_roles() -> list[ColumnRole]:
+            if role_sample is None:
+                return infer_roles(table, None)
+            return infer_roles(cleaned_head(raw, cleaning, role_sample, order_by), role_sample)
+
+        after = attempt("roles of the cleaned table", cleaned_roles, before)
         return before, after, table, found, cleaning.audit
 
     (summary, checked), (raw_roles, roles, cleaned, measured, audit) = at_once(

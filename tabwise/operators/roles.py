@@ -1,4 +1,4 @@
-"""Role detection: one bounded sample per column, one small aggregate, then the role rules."""
+"""Role detection: evidence of each column, from a sample or all of its values, then the role rules."""
 
 from __future__ import annotations
 
@@ -7,21 +7,24 @@ from dataclasses import astuple
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions import parse
-from tabwise.functions.text import CURRENCY_CODES, strip
-from tabwise.operators.frames import kinds, local_frame
+from tabwise.functions.text import CURRENCY_CODES, grouping_key, strip
+from tabwise.operators.frames import column, kinds, local_frame, long_form
 from tabwise.operators.samples import first_values
 from tabwise.plans import vocabulary as v
 from tabwise.plans.roles import ROLE_SCHEMA, ColumnRole, Evidence, decide_role
 
 
 def role_evidence(
-    df: DataFrame, sample_size: int = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
 ) -> DataFrame:
     """One row per column that has values: what its first ``sample_size`` values look like.
 
     ``symbol`` and ``has_percent`` look at the first 50 of them, ``dated``, ``dates`` and
-    ``short_integers`` at the first 30. Text parsing is only tried on text columns.
+    ``short_integers`` at the first 30. Text parsing is only tried on text columns. With None it is
+    all values of the table, see `whole_evidence`.
     """
+    if sample_size is None:
+        return whole_evidence(df)
     texts = [c for c, k in kinds(df).items() if k == "text"]
     value, position = F.col("value"), F.col("position")
     is_text = F.col("column_name").isin(texts) if texts else F.lit(False)
@@ -46,8 +49,48 @@ def role_evidence(
     )
 
 
+def whole_evidence(df: DataFrame, min_ratio: float = 0.80) -> DataFrame:
+    """The evidence of all values of each column: one aggregate over the distinct cells of the table.
+
+    A sign anywhere counts if ``min_ratio`` of the column's values can be read with it, as in
+    cleaning; otherwise one ``%`` would make a column of texts a percentage.
+    """
+    by_kind = kinds(df)
+    texts = [c for c, k in by_kind.items() if k == "text"]
+    cells = long_form(df, {c: column(c).cast("string") for c, k in by_kind.items() if k != "nested"})
+    value = F.when(F.col("column_name").isin(texts), F.col("value"))
+    tests = {
+        "numbers": parse.loose_number(value).isNotNull(),
+        "dates": parse.timestamp(value).isNotNull(),
+        "short_integers": strip(value).rlike(r"^\d{1,4}$"),
+        "percents": parse.percent_number(value).isNotNull(),
+        "currencies": parse.currency_number(value).isNotNull(),
+        "dated": value.isNotNull(),
+        **{f"sign{i}": value.contains(s) for i, s in enumerate(["%", *CURRENCY_CODES])},
+    }
+    distinct = (
+        cells.select("column_name", grouping_key(F.col("value")).alias("key"), *[x.alias(t) for t, x in tests.items()])
+        .groupBy("column_name", "key", *tests)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    found = distinct.groupBy("column_name").agg(
+        F.sum("n").alias("sampled"),
+        F.count(F.lit(1)).alias("distinct"),
+        *[F.sum(F.when(F.col(t), F.col("n")).otherwise(0)).alias(t) for t in tests],
+    )
+    symbol = F.lit(None).cast("string")
+    for i, s in reversed(list(enumerate(CURRENCY_CODES, start=1))):
+        symbol = F.when(F.col(f"sign{i}") > 0, F.lit(s)).otherwise(symbol)
+    readable = {t: F.col(t) / F.col("sampled") >= min_ratio for t in ("percents", "currencies")}
+    return found.select(
+        "column_name", "sampled", "distinct", "numbers", "dated", "dates", "short_integers",
+        ((F.col("sign0") > 0) & readable["percents"]).alias("has_percent"),
+        F.when(readable["currencies"], symbol).alias("symbol"),
+    )
+
+
 def infer_roles(
-    df: DataFrame, sample_size: int = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
 ) -> list[ColumnRole]:
     """Roles of all columns as Python objects, in column order."""
     found = {
@@ -62,7 +105,7 @@ def infer_roles(
 
 
 def detect_roles(
-    df: DataFrame, sample_size: int = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
 ) -> DataFrame:
     """Roles of all columns as a DataFrame."""
     return roles_frame(df, infer_roles(df, sample_size, order_by))

@@ -166,6 +166,25 @@ def test_percent_numbers(spark):
     assert sorted(r["a_pct"] for r in cleaned.collect()) == [0.5, 1.0]
 
 
+def test_analysis_decides_roles_by_whole_columns(spark):
+    late = F.col("id") >= 600
+    df = spark.range(0, 4000, 1, 4).select(
+        F.when(late, F.concat(F.lit("$"), F.col("id").cast("string"))).otherwise(F.lit("7")).alias("amount"),
+        F.when(late, F.concat(F.lit("word "), F.col("id").cast("string"))).otherwise(F.lit("7")).alias("note"),
+        F.when(F.col("id") == 3999, F.lit("5% of all")).otherwise(F.lit("plain")).alias("words"),
+        F.least("id", F.lit(900)).alias("level"),
+    )
+    report = tw.analyze(spark, df)
+    raw = {r.column_name: r for r in report.raw_roles}
+    assert not report.warnings
+    assert (raw["amount"].role, raw["amount"].currency_symbol) == ("currency", "$")
+    assert raw["note"].role == "categorical" and raw["words"].role == "categorical"
+    assert raw["level"].unique_count == 901
+    assert {r.column_name: r.unique_count for r in report.roles}["level"] == 901
+    sampled = {r.column_name: r for r in tw.analyze(spark, df, role_sample=500).raw_roles}
+    assert sampled["amount"].currency_symbol is None and sampled["level"].unique_count == 500
+
+
 def test_roles_of_the_cleaned_head_when_rows_repeat(spark):
     df = spark.range(0, 40_000, 1, 8).select(
         F.when(F.col("id") < 30_000, F.lit(0)).otherwise(F.col("id")).alias("n")
