@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding of a fixed depth, then exact verification.
 
-Texts are sets of five-word shingles. Each tree of the forest is a sorted trie of MinHash values; two
-texts meet in a tree if they share a prefix of it. The prefix starts at the deepest level and is
-shortened until two texts of just the threshold meet in some tree with the target probability. Texts
+Texts are sets of five-word shingles. Each tree is a band of MinHash values; two texts meet in it if
+they share its first values. How many is computed before the data is read: the most, up to the deepest
+level, with which two texts of just the threshold meet in some band with the target probability. No trie
+is sorted or descended, and deeper levels are not signed. Texts
 that meet are put into clusters, and within a cluster every pair is compared exactly, in blocks, by
 matrix products over the shingles; pairs never leave a task. Texts of equal words are one text with a
 weight.
