@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, pseudonyms, repeats, secret_scan
+from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, periodic, pseudonyms, repeats, secret_scan
 from .common import pick
 
 
@@ -63,6 +63,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.links(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return periodic.digests(periodic.find_runs(periodic.plant_periods(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
