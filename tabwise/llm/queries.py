@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, periodic, pseudonyms, repeats, secret_scan
+from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, passages, periodic, pseudonyms, repeats, secret_scan
 from .common import pick
 
 
@@ -68,6 +68,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.plant_periods(docs)))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(spark, _table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_substring_dedup": op12_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": line_quality.oracle(),
     "op7_warc": archive.ORACLE,
+    "op12_substring_dedup": passages.ORACLE,
 }
