@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, passages, periodic, pseudonyms, repeats, secret_scan
+from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, passages, periodic, pseudonyms, repeats, secret_scan, spelling
 from .common import pick
 
 
@@ -72,6 +72,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(spark, _table(spark, sf_dir, "documents"), with_text=False).drop("spans")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+    return spelling.group_variants(spark, words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
