@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def grouped(df: DataFrame, keys: list[str], compute: Callable[[tuple, pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], compute: Callable[[tuple, pa.Table], pa.Table | None], schema: str, tasks: int | None = None) -> DataFrame:
     """`compute(key, rows)` of each group of (integer) keys; groups must be of bounded size.
 
+    With `tasks`, the first key, a number from 0, is dealt to that many tasks in turn.
+
     Rows are dealt and sorted by the keys and stream through the task: a task holds one batch and the
     group that goes on into the next, and small groups cost no call of their own into Spark.
     """
@@ -40,7 +43,8 @@ def grouped(df: DataFrame, keys: list[str], compute: Callable[[tuple, pa.Table],
             yield from pa.concat_tables(made).combine_chunks().to_batches()
         return None if last else table.slice(cuts[stop])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if tasks is None else df.repartitionById(tasks, F.col(keys[0]) % tasks)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ of all texts are the index; every rolling window of 18 words of every text probe
    places to the bucket of the hash. A bucket's index counts its probes: a block that is found more often
    than by itself is an anchor.
 3. Anchors are extended: the windows around them that have no whole block without an anchor are all that can
-   be repeated. Their 128-bit digests meet in buckets in the same way, and windows of equal digests are
-   repeats. Consecutive ones make up the maximal exact repeats.
+   be repeated. Their digests meet in buckets in the same way, and windows of equal digests are repeats: 64
+   bits within a bucket that an independent hash chooses, so of N windows N / 2^46 are expected to be taken
+   for others, whatever N. Consecutive ones make up the maximal exact repeats.
 4. The words of the repeated windows go.
 
 A hash that thousands of texts share is sent once by a task, with its places answered in the task itself,
@@ -37,7 +38,8 @@ from .shingles import mix, rows_in_blocks, word_hashes
 
 WINDOW = 35
 #: Words that a task hashes before it sends them, and text bytes and windows of a bucket.
-FLUSH, BUCKET_BYTES, BUCKET_WINDOWS = 2_000_000, 64 << 20, 1 << 21
+FLUSH, BUCKET_BYTES, BUCKET_WINDOWS = 2_000_000, 32 << 20, 1 << 19
+MOST_TASKS = 20_000
 _STEPS = np.random.default_rng(41).integers(1, 1 << 63, (2, 16), dtype=np.uint64) | np.uint64(1)
 _SENT = "bucket int, once binary, more binary, rest binary, unit binary, place binary"
 _PLACE = "u long, p int"
@@ -85,14 +87,14 @@ def _split(buckets: int, of: np.ndarray, *arrays: np.ndarray) -> list[list[bytes
     return [[x.tobytes() for x in np.split(a[order], cuts)] for a in arrays]
 
 
-def sent(buckets: int, keys: np.ndarray, rest: np.ndarray, counts: np.ndarray, owner: np.ndarray, unit: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def sent(buckets: int, of: np.ndarray, rest: np.ndarray, counts: np.ndarray, owner: np.ndarray, unit: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What a task sends: each key once, whether it occurs once or more, and the places of keys that have one.
 
-    `keys` are distinct, `rest` is what tells the keys of a bucket apart; `owner` numbers the key of each place.
-    Places of keys that occur more than once need no answer: they go on as they are, dealt by their text.
+    `of` has the bucket of each distinct key, `rest` what tells the keys of a bucket apart; `owner` numbers the
+    key of each place. Places of keys that occur more than once need no answer: they go on as they are, dealt
+    by their text.
     """
-    of, known = bucket_of(keys, buckets), counts[owner] > 1
-    single = counts == 1
+    known, single = counts[owner] > 1, counts == 1
     once = _split(buckets, of[single], rest[single])[0]
     more = _split(buckets, of[~single], rest[~single])[0]
     asked = ~known
@@ -154,7 +156,7 @@ def _probe(block: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             begins = place[at] % block == 0
             unit = _column(rows, "u")[row[at]]
             rest = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield from sent(buckets, keys, rest, counts, of[begins], unit[begins], (place[at] // block)[begins].astype(np.int32))
+            yield from sent(buckets, bucket_of(keys, buckets), rest, counts, of[begins], unit[begins], (place[at] // block)[begins].astype(np.int32))
 
     return run
 
@@ -168,9 +170,6 @@ def candidates(n: int, anchors: np.ndarray, window: int, block: int) -> np.ndarr
     return begins[before[(begins + window) // block] == before[-(-begins // block)]]
 
 
-_DIGEST = np.dtype([("lo", np.uint64), ("hi", np.uint32)])
-
-
 def _extend(window: int, block: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(u, text, c, anchors) -> digests of the windows that may be repeated, by bucket."""
 
@@ -180,21 +179,18 @@ def _extend(window: int, block: int, buckets: int) -> Callable[[Iterator[pa.Reco
             at = [lo + candidates(int(hi - lo), np.array(a, np.int64), window, block) for lo, hi, a in zip(limits[:-1].tolist(), limits[1:].tolist(), anchors, strict=True)]
             row = np.repeat(np.arange(len(at)), [len(x) for x in at])
             at = np.concatenate(at)
-            digest = np.empty(len(at), _DIGEST)
-            digest["lo"] = rolling(words, window)[at]
-            digest["hi"] = rolling(words, window, 1)[at] >> np.uint64(32)
-            order = np.lexsort((digest["hi"], digest["lo"]))
-            ordered = digest[order]
+            digest, bucket = rolling(words, window)[at], bucket_of(rolling(words, window, 1)[at], buckets)
+            order = np.lexsort((digest, bucket))
+            keys, held = digest[order], bucket[order]
             first = np.ones(len(at), bool)
-            first[1:] = ordered[1:] != ordered[:-1]
+            first[1:] = (keys[1:] != keys[:-1]) | (held[1:] != held[:-1])
             of = np.empty(len(at), np.int64)
             of[order] = np.cumsum(first) - 1
             copies = _column(rows, "c")[row]
             counts = np.bincount(of, np.minimum(copies, 2), int(first.sum())).astype(np.int64)
             alone = copies == 1  # all windows of a text with copies are repeated anyway
             unit = _column(rows, "u")[row]
-            keys = ordered[first]
-            yield from sent(buckets, keys["lo"], keys, counts, of[alone], unit[alone], (at - limits[:-1][row])[alone].astype(np.int32))
+            yield from sent(buckets, held[first], keys[first], counts, of[alone], unit[alone], (at - limits[:-1][row])[alone].astype(np.int32))
 
     return run
 
@@ -240,6 +236,20 @@ def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _anchors(texts: DataFrame, saved: Saved, block: int, buckets: int) -> DataFrame:
+    """(u, p): block p of the text u occurs elsewhere."""
+    probes = texts.select("u", "text", "c").mapInArrow(_probe(block, buckets), _SENT)
+    return saved(grouped(probes, ["bucket"], _answers(np.dtype(np.uint32)), _PLACE, min(buckets, MOST_TASKS)))
+
+
+def _repeated(texts: DataFrame, anchors: DataFrame, saved: Saved, window: int, block: int, buckets: int) -> DataFrame:
+    """(u, p): the window at word p of the text u, which has no copies, occurs elsewhere."""
+    around = anchors.groupBy("u").agg(F.collect_list("p").alias("ps"))
+    meet = texts.join(around, "u").select("u", "text", "c", "ps")
+    dealt = meet.mapInArrow(_extend(window, block, buckets), _SENT)
+    return saved(grouped(dealt, ["bucket"], _answers(np.dtype(np.uint64)), _PLACE, min(buckets, MOST_TASKS)))
+
+
 def _key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
@@ -257,13 +267,10 @@ def remove_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     )
     saved.free()
     total = texts.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    probes = texts.select("u", "text", "c").mapInArrow(_probe(block, 1 + total // bucket_bytes), _SENT)
-    anchors = saved(grouped(probes, ["bucket"], _answers(np.dtype(np.uint32)), _PLACE))
+    anchors = _anchors(texts, saved, block, 1 + total // bucket_bytes)
     saved.free()
-    around = anchors.groupBy("u").agg(F.collect_list("p").alias("ps"))
-    meet = texts.join(around, "u").select("u", "text", "c", "ps")
-    buckets = 1 + anchors.count() * block // bucket_windows
-    windows = saved(grouped(meet.mapInArrow(_extend(window, block, buckets), _SENT), ["bucket"], _answers(_DIGEST), _PLACE))
+    windows = _repeated(texts, anchors, saved, window, block, 1 + anchors.count() * block // bucket_windows)
+    saved.drop(anchors)
     saved.free()
     places = windows.groupBy("u").agg(F.collect_list("p").alias("ps"))
     cut = _cut(texts.join(places, "u", "left").select("key", "text", "c", "ps"), window, with_text)
