@@ -36,9 +36,9 @@ class Saved:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, **options: str) -> DataFrame:
         path = scratch(self.spark)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back

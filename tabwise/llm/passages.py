@@ -37,8 +37,8 @@ from .common import WORD, Saved, pick, utf8
 from .shingles import mix, rows_in_blocks, word_hashes
 
 WINDOW = 35
-#: Words that a task hashes before it sends them, and text bytes and windows of a bucket.
-FLUSH, BUCKET_BYTES, BUCKET_WINDOWS = 2_000_000, 32 << 20, 1 << 19
+#: Words that a task hashes before it sends them, text bytes and windows of a bucket.
+FLUSH, BUCKET_BYTES, BUCKET_WINDOWS = 1_000_000, 32 << 20, 1 << 19
 MOST_TASKS = 20_000
 _STEPS = np.random.default_rng(41).integers(1, 1 << 63, (2, 16), dtype=np.uint64) | np.uint64(1)
 _SENT = "bucket int, once binary, more binary, rest binary, unit binary, place binary"
@@ -174,7 +174,7 @@ def _extend(window: int, block: int, buckets: int) -> Callable[[Iterator[pa.Reco
     """(u, text, c, anchors) -> digests of the windows that may be repeated, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, limits in texts_of(batches, FLUSH // 2):
+        for rows, words, limits in texts_of(batches):
             anchors = [x for b in rows for x in b.column(3).to_pylist()]
             at = [lo + candidates(int(hi - lo), np.array(a, np.int64), window, block) for lo, hi, a in zip(limits[:-1].tolist(), limits[1:].tolist(), anchors, strict=True)]
             row = np.repeat(np.arange(len(at)), [len(x) for x in at])
@@ -263,7 +263,8 @@ def remove_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     rows = pick(docs, "doc_id", "text").withColumn("key", _key(F.col("text")))
     texts = saved(
         rows.groupBy("key").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("c"))
-        .select(F.monotonically_increasing_id().alias("u"), "text", "c", "key", F.octet_length("text").cast("long").alias("bytes"))
+        .select(F.monotonically_increasing_id().alias("u"), "text", "c", "key", F.octet_length("text").cast("long").alias("bytes")),
+        compression="zstd",
     )
     saved.free()
     total = texts.agg(F.sum("bytes").alias("b")).first()["b"] or 0
