@@ -31,6 +31,11 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def folder():
+    return FOLDER
+
+
 @pytest.fixture(scope="session")
 def sql():
     connection = duckdb.connect()

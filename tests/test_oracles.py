@@ -1,7 +1,6 @@
 """Every registered query against its SQL counterpart."""
 
 import pytest
-from conftest import FOLDER
 
 import __spark_entry__ as entry
 
@@ -18,8 +17,8 @@ def _table(columns, rows):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_sql(spark, sql, name):
-    result = QUERIES[name](spark, FOLDER)
+def test_query_equals_sql(spark, sql, folder, name):
+    result = QUERIES[name](spark, folder)
     got = _table(result.columns, result.collect())
     cursor = sql.execute(ORACLES[name])
     want = _table([d[0] for d in cursor.description], cursor.fetchall())
