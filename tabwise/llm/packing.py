@@ -18,21 +18,24 @@ one; which sequence numbers occur is not defined.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Saved, append, on_release, pick, text_of
+from .common import Saved, append, pick, text_of
 
 END, CAPACITY = 2, 1024
 
@@ -40,54 +43,69 @@ END, CAPACITY = 2, 1024
 
 #: A blank before anything but white space always begins a token of the byte-level vocabulary.
 _CUT = re.compile(r" (?=\S)")
+#: White space of this length is more than the rank encoder takes; shorter texts need not be searched for it.
+_BLANKS, _LONG = re.compile(r"\s{50000}"), 50_000
 
 
-class _Ids(dict):
-    """Token ids, as little-endian bytes, of what stands between two cuts; bounded."""
+def _bytes_of(token: str) -> bytes:
+    """The bytes that a byte-level token stands for: printable Latin-1 is itself, other bytes follow U+0100."""
+    return bytes(_BYTE_OF[c] for c in token)
 
-    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.before, self.most = tokenizer, before, most
-        self.after: _Ids | None = None  # ids of what follows a line break
-        self.fixed = {c: self.encode(c) for c in ".,\n"}
 
-    def encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        left, broken, right = part.partition("\n")
-        if broken and left and right and self.after is not None and not left[-1].isspace() and not right[0].isspace():
-            out = self[left] + self.fixed["\n"] + self.after[right]  # a single line break is a token of its own
-        elif len(part) > 1 and part[-1] in ".," and part[-2].isalpha():
-            out = self[part[:-1]] + self.fixed[part[-1]]  # and so is a single mark after a letter
-        else:
-            out = self.encode(self.before + part)
-        if len(part) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = out
-        return out
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[_Ids, _Ids]:
+def _encoders(path: str) -> tuple[Tokenizer, tiktoken.Encoding | None]:
+    """The tokenizer of the file, and one of the same ids that takes merges by rank and is faster.
+
+    There is none if the file is no byte-level vocabulary whose ids follow the order of its merges.
+    """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # the marks' names in a text are ordinary text
-    first, later = _Ids(tokenizer, ""), _Ids(tokenizer, " ")
-    first.after = later.after = first
-    # tasks of one pass share the words; the pass that places the pieces lets go of them
-    on_release(first.clear)
-    on_release(later.clear)
-    return first, later
+    spec = json.loads(tokenizer.to_str())
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    vocab, merges = model.get("vocab", {}), model.get("merges", [])
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges] if model["type"] == "BPE" else []
+    order = [vocab.get("".join(m), -1) for m in pairs]
+    same = (
+        before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        and not spec["normalizer"] and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and order == list(range(len(vocab) - len(order), len(vocab))) and set("".join(vocab)) <= set(_BYTE_OF)
+    )
+    if not same:
+        return tokenizer, None
+    ranks = {_bytes_of(token): i for token, i in vocab.items()}
+    return tokenizer, tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _latin(text: str) -> bool:
+    """Both encoders agree on the kinds of these characters, whatever their tables of others."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _ids(text: str, path: str) -> list[int]:
+    tokenizer, fast = _encoders(path)
+    if fast is None or (len(text) >= _LONG and _BLANKS.search(text)):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+    if _latin(text):
+        return fast.encode_ordinary(text)
+    out, blank = [], ""
+    for latin, words in groupby(_CUT.split(text), _latin):
+        part = blank + " ".join(words)
+        out += fast.encode_ordinary(part) if latin else tokenizer.encode(part, add_special_tokens=False).ids
+        blank = " "
+    return out
 
 
 def token_ids(text: str, path: str, end: int = END) -> bytes:
     """The text's ids and the end mark, little-endian unsigned 32-bit."""
-    first, later = _encoder(path)
-    head, *rest = _CUT.split(text)
-    parts = [first[head]] if head else []
-    parts += [later[x] for x in rest]
-    return b"".join([*parts, array("I", [end]).tobytes()])
+    return np.array([*_ids(text, path), end], "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -127,15 +145,27 @@ def best_configurations(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     An unbounded knapsack; ``price`` has an entry for every length from 0 to the capacity, 0 where there is none.
     """
     capacity = len(price) - 1
-    worth, chosen, falling = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), price[::-1].copy()
-    for space in range(1, capacity + 1):
-        total = worth[:space] + falling[capacity - space : capacity]
-        rest = int(total.argmax())
-        worth[space], chosen[space] = total[rest], space - rest
+    lengths = np.flatnonzero(price)
+    least = int(lengths[0]) if len(lengths) else capacity + 1
+    worth, chosen = np.zeros(capacity + 1), np.arange(capacity + 1)
+    if least < 8:
+        falling = price[::-1].copy()
+        for space in range(1, capacity + 1):
+            total = worth[:space] + falling[capacity - space : capacity]
+            rest = int(total.argmax())
+            worth[space], chosen[space] = total[rest], space - rest
+        return worth, chosen
+    for space in range(least, capacity + 1, least):  # a piece leaves only spaces that are done
+        spaces = np.arange(space, min(space + least, capacity + 1))
+        fits = lengths[lengths <= spaces[-1]]
+        rest = spaces[:, None] - fits
+        total = np.where(rest >= 0, price[fits] + worth[np.maximum(rest, 0)], -1.0)
+        best = total.argmax(axis=1)
+        worth[spaces], chosen[spaces] = total[np.arange(len(spaces)), best], fits[best]
     return worth, chosen
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, step: float = 0.2) -> tuple[list[tuple[tuple[int, ...], float]], float]:
+def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, step: float = 0.2, most: int = 1600) -> tuple[list[tuple[tuple[int, ...], float]], float]:
     """Configurations with how often each is used, fractional, and a lower bound, by multiplicative weights.
 
     A price starts as the length's share of a sequence, which is the right dual where nothing is wasted.
@@ -146,13 +176,16 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, s
     divided by the worth of the dearest configuration are a dual; it is evaluated for each round and for
     their mean, and gives a lower bound next to all tokens over the capacity. Ends when the sum is within
     ``gap`` of the best bound: the sum of all rounds, or that of a later stretch, which has no share in the
-    first prices. A stretch is twice as long as the one before and has smaller steps, so any gap is reached.
+    first prices. A stretch is twice as long as the one before and has smaller steps, so any gap would be
+    reached, but slowly where pieces have few lengths and much is wasted: after ``most`` rounds it is the best
+    sum so far, with the bound that proves how far from the least it can be.
     """
     lengths = np.array(sorted(counts), np.int64)
     need, share = np.zeros(capacity + 1), np.arange(capacity + 1) / capacity
     need[lengths] = [counts[int(x)] for x in lengths]
     gain, every = np.zeros(len(lengths)), defaultdict(float)
-    bound, rounds, spent = float((need * share).sum()), 400, 0.0
+    bound, rounds, spent, left = float((need * share).sum()), 400, 0.0, most
+    kept: tuple[float, dict, float] = (np.inf, {}, 1.0)
     while True:
         near, stretch, before, began, mean = 0.05 * step, defaultdict(float), spent, gain.copy(), np.zeros(capacity + 1)
         for k in range(1, rounds + 1):
@@ -185,6 +218,16 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, s
                 least = float(covered.min())
                 if least > 0 and total <= (1 + gap) * bound * least:
                     return [(config, amount / least) for config, amount in used.items()], bound
+            left -= 1
+            if not left:
+                break
+        for used, total, covered in ((every, spent, gain), (stretch, spent - before, gain - began)):
+            least = float(covered.min())
+            if least > 0 and total / least < kept[0]:
+                kept = (total / least, dict(used), least)
+        if not left and kept[1]:
+            return [(config, amount / kept[2]) for config, amount in kept[1].items()], bound
+        left = left or rounds  # not every length has its turn yet
         rounds, step = 2 * rounds, 0.85 * step
 
 

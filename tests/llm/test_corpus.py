@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -208,6 +209,57 @@ def test_plan_needs_no_more_sequences_than_best_fit(counts):
     assert sum(n for _, n in planned) <= sum(n for _, n in packing.best_fit(counts))
 
 
+@pytest.mark.parametrize("n", [3000, 300_000])
+def test_narrow_lengths_end_with_a_proven_bound(n):
+    lengths = np.random.default_rng(n).integers(250, 521, n)
+    counts = dict(Counter(lengths.tolist()))
+    begun = time.process_time()
+    solution, bound = packing.solve(counts)
+    assert time.process_time() - begun < 20  # 3 s and 4 s measured
+    covered = Counter()
+    for config, amount in solution:
+        assert sum(config) <= 1024
+        for x in config:
+            covered[x] += amount
+    assert all(covered[x] >= k * (1 - 1e-9) for x, k in counts.items())
+    assert lengths.sum() / 1024 <= bound <= sum(amount for _, amount in solution) <= 1.06 * bound
+    planned = packing.plan(counts)
+    assert sum(k for _, k in planned) <= sum(k for _, k in packing.best_fit(counts))
+
+
+def test_best_configurations_of_long_lengths():
+    rng = np.random.default_rng(2)
+    for least in (8, 30, 200, 600, 1024):
+        price = np.zeros(1025)
+        price[least:] = rng.random(1025 - least) * (rng.random(1025 - least) < 0.3)
+        price[1024] = 0.5
+        worth, chosen = packing.best_configurations(price)
+        plain = np.zeros(1025)
+        for space in range(1, 1025):
+            plain[space] = max(plain[space - 1], max(price[x] + plain[space - x] for x in range(1, space + 1)))
+        assert np.allclose(worth, plain)
+        for space in range(1025):
+            spent, left = 0.0, space
+            while left:
+                spent += price[chosen[left]]
+                left -= chosen[left]
+            assert left == 0 and np.isclose(spent, worth[space])
+
+
+def test_fast_and_plain_encoders_agree():
+    """The rank encoder and the tokenizer, on joined tokens, on all kinds of characters and on long runs."""
+    tokenizer, fast = packing._encoders(BPE)
+    assert fast is not None
+    rng = random.Random(12)
+    tokens = [t for t in (fast.decode([i]) for i in range(50_000)) if packing._latin(t)]
+    texts = ["".join(rng.choices(tokens, k=rng.randint(1, 6))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.randrange(256)) for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(" \n\t\x85\xa0\x1c\x0ba.1'sé") for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    texts += ["z" * 5000, "ab" * 3000, " " * 7000 + "x", "\n" * 3000, " " * 2_000_000 + "x y", "日本 語 and\u3000more \u2014 x  — y " * 3]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing._ids(text, BPE) == found.ids
+
+
 def test_packing_of_odd_rows(spark, odd, odd_rows, nothing):
     got = packing.pack(spark, odd, BPE).collect()
     tokenizer = Tokenizer.from_file(BPE)
