@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.inputs import (
-    CLEANED_SQL, FILL_SQL, FILLED_SQL, MARKED_SQL, MESSY_NAMES, MESSY_SQL, TABLES, TYPED_SQL,
+    CLEANED_SQL, FILL_SQL, MARKED_SQL, MESSY_NAMES, MESSY_SQL, TABLES, TYPED_SQL,
 )
 from tabwise.plans import vocabulary as v
 
@@ -229,60 +229,53 @@ ORACLES["first_values_orders"] = union(
 )
 
 
-def _evidence(source: str, name: str, kind: str, order: str = "row_number() OVER ()") -> str:
-    """Evidence of one column from its first 500 values in table order."""
-    value = f'CAST("{name}" AS VARCHAR)'
-    text = kind == "t"
-    loose = r"trim(regexp_replace(v, '[,%₹$€£]', '', 'g'))"
-    symbol = " ".join(
-        f"WHEN count(*) FILTER (WHERE p <= 50 AND contains(v, '{s}')) > 0 THEN '{s}'" for s in "₹$€£"
-    )
+def _evidence(source: str, name: str, kind: str) -> str:
+    """Evidence of all values of one column; ``n_values`` counts the different ones."""
+    readable = "count(*) FILTER (WHERE regexp_matches(trim({}), '" + NUMBER + "'))"
+    loose = readable.format("regexp_replace(v, '[,%₹$€£]', '', 'g')")
+    percents, currencies = readable.format("replace(v, '%', '')"), readable.format("regexp_replace(v, '[,₹$€£]', '', 'g')")
+    symbol = " ".join(f"WHEN {currencies} >= 0.8 * count(*) AND bool_or(contains(v, '{s}')) THEN '{s}'" for s in "₹$€£")
     tests = (
-        f"""count(*) FILTER (WHERE regexp_matches({loose}, '{NUMBER}')) AS numbers,
-    count(*) FILTER (WHERE p <= 30) AS dated,
-    count(*) FILTER (WHERE p <= 30 AND regexp_matches(trim(v), '{DATE}')
-      AND TRY_CAST(trim(v) AS TIMESTAMP) IS NOT NULL) AS dates,
-    count(*) FILTER (WHERE p <= 30 AND regexp_matches(trim(v), '^\\d{{1,4}}$')) AS short_integers,
-    count(*) FILTER (WHERE p <= 50 AND contains(v, '%')) > 0 AS has_percent,
-    CASE {symbol} END AS symbol"""
-        if text
+        f"""{loose} AS numbers, count(*) AS dated,
+    count(*) FILTER (WHERE regexp_matches(trim(v), '{DATE}') AND TRY_CAST(trim(v) AS TIMESTAMP) IS NOT NULL)
+      AS dates,
+    count(*) FILTER (WHERE regexp_matches(trim(v), '^\\d{{1,4}}$')) AS short_integers,
+    bool_or(contains(v, '%')) AND {percents} >= 0.8 * count(*) AS has_percent, CASE {symbol} END AS symbol"""
+        if kind == "t"
         else """0 AS numbers, 0 AS dated, 0 AS dates, 0 AS short_integers, false AS has_percent,
     CAST(NULL AS VARCHAR) AS symbol"""
     )
+    weak = "true" if any(w in v.name_form(name) for w in v.WEAK_IDENTIFIER) else "false"
     return f"""
-  SELECT {quoted(name)} AS column_name, count(*) AS sampled, count(DISTINCT v) AS "distinct", {tests}
-  FROM (SELECT v, row_number() OVER (ORDER BY rn) AS p
-    FROM (SELECT {value} AS v, {order} AS rn FROM {source})
-    WHERE v IS NOT NULL QUALIFY p <= 500)"""
+  SELECT {quoted(name)} AS column_name, count(*) AS sampled,
+    CASE WHEN count(DISTINCT v) <= {v.MANY_VALUES} THEN count(DISTINCT v) END AS "distinct", {tests},
+    {weak} AND count(*) >= 10 AND count(DISTINCT v) >= 0.98 * count(*) AS nearly_unique
+  FROM (SELECT CAST("{name}" AS VARCHAR) AS v FROM {source}) WHERE v IS NOT NULL HAVING count(*) > 0"""
 
 
 def _has(patterns: list[str]) -> str:
     return f"regexp_matches(form, {quoted('|'.join(patterns))})"
 
 
-def _roles(
-    columns: list[tuple[str, str]], source: str, ctes: str = "", order: str = "row_number() OVER ()"
-) -> str:
-    evidence = union([_evidence(source, n, k, order) for n, k in columns if k != "n"])
+def _roles(columns: list[tuple[str, str]], source: str, ctes: str = "") -> str:
+    evidence = union([_evidence(source, n, k) for n, k in columns if k != "n"])
     listed = ", ".join(
         f"({quoted(n)}, {i}, '{k}', {quoted(type_name(n, k))})" for i, (n, k) in enumerate(columns)
     )
-    weak = " OR ".join(f"contains(form, '{w}')" for w in v.WEAK_IDENTIFIER)
     return f"""
 WITH {ctes + ", " if ctes else ""}evidence AS ({evidence}),
 columns AS (SELECT *, replace(lower(trim(column_name)), ' ', '_') AS form
   FROM (VALUES {listed}) AS c(column_name, position, kind, data_type)),
 facts AS (
-  SELECT c.*, coalesce(sampled, 0) AS sampled, coalesce("distinct", 0) AS "distinct", symbol,
-    has_percent, kind IN ('w', 'd') OR coalesce(numbers >= 0.8 * sampled AND sampled > 0, false)
+  SELECT c.*, CASE WHEN sampled > 0 THEN "distinct" ELSE 0 END AS "distinct", symbol,
+    nearly_unique, has_percent, kind IN ('w', 'd') OR coalesce(numbers >= 0.8 * sampled AND sampled > 0, false)
       AS looks_numeric,
     kind = 'm' OR coalesce(kind = 't' AND dated > 0 AND short_integers <= 0.8 * dated
       AND dates >= 0.75 * dated, false) AS looks_dated
   FROM columns c LEFT JOIN evidence e ON e.column_name = c.column_name),
 decided AS (
   SELECT *, CASE WHEN kind = 'n' THEN 'skipped'
-    WHEN {_has(v.IDENTIFIER)} OR (({weak}) AND sampled >= 10 AND "distinct" >= 0.98 * sampled)
-      THEN 'identifier'
+    WHEN {_has(v.IDENTIFIER)} OR nearly_unique THEN 'identifier'
     WHEN NOT {_has(v.DURATION)} AND looks_dated
       AND (kind = 'm' OR NOT looks_numeric OR {_has(v.DATETIME)}) THEN 'datetime'
     WHEN has_percent OR ({_has(v.PERCENTAGE)} AND looks_numeric) THEN 'percentage'
@@ -303,24 +296,13 @@ FROM decided"""
 
 
 _NAMED_SQL = f"{MESSY_SQL}, named AS (SELECT {_RENAMED}, copy, k FROM messy)"
-_MESSY_ORDER = "row_number() OVER (ORDER BY copy, k)"
-ORACLES["role_evidence"] = f"WITH {_NAMED_SQL} " + union(
-    [_evidence("named", n, "t", _MESSY_ORDER) for n in CLEAN_NAMES]
-)
-ORACLES["roles_messy"] = _roles(MESSY_KINDS, "named", _NAMED_SQL, _MESSY_ORDER)
+ORACLES["role_evidence"] = f"WITH {_NAMED_SQL} " + union([_evidence("named", n, "t") for n in CLEAN_NAMES])
+ORACLES["roles_messy"] = _roles(MESSY_KINDS, "named", _NAMED_SQL)
 _CLEANED_KINDS = [
     ("order_id", "t"), ("Customer Name", "t"), ("amount", "d"), ("share_pct", "d"),
     ("order_date", "m"), ("units", "d"), ("status", "t"),
 ]
-_FILLED_ORDERED = FILLED_SQL.replace("AS status\n  FROM typed t, fill f", "AS status, copy, k\n  FROM typed t, fill f")
-ORACLES["roles_cleaned"] = _roles(
-    _CLEANED_KINDS,
-    "firsts",
-    f"""{_FILLED_ORDERED}, firsts AS (
-  SELECT {_NAMES}, min(copy) AS copy, min(k) AS k FROM filled GROUP BY {_NAMES}
-  ORDER BY min(copy * 1000000000000 + k) LIMIT 500)""",
-    "copy * 1000000000000 + k",
-)
+ORACLES["roles_cleaned"] = _roles(_CLEANED_KINDS, "cleaned", CLEANED_SQL)
 for _t in TABLES:
     ORACLES[f"roles_{_t}"] = _roles(columns_of(_t), _t)
 

@@ -238,8 +238,8 @@ def roles_messy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def roles_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    messy = cleaning.normalise_names(messy_orders(spark, folder))
-    return tw.detect_roles(cleaning.cleaned_head(messy, cleaning.plan_cleaning(messy)))
+    cleaned, _ = tw.clean(messy_orders(spark, folder))
+    return tw.detect_roles(cleaned)
 
 
 over_tables("roles", TABLES, tw.detect_roles)
@@ -313,7 +313,7 @@ def select_kpis_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     messy = cleaning.normalise_names(messy_orders(spark, folder))
     plan = cleaning.plan_cleaning(messy)
     cleaned, _ = cleaning.finish_cleaning(messy, plan)
-    roles = role_ops.infer_roles(cleaning.cleaned_head(messy, plan))
+    roles = role_ops.infer_roles(cleaned)
     return rounded(tw.select_kpis(cleaned, roles, symbols=plan.audit.currencies), value=2)
 
 

@@ -26,6 +26,8 @@ _REWRITES = [
     (rf"^(\d{{1,2}})[ -]([A-Za-z]{{3,9}})[ -](\d{{4}}){_CLOCK}$", "$3-$2-$1$4"),
     (rf"^([A-Za-z]{{3,9}}) (\d{{1,2}}),? (\d{{4}}){_CLOCK}$", "$3-$1-$2$4"),
 ]
+# Whether any of them is there: most text is no date, and the rewrites are dear.
+_SPELLED = "|".join(pattern for pattern, _ in _REWRITES)
 # The English month names and their short forms.
 _MONTHS = [
     "jan(uary)?", "feb(ruary)?", "mar(ch)?", "apr(il)?", "may", "june?", "july?", "aug(ust)?",
@@ -72,7 +74,8 @@ def loose_number(c: Column) -> Column:
 def timestamp(c: Column) -> Column:
     """Text to ``timestamp_ntz``: ISO text directly, other spellings rewritten to it first."""
     text = F.btrim(c, F.lit(WHITESPACE))
-    return F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz")).otherwise(_other_spelling(text))
+    iso = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
+    return iso.when(text.rlike(_SPELLED), _other_spelling(text))
 
 
 def _other_spelling(text: Column) -> Column:

@@ -34,11 +34,12 @@ SAMPLE_SEED = "42"
 def category_sizes(df: DataFrame, roles: list[ColumnRole]) -> dict[str, int]:
     """Distinct counts of the category columns, as far as the chart rules tell them apart.
 
-    A column whose role sample already shows more values than the middle limit has "many" for
+    A column whose role evidence already shows more values than the middle limit has "many" for
     certain; only the others are counted over the whole table.
     """
     categories = [r for r in roles if r.role == "categorical"]
-    sizes = {r.column_name: r.unique_count for r in categories}
+    many = plan.MIDDLE + 1
+    sizes = {r.column_name: many if r.unique_count is None else r.unique_count for r in categories}
     open_columns = [c for c, n in sizes.items() if n <= plan.MIDDLE]
     return sizes | distinct_counts(df, open_columns)
 

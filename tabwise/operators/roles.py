@@ -1,27 +1,35 @@
-"""Role detection: evidence of each column, from a sample or all of its values, then the role rules."""
+"""Role detection: evidence of each column, from all of its values or a sample, then the role rules."""
 
 from __future__ import annotations
 
 from dataclasses import astuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.functions import parse
-from tabwise.functions.text import CURRENCY_CODES, grouping_key, strip
-from tabwise.operators.frames import column, kinds, local_frame, long_form
+from tabwise.functions.text import CURRENCY_CODES, LONG_TEXT, grouping_key, strip
+from tabwise.operators.frames import at_once, column, kinds, local_frame, long_form
+from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.samples import first_values
 from tabwise.plans import vocabulary as v
-from tabwise.plans.roles import ROLE_SCHEMA, ColumnRole, Evidence, decide_role
+from tabwise.plans.roles import (
+    NEARLY_UNIQUE, ROLE_SCHEMA, ColumnRole, Evidence, decide_role, weak_identifier,
+)
+
+_EVIDENCE_SCHEMA = (
+    "column_name string, sampled bigint, distinct bigint, numbers bigint, dated bigint, dates bigint, "
+    "short_integers bigint, has_percent boolean, symbol string, nearly_unique boolean"
+)
 
 
 def role_evidence(
-    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = None, order_by: str | None = None
 ) -> DataFrame:
-    """One row per column that has values: what its first ``sample_size`` values look like.
+    """One row per column that has values: what all of them, or the first ``sample_size``, look like.
 
-    ``symbol`` and ``has_percent`` look at the first 50 of them, ``dated``, ``dates`` and
-    ``short_integers`` at the first 30. Text parsing is only tried on text columns. With None it is
-    all values of the table, see `whole_evidence`.
+    Of a sample, ``symbol`` and ``has_percent`` look at the first 50, ``dated``, ``dates`` and
+    ``short_integers`` at the first 30. Text parsing is only tried on text columns. For all values
+    see `whole_evidence`.
     """
     if sample_size is None:
         return whole_evidence(df)
@@ -49,48 +57,127 @@ def role_evidence(
     )
 
 
-def whole_evidence(df: DataFrame, min_ratio: float = 0.80) -> DataFrame:
-    """The evidence of all values of each column: one aggregate over the distinct cells of the table.
+_SIGNS = ["%", *CURRENCY_CODES]
+_TESTS = ["numbers", "dates", "short_integers", "percents", "currencies", *[f"sign{i}" for i in range(len(_SIGNS))]]
+
+
+def _tests(text: Column) -> Column:
+    """What a text can be read as, NULL for NULL.
+
+    As functions of an array element the tests stay out of the generated method, which would be too
+    large for the JVM to compile.
+    """
+
+    def read(value: Column) -> Column:
+        numeric = F.when(value.rlike("[0-9]|(?i:inf)"), parse.loose_number(value).isNotNull())
+        signed = value.rlike("[%₹$€£]")
+        return F.struct(value.alias("text"), F.coalesce(numeric, F.lit(False)).alias("number"), signed.alias("signed"))
+
+    def tried(seen: Column) -> Column:
+        value, number = seen["text"], seen["number"]
+        # Every spelling of a date has a year of four digits, and none is long.
+        dated = F.when((F.length(value) <= LONG_TEXT) & value.rlike("[0-9]{4}"), parse.timestamp(value).isNotNull())
+        results = [
+            number, dated, value.rlike(r"^\d{1,4}$"),
+            # What is a number without all signs is one without some if it has none of the others.
+            number & ~value.rlike("[,₹$€£]"), number & ~value.contains("%"),
+            *[seen["signed"] & value.contains(s) for s in _SIGNS],
+        ]
+        return F.struct(*[x.alias(t) for t, x in zip(_TESTS, results)])
 
-    A sign anywhere counts if ``min_ratio`` of the column's values can be read with it, as in
-    cleaning; otherwise one ``%`` would make a column of texts a percentage.
+    return F.when(text.isNotNull(), F.get(F.transform(F.transform(F.array(strip(text)), read), tried), F.lit(0)))
+
+
+def whole_evidence(df: DataFrame, min_ratio: float = 0.80) -> DataFrame:
+    """The evidence of all values of each column, without a shuffle of cells.
+
+    One aggregate counts the values and keeps a sketch of the different ones; a task sends a row per
+    column. Columns with few values are then counted by value, which tasks reduce to these, and only
+    the values are tested; the cells of the other text columns are tested where they are read. Counted
+    exactly is also what a weak identifier's name and the sketch together make worth it. ``distinct`` is
+    NULL for more than ``MANY_VALUES``. A sign anywhere counts if ``min_ratio`` of the column's values can
+    be read with it, as in cleaning; otherwise one ``%`` would make a column of texts a percentage.
     """
-    by_kind = kinds(df)
-    texts = [c for c, k in by_kind.items() if k == "text"]
-    cells = long_form(df, {c: column(c).cast("string") for c, k in by_kind.items() if k != "nested"})
-    value = F.when(F.col("column_name").isin(texts), F.col("value"))
-    tests = {
-        "numbers": parse.loose_number(value).isNotNull(),
-        "dates": parse.timestamp(value).isNotNull(),
-        "short_integers": strip(value).rlike(r"^\d{1,4}$"),
-        "percents": parse.percent_number(value).isNotNull(),
-        "currencies": parse.currency_number(value).isNotNull(),
-        "dated": value.isNotNull(),
-        **{f"sign{i}": value.contains(s) for i, s in enumerate(["%", *CURRENCY_CODES])},
+    by_kind = {c: k for c, k in kinds(df).items() if k != "nested"}
+    names = list(by_kind)
+    if not names:
+        return local_frame(df.sparkSession, [], _EVIDENCE_SCHEMA)
+    keys = {c: F.xxhash64(column(c)) for c in names}
+    sketched = long_form(df, {c: F.when(column(c).isNotNull(), keys[c]) for c in names}, numbered=True)
+    sketch = F.approx_count_distinct("value", 0.02).alias("about")
+    seen = {
+        names[r["column_number"]]: r
+        for r in sketched.groupBy("column_number").agg(F.count("value").alias("n"), sketch).collect()
     }
-    distinct = (
-        cells.select("column_name", grouping_key(F.col("value")).alias("key"), *[x.alias(t) for t, x in tests.items()])
-        .groupBy("column_name", "key", *tests)
-        .agg(F.count(F.lit(1)).alias("n"))
+    few = [c for c, r in seen.items() if r["about"] <= 2 * v.MANY_VALUES]
+    many = [c for c in seen if c not in few and by_kind[c] == "text"]
+    open_ids = [c for c, r in seen.items() if c not in few and weak_identifier(c) and r["about"] >= 0.9 * r["n"]]
+    by_value, by_cell, exact = at_once(
+        df.sparkSession,
+        lambda: _tested_values(df, few, keys, by_kind),
+        lambda: _tested_cells(df, many),
+        lambda: distinct_counts(df, open_ids),
     )
-    found = distinct.groupBy("column_name").agg(
-        F.sum("n").alias("sampled"),
-        F.count(F.lit(1)).alias("distinct"),
-        *[F.sum(F.when(F.col(t), F.col("n")).otherwise(0)).alias(t) for t in tests],
-    )
-    symbol = F.lit(None).cast("string")
-    for i, s in reversed(list(enumerate(CURRENCY_CODES, start=1))):
-        symbol = F.when(F.col(f"sign{i}") > 0, F.lit(s)).otherwise(symbol)
-    readable = {t: F.col(t) / F.col("sampled") >= min_ratio for t in ("percents", "currencies")}
-    return found.select(
-        "column_name", "sampled", "distinct", "numbers", "dated", "dates", "short_integers",
-        ((F.col("sign0") > 0) & readable["percents"]).alias("has_percent"),
-        F.when(readable["currencies"], symbol).alias("symbol"),
+    rows = []
+    for c, r in seen.items():
+        n, got = r["n"], by_value.get(c) or by_cell.get(c) or {}
+        count = {t: got.get(t) or 0 for t in _TESTS}
+        distinct = exact.get(c, got.get("distinct"))
+        symbols = [s for i, s in enumerate(_SIGNS) if i and count[f"sign{i}"]]
+        rows.append(
+            (
+                c, n, distinct if distinct is not None and distinct <= v.MANY_VALUES else None, count["numbers"],
+                n if by_kind[c] == "text" else 0, count["dates"], count["short_integers"],
+                count["sign0"] > 0 and count["percents"] >= min_ratio * n,
+                symbols[0] if symbols and count["currencies"] >= min_ratio * n else None,
+                weak_identifier(c) and distinct is not None and n >= 10 and distinct >= NEARLY_UNIQUE * n,
+            )
+        )
+    return local_frame(df.sparkSession, rows, _EVIDENCE_SCHEMA)
+
+
+def _tested_values(
+    df: DataFrame, columns: list[str], keys: dict[str, Column], by_kind: dict[str, str]
+) -> dict[str, dict[str, int]]:
+    """Counts of the tests and ``distinct`` of columns with few values; only texts are tested."""
+    if not columns:
+        return {}
+    nothing = F.lit(None).cast("string")
+    entries = []
+    for i, c in enumerate(columns):
+        text = by_kind[c] == "text"
+        key = F.when(column(c).isNotNull(), F.lit(0) if text else keys[c])
+        value = grouping_key(column(c)) if text else nothing
+        entries.append(F.struct(F.lit(i).alias("at"), key.cast("bigint").alias("key"), value.alias("value")))
+    counted = (
+        df.select(F.inline(F.array(*entries)))
+        .filter("key IS NOT NULL")
+        .groupBy("at", "key", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("at", "n", (F.length("value") > LONG_TEXT).alias("long"), _tests(F.col("value")).alias("t"))
     )
+    sums = [F.sum(F.when(F.col(f"t.{t}"), F.col("n"))).alias(t) for t in _TESTS]
+    distinct, long = F.count(F.lit(1)).alias("distinct"), F.max("long").alias("long")
+    found = {columns[r["at"]]: r.asDict() for r in counted.groupBy("at").agg(distinct, long, *sums).collect()}
+    # A long text takes part as its digest, which tells nothing about the text.
+    for c, again in _tested_cells(df, [c for c, r in found.items() if r["long"]]).items():
+        found[c].update(again)
+    return found
+
+
+def _tested_cells(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Counts of the tests of text columns with many values."""
+    if not columns:
+        return {}
+    cells = long_form(df, {c: column(c) for c in columns}, numbered=True)
+    tested = cells.select("column_number", _tests(F.col("value")).alias("t"))
+    sums = [F.count_if(F.col(f"t.{t}")).alias(t) for t in _TESTS]
+    rows = tested.groupBy("column_number").agg(*sums).collect()
+    return {columns[r["column_number"]]: r.asDict() for r in rows}
 
 
 def infer_roles(
-    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = None, order_by: str | None = None
 ) -> list[ColumnRole]:
     """Roles of all columns as Python objects, in column order."""
     found = {
@@ -105,7 +192,7 @@ def infer_roles(
 
 
 def detect_roles(
-    df: DataFrame, sample_size: int | None = v.ROLE_SAMPLE, order_by: str | None = None
+    df: DataFrame, sample_size: int | None = None, order_by: str | None = None
 ) -> DataFrame:
     """Roles of all columns as a DataFrame."""
     return roles_frame(df, infer_roles(df, sample_size, order_by))

@@ -52,10 +52,11 @@ FAVOURED_TABLES = [
     "table", "main",
 ]
 
-# Sample sizes per column.
-ROLE_SAMPLE = 500
+# Of a sample of each column, how many values are looked at for signs and for dates.
 SYMBOL_SAMPLE = 50
 DATE_SAMPLE = 30
+# Up to so many different values of a column are counted exactly; what has more has "many".
+MANY_VALUES = 1000
 
 
 def name_form(name: str) -> str:

@@ -276,3 +276,26 @@ def test_tuned_session_is_restored(spark, monkeypatch):
     with frames.tuned(spark.range(1000)):
         assert int(spark.conf.get(names[0])) > 8 and spark.conf.get(names[1]) == "8000"
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_evidence_of_all_values(spark):
+    """Few and many values, long texts with signs, and a weak identifier's name."""
+    from tabwise.operators.roles import role_evidence
+
+    long = "1" * 70
+    rows = [
+        (f"{i}%" if i % 10 else "none", f"n{i}", "7 %" + long if i % 2 else long, f"2024-01-{1 + i % 28:02d}", i, i % 3)
+        for i in range(1, 3001)
+    ]
+    df = spark.createDataFrame(rows, "share string, serial_no string, digits string, day string, number bigint, small int")
+    found = {r["column_name"]: r for r in role_evidence(df).collect()}
+    assert (found["share"]["distinct"], found["share"]["has_percent"], found["share"]["numbers"]) == (None, True, 2700)
+    assert found["serial_no"]["nearly_unique"] and found["serial_no"]["distinct"] is None
+    assert (found["digits"]["distinct"], found["digits"]["numbers"], found["digits"]["has_percent"]) == (2, 1500, False)
+    assert (found["day"]["distinct"], found["day"]["dates"], found["day"]["dated"]) == (28, 3000, 3000)
+    assert found["number"]["nearly_unique"] and not found["small"]["nearly_unique"]
+    roles = {r["column_name"]: r for r in tw.detect_roles(df).collect()}
+    assert [roles[c]["role"] for c in df.columns] == [
+        "percentage", "identifier", "categorical", "datetime", "identifier", "numeric",
+    ]
+    assert roles["number"]["unique_count"] is None and roles["small"]["unique_count"] == 3
