@@ -71,6 +71,11 @@ def _loaded(name: str) -> str:
 
 
 ORACLES["load_csv"] = f"WITH {MESSY_SQL} SELECT {', '.join(map(_loaded, MESSY_NAMES))} FROM messy"
+ORACLES["load_csv_line_breaks"] = f"""
+SELECT doc_id, {", ".join(f"CASE WHEN {c} NOT IN ({_CSV_NULLS}) THEN {c} END AS {c}" for c in ("text", "lang", "source"))}
+FROM documents"""
+ORACLES["load_csv_mixed"] = """
+SELECT o_orderkey, concat('Café ', o_orderpriority) AS place, o_totalprice FROM orders"""
 ORACLES["infer_types"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders"""

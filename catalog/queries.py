@@ -16,6 +16,7 @@ from tabwise.operators.samples import first_values
 from tabwise.plans.charts import ChartSpec
 from tabwise.plans.roles import ColumnRole
 from tabwise.sources.bundle import cleaned_export, original_preview, output_values
+from tabwise.sources.load import load_csv as load_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +57,30 @@ def load_csv(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.normalise_names(loaded)
 
 
+@query
+def load_csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks and quotes in quoted cells."""
+    path = scratch_path(spark, "texts.csv")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": ""}
+    docs.write.options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    loaded, _ = tw.load_table(spark, path)
+    return loaded
+
+
+@query
+def load_csv_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of three delimiters, two encodings and two column orders."""
+    root = scratch_path(spark, "mixed")
+    place = F.concat(F.lit("Café "), F.col("o_orderpriority")).alias("place")
+    orders = table(spark, folder, "orders").select("o_orderkey", place, "o_totalprice")
+    for i, (sep, encoding) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8")]):
+        part = orders.filter(F.col("o_orderkey") % 3 == i)
+        part = part.select(*reversed(part.columns)) if i == 2 else part
+        part.write.options(header=True, sep=sep, encoding=encoding).csv(f"{root}/{i}")
+    return load_delimited(spark, [f"{root}/{i}" for i in range(3)])
+
+
 @query
 def infer_types(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")

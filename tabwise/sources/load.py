@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 from collections.abc import Sequence
 
@@ -11,14 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tabwise.functions import parse
 from tabwise.functions.text import CSV_NULL_TOKENS
 from tabwise.operators.frames import column, kinds, long_form
+from tabwise.sources.records import lines_of, odd_quotes, records
 
 # Delimiters looked for in a header line, in order of precedence.
 DELIMITERS = [",", ";", "\t"]
 # Cell texts that make a column boolean when it holds nothing else.
 TRUE_FALSE = ["True", "TRUE", "true", "False", "FALSE", "false"]
 CSV_NAME = "CSV Data"
-# What a decoder puts in place of bytes it cannot read.
-_REPLACEMENT = "\ufffd"
 
 # Stands for the table itself among the columns that are counted.
 _ROWS = ""
@@ -42,14 +43,9 @@ def infer_types(df: DataFrame) -> DataFrame:
     The usual null tokens become NULL. A column is whole number, double or boolean only if every
     value is; whole numbers with gaps are double; anything else stays text.
     """
-    return _typed(df)[0]
-
-
-def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The typed table, and whether any cell shows the mark of an undecodable character."""
     texts = [c for c, k in kinds(df).items() if k == "text"]
     if not texts:
-        return df, False
+        return df
     value = F.col("value")
     rows = (
         long_form(df, {_ROWS: F.lit("")} | {c: _known(column(c)) for c in texts})
@@ -59,13 +55,12 @@ def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
             F.count(parse.number(value)).alias("numbers"),
             F.count(parse.whole_number(value)).alias("wholes"),
             F.count_if(value.isin(TRUE_FALSE)).alias("booleans"),
-            F.max(value.contains(_REPLACEMENT)).alias("broken"),
         )
         .collect()
     )
     found = {r["column_name"]: r for r in rows}
     total = found[_ROWS]["values"] if rows else 0
-    typed, broken = {}, False
+    typed = {}
     for c in texts:
         x, seen = _known(column(c)), found.get(c)
         if seen is None or seen["numbers"] == seen["values"]:
@@ -74,11 +69,9 @@ def _typed(df: DataFrame) -> tuple[DataFrame, bool]:
             typed[c] = x.cast("boolean")
         else:
             typed[c] = x
-        if seen is not None:
-            broken = broken or seen["broken"]
-            if seen["wholes"] == total:
-                typed[c] = parse.whole_number(x)
-    return df.withColumns(typed), broken
+        if seen is not None and seen["wholes"] == total:
+            typed[c] = parse.whole_number(x)
+    return df.withColumns(typed)
 
 
 def _known(c: Column) -> Column:
@@ -90,13 +83,15 @@ def load_csv(
     path: str | Sequence[str],
     sep: str | None = None,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV file or directory with header, typed by its values.
+    """CSV files with headers, typed by their values.
 
-    Without ``sep`` the header decides. Without ``encoding`` it is UTF-8, or Latin-1 if a line is
-    not valid UTF-8; the lines are only checked when a cell looks undecodable. Files are split
-    over tasks; quoted line breaks need ``multi_line``, which reads each file in one task.
+    Each file has its own header and, unless given, delimiter (the one that splits the header most
+    often) and encoding (UTF-8, or Latin-1 if a line of the file is not valid UTF-8): files that are
+    alike are read together, and columns are matched by name. Files are split over tasks, also where
+    quoted cells hold line breaks, which are then ``\\n``; ``multi_line=False`` reads such lines as
+    records of their own.
     """
     try:
         lines = spark.read.text(path)
@@ -104,22 +99,68 @@ def load_csv(
         if "PATH_NOT_FOUND" in str(missing):
             raise FileNotFoundError(f"CSV file not found: {path}") from missing
         raise
-    if sep is None:
-        first = lines.take(1)
-        if not first:
-            raise ValueError(f"No data in '{path}'")
-        sep = sniff_delimiter(first[0]["value"])
-
-    def read(charset: str) -> DataFrame:
-        options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "encoding": charset}
-        return spark.read.options(**options, inferSchema=False, multiLine=multi_line).csv(path)
-
-    table, broken = _typed(read(encoding or "UTF-8"))
-    if broken and encoding is None:
-        invalid = lines.filter(~F.is_valid_utf8("value"))
-        if invalid.take(1):
-            table = infer_types(read("ISO-8859-1"))
-    return table
+    kinds_of_files = _file_kinds(lines, sep, encoding, multi_line)
+    if not kinds_of_files:
+        raise ValueError(f"No data in '{path}'")
+    parts = []
+    for kind in kinds_of_files:
+        where = path if len(kinds_of_files) == 1 else kind["files"]
+        options = {"sep": kind["sep"], "quote": '"', "escape": '"', "encoding": kind["encoding"]}
+        if kind["broken_lines"]:
+            parts.append(_read_records(spark.read.text(where), options))
+        else:
+            parts.append(spark.read.options(**options, header=True, inferSchema=False).csv(where))
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return infer_types(table)
+
+
+def _file_kinds(lines: DataFrame, sep: str | None, encoding: str | None, multi_line: bool | None) -> list[dict]:
+    """The kinds of files of a text scan: delimiter, encoding, whether quoted line breaks are likely, and,
+    where there are several kinds, their files. One pass over the lines."""
+    value = F.col("value")
+    place = F.struct("block", "id")
+    files = (
+        lines_of(lines)
+        .withColumn("id", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(
+            F.min_by("value", place).alias("header"), F.bool_and(F.is_valid_utf8(value)).alias("valid"),
+            F.max(odd_quotes(value)).alias("broken_lines"),
+        )
+    )
+    splits = [header_columns(F.col("header"), d) for d in DELIMITERS]
+    sniffed = F.lit(DELIMITERS[-1])
+    for i in reversed(range(len(DELIMITERS) - 1)):
+        most = F.greatest(*splits[i:])
+        sniffed = F.when(splits[i] == most, F.lit(DELIMITERS[i])).otherwise(sniffed)
+    charset = F.when(F.col("valid"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
+    each = files.select(
+        "file",
+        (F.lit(sep) if sep else sniffed).alias("sep"),
+        (F.lit(encoding) if encoding else charset).alias("encoding"),
+        (F.col("broken_lines") if multi_line is None else F.lit(multi_line)).alias("broken_lines"),
+        F.xxhash64("header").alias("header"),
+    )
+    same = ["sep", "encoding", "broken_lines", "header"]
+    found = each.groupBy(*same).agg(F.min("file").alias("first")).orderBy("first").collect()
+    if len(found) < 2:
+        return [r.asDict() for r in found]
+    listed = each.groupBy(*same).agg(F.min("file").alias("first"), F.collect_list("file").alias("files"))
+    return [r.asDict() for r in listed.orderBy("first").collect()]
+
+
+def _read_records(lines: DataFrame, options: dict[str, str]) -> DataFrame:
+    """The records of files with equal headers as columns of text."""
+    charset = options["encoding"]
+    text = F.col("value").cast("string") if charset == "UTF-8" else F.decode("value", charset)
+    found = records(lines, options["sep"]).select(text.alias("value"), "header")
+    header = found.filter("header").first()["value"]
+    names = next(csv.reader(io.StringIO(header), delimiter=options["sep"]))
+    parsing = {k: x for k, x in options.items() if k != "encoding"}
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), parsing)
+    return found.filter("NOT header").select(cells.alias("r")).select("r.*").toDF(*names)
 
 
 def table_format(path: str, fmt: str | None = None) -> str:

@@ -108,3 +108,50 @@ def test_best_of_several_tables(spark):
     note = spark.createDataFrame([("hello",)], "text string")
     name, report = tw.analyze_tables(spark, {"notes": note, "orders": data})
     assert name == "orders" and report.audit.cleaned_rows == 60 and report.seconds > 0
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files in splits of a few hundred bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_line_breaks_over_splits(spark, csv, tiny_splits):
+    import csv as plain_csv
+    import io
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "b;c", ",", "\n", "\n\n", '"', '""', "é", "x" * 90, " ", ""]
+    rows = [[str(i), "".join(rng.choices(parts, k=rng.randint(0, 9))) or "none", f"t{i % 7}"] for i in range(400)]
+    rows[17][1], rows[200][1] = "long\n" * 300, '"\n' * 200
+    out = io.StringIO()
+    plain_csv.writer(out, lineterminator="\n").writerows([["id", "text", "kind"], *rows])
+    path = csv("breaks.csv", out.getvalue())
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    got = {r["id"]: (r["text"], r["kind"]) for r in tw.load_table(spark, path)[0].collect()}
+    assert got == {int(i): (text, kind) for i, text, kind in rows}
+
+
+def test_a_single_quote_in_a_cell_is_text(spark, csv, tiny_splits):
+    lines = ["id,size,note", '1,5" pipe,a', '2,6,"two\nlines"'] + [f'{i},{i}" rod,plain' for i in range(3, 60)]
+    rows = {r["id"]: r for r in tw.load_table(spark, csv("inch.csv", "\n".join(lines) + "\n"))[0].collect()}
+    assert len(rows) == 59
+    assert (rows[1]["size"], rows[2]["note"], rows[30]["size"]) == ('5" pipe', "two\nlines", '30" rod')
+
+
+def test_folder_of_several_kinds(spark, csv, tmp_path):
+    csv("a.csv", "name,n\nJosé,1\n")
+    csv("b.csv", "n;name\n2;Zoë\n", "latin-1")
+    csv("c.csv", "name\tn\textra\nplain\t3\tx\n")
+    csv("d.csv", 'name,n\n"two\nlines",4\n')
+    rows = {r["n"]: (r["name"], r["extra"]) for r in tw.load_table(spark, str(tmp_path), "csv")[0].collect()}
+    assert rows == {1: ("José", None), 2: ("Zoë", None), 3: ("plain", "x"), 4: ("two\nlines", None)}
+    with pytest.raises(ValueError):
+        tw.load_table(spark, csv("empty.csv", ""))
