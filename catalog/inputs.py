@@ -108,3 +108,16 @@ filled AS (
   FROM typed t, fill f)"""
 
 CLEANED_SQL = f"{FILLED_SQL}, cleaned AS (SELECT DISTINCT * FROM filled)"
+
+# Measures of the wide table.
+WIDE = 100
+
+
+def wide_cells() -> list[tuple[str, str]]:
+    """Derived measures of line items, every fifth with gaps, as (name, SQL)."""
+    cells = []
+    for i in range(WIDE):
+        value = f"CAST((l_partkey * {i + 3} + l_suppkey * {i % 9} + l_linenumber) % {11 + i} AS DOUBLE)"
+        gap = f"CASE WHEN l_linenumber <> {i % 7 + 1} THEN {value} END" if i % 5 == 0 else value
+        cells.append((f"v{i}", gap))
+    return cells

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from catalog.inputs import (
-    CLEANED_SQL, FILL_SQL, MARKED_SQL, MESSY_NAMES, MESSY_SQL, TABLES, TYPED_SQL,
+    CLEANED_SQL, FILL_SQL, MARKED_SQL, MESSY_NAMES, MESSY_SQL, TABLES, TYPED_SQL, WIDE,
+    wide_cells,
 )
 from tabwise.plans import vocabulary as v
 
@@ -461,6 +462,21 @@ ORACLES["correlations_with_gaps"] = _correlations(
     CASE WHEN l_linenumber <> 5 THEN l_discount END AS l_discount) FROM lineitem)""",
 )
 
+def _wide_correlations() -> str:
+    pairs = [(i, j) for i in range(WIDE) for j in range(i + 1, WIDE)]
+    listed = ", ".join(f"corr(v{i}, v{j})" for i, j in pairs)
+    names = [", ".join(f"'v{p[k]}'" for p in pairs) for k in (0, 1)]
+    return f"""
+WITH wide AS (SELECT {", ".join(f"{x} AS {n}" for n, x in wide_cells())} FROM lineitem),
+pairs AS (SELECT unnest([{names[0]}]) AS a, unnest([{names[1]}]) AS b, unnest([{listed}]) AS r FROM wide),
+rounded AS (SELECT a, b, CASE WHEN r IS NULL OR isnan(r) THEN 0.0 ELSE round(r, 3) END AS correlation FROM pairs)
+SELECT a AS column_a, b AS column_b, correlation FROM rounded
+UNION ALL SELECT b, a, correlation FROM rounded
+UNION ALL SELECT 'v' || i, 'v' || i, 1.0 FROM range({WIDE}) AS t(i)"""
+
+
+ORACLES["correlations_wide"] = _wide_correlations()
+
 # --- key figures -----------------------------------------------------------------------------
 
 # The role of each measure of the test tables, as the role queries give it.
@@ -626,13 +642,13 @@ ORACLES["chart_specs_part"] = _specs(
 )
 
 
-def _chart(grouped: str, place: str, limit: int, cte: str = "") -> str:
+def _chart(grouped: str, place: str, limit: int | None = None, cte: str = "") -> str:
     """Numbered rows of a chart table; ``grouped`` gives category and value."""
     return f"""
 WITH {cte + ", " if cte else ""}grouped AS ({grouped}),
-kept AS (SELECT * FROM grouped ORDER BY {place} LIMIT {limit})
+kept AS (SELECT * FROM grouped{f' ORDER BY {place} LIMIT {limit}' if limit else ''})
 SELECT 'chart_1' AS chart_id, CAST(row_number() OVER (ORDER BY
-    {place.replace("category DESC", "category")}) AS INTEGER) AS position,
+    {place}) AS INTEGER) AS position,
   category, round(value, 2) AS value FROM kept"""
 
 
@@ -640,23 +656,23 @@ _DAY = "strftime({}, '%Y-%m-%d')"
 _LARGEST = "value DESC, category"
 ORACLES["chart_line"] = _chart(
     f"SELECT {_DAY.format('o_orderdate')} AS category, sum(o_totalprice) AS value FROM orders GROUP BY 1",
-    "category DESC", 30,
+    "category",
 )
 ORACLES["chart_line_mean"] = _chart(
     f"SELECT {_DAY.format('ts')} AS category, avg(value) AS value FROM events GROUP BY 1",
-    "category DESC", 30,
+    "category",
 )
 ORACLES["chart_line_text"] = _chart(
     f"""SELECT {_DAY.format('order_date')} AS category, sum(amount) AS value FROM typed
   WHERE order_date IS NOT NULL AND amount IS NOT NULL GROUP BY 1""",
-    "category DESC", 30, TYPED_SQL,
+    "category", cte=TYPED_SQL,
 )
 ORACLES["chart_bar"] = _chart(
     "SELECT l_returnflag AS category, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1",
-    _LARGEST, 20,
+    _LARGEST,
 )
 ORACLES["chart_bar_many"] = _chart(
-    "SELECT p_brand AS category, avg(p_retailprice) AS value FROM part GROUP BY 1", _LARGEST, 20
+    "SELECT p_brand AS category, avg(p_retailprice) AS value FROM part GROUP BY 1", _LARGEST
 )
 ORACLES["chart_top10"] = _chart(
     """SELECT CAST(l_partkey AS VARCHAR) AS category, sum(l_extendedprice) AS value FROM lineitem
@@ -664,7 +680,7 @@ ORACLES["chart_top10"] = _chart(
     _LARGEST, 10,
 )
 ORACLES["chart_pie"] = _chart(
-    "SELECT event_type AS category, sum(value) AS value FROM events GROUP BY 1", _LARGEST, 6
+    "SELECT event_type AS category, sum(value) AS value FROM events GROUP BY 1", _LARGEST
 )
 ORACLES["chart_scatter"] = """
 WITH drawn AS (
@@ -684,11 +700,20 @@ SELECT 'chart_1' AS chart_id, CAST(b + 1 AS INTEGER) AS position,
 ORACLES["chart_no_data"] = """
 SELECT 'chart_1' AS chart_id, 1 AS position, 'No Data' AS category, 0.0::DOUBLE AS value
 FROM documents HAVING count(TRY_CAST(source AS DOUBLE)) = 0"""
+ORACLES["chart_pie_limited"] = f"""
+WITH grouped AS (SELECT p_brand AS category, sum(p_retailprice) AS value FROM part GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY {_LARGEST}) AS place FROM grouped)
+SELECT 'chart_1' AS chart_id, CAST(least(place, 7) AS INTEGER) AS position,
+  CASE WHEN place > 6 THEN 'Other' ELSE category END AS category, round(sum(value), 2) AS value
+FROM placed GROUP BY ALL"""
+ORACLES["chart_line_limited"] = _chart(
+    f"SELECT {_DAY.format('o_orderdate')} AS category, sum(o_totalprice) AS value FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 30",
+    "category",
+)
 ORACLES["chart_ranges"] = """
-SELECT 'chart_1' AS chart_id,
-  least((SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders), 30) AS row_count
-UNION ALL SELECT 'chart_2', least((SELECT count(DISTINCT o_orderstatus) FROM orders), 20)
-UNION ALL SELECT 'chart_3', least((SELECT count(DISTINCT o_orderpriority) FROM orders), 6)
+SELECT 'chart_1' AS chart_id, count(DISTINCT CAST(o_orderdate AS DATE)) AS row_count FROM orders
+UNION ALL SELECT 'chart_2', count(DISTINCT o_orderstatus) FROM orders
+UNION ALL SELECT 'chart_3', count(DISTINCT o_orderpriority) FROM orders
 UNION ALL SELECT 'chart_4', least((SELECT count(*) FROM orders), 100)"""
 
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import tabwise as tw
-from catalog.inputs import TABLES, messy_orders, table
+from catalog.inputs import TABLES, messy_orders, table, wide_cells
 from tabwise.functions import parse
 from tabwise.operators import charts, cleaning, eda, reporting, roles as role_ops
-from tabwise.operators.frames import kinds, local_frame, scratch_path
+from tabwise.operators.charts import ALL_ROWS, ChartLimits
+from tabwise.operators.frames import kinds, local_frame, scratch_path, written
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.samples import first_values
 from tabwise.plans.charts import ChartSpec
@@ -318,6 +319,14 @@ def correlations_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return tw.correlations(_with_gaps(spark, folder))
 
 
+@query
+def correlations_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """A hundred derived measures, so thousands of pairs."""
+    cells = [F.expr(cell).alias(name) for name, cell in wide_cells()]
+    wide = table(spark, folder, "lineitem").repartition(spark.sparkContext.defaultParallelism).select(*cells)
+    return tw.correlations(written(wide))
+
+
 # --- key figures -----------------------------------------------------------------------------
 
 
@@ -363,9 +372,11 @@ def category_sizes(spark: SparkSession, folder: str) -> DataFrame:
 over_tables("chart_specs", ["orders", "lineitem", "events", "part"], tw.select_charts)
 
 
-def chart(name: str, source: str, chart_spec: ChartSpec, order_by: str | None = None) -> None:
+def chart(
+    name: str, source: str, chart_spec: ChartSpec, order_by: str | None = None, limits: ChartLimits = ALL_ROWS
+) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        data = tw.chart_data(table(spark, folder, source), chart_spec, order_by)
+        data = tw.chart_data(table(spark, folder, source), chart_spec, order_by, limits=limits)
         return rounded(data, value=2)
 
     QUERIES[f"chart_{name}"] = run
@@ -379,6 +390,8 @@ chart("top10", "lineitem", spec("bar", "l_partkey", "l_extendedprice", "top10_su
 chart("pie", "events", spec("pie", "event_type", "value", "sum"))
 chart("scatter", "orders", spec("scatter", "o_totalprice", "o_custkey", "raw"), "o_orderkey")
 chart("histogram", "lineitem", spec("histogram", "l_extendedprice", None, "histogram"))
+chart("pie_limited", "part", spec("pie", "p_brand", "p_retailprice", "sum"), limits=ChartLimits(slices=6))
+chart("line_limited", "orders", spec("line", "o_orderdate", "o_totalprice", "sum"), limits=ChartLimits(days=30))
 chart("no_data", "documents", spec("bar", "lang", "source", "sum"))
 
 

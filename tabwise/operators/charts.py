@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from dataclasses import astuple
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.functions import parse
 from tabwise.operators.eda import bin_edges, count_in_bins
 from tabwise.operators.frames import (
-    as_double, at_once, column, is_numeric, kinds, local_frame, top_n,
+    as_double, at_once, column, is_numeric, kinds, local_frame, top_n, written,
 )
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.profile import profile
@@ -26,9 +26,24 @@ SPEC_SCHEMA = (
 )
 DATA_SCHEMA = "chart_id string, position int, category string, value double"
 
-# How many rows each chart table holds.
-LINE_DAYS, BARS, TOP_BARS, SLICES, POINTS, BINS = 30, 20, 10, 6, 100, 8
+# Rows of a leaderboard, of a scatter sample and of a histogram.
+TOP_BARS, POINTS, BINS = 10, 100, 8
 SAMPLE_SEED = "42"
+# Chart tables up to this size pass through the driver; larger ones are numbered where they are.
+FEW_ROWS = 1000
+
+
+@dataclass(frozen=True)
+class ChartLimits:
+    """The most rows of line, bar and pie tables: the last days, the largest bars, the largest slices and
+    one row "Other" with the sum of the rest. None keeps all."""
+
+    days: int | None = None
+    bars: int | None = None
+    slices: int | None = None
+
+
+ALL_ROWS = ChartLimits()
 
 
 def category_sizes(df: DataFrame, roles: list[ColumnRole]) -> dict[str, int]:
@@ -78,24 +93,52 @@ def chart_data(
     spec: ChartSpec,
     order_by: str | None = None,
     measured: TableProfile | None = None,
+    limits: ChartLimits = ALL_ROWS,
 ) -> DataFrame:
     """``(chart_id, position, category, value)`` of one chart; "No Data" where nothing is left."""
-    rows = _rows(df, spec, order_by, measured)
-    return local_frame(df.sparkSession, rows, DATA_SCHEMA)
-
-
-def _rows(
-    df: DataFrame, spec: ChartSpec, order_by: str | None, measured: TableProfile | None
-) -> list[tuple]:
     if spec.x_col not in df.columns or (spec.y_col and spec.y_col not in df.columns):
         rows = []
     elif spec.chart_type == "histogram":
         rows = _histogram(df, spec, measured)
+    elif spec.chart_type == "scatter":
+        rows = [tuple(r) for r in _scatter(df, spec, order_by).collect()]
     else:
-        table = {"line": _line, "bar": _bar, "pie": _pie, "scatter": _scatter}[spec.chart_type]
-        rows = [(r["category"], r["value"]) for r in table(df, spec, order_by).collect()]
+        table, order, most = {"line": _line, "bar": _bar, "pie": _pie}[spec.chart_type](df, spec, limits)
+        first = table.orderBy(*order).limit(FEW_ROWS + 1 if most is None else most).collect()
+        if len(first) > FEW_ROWS and most is None:
+            return _numbered(table, order, spec.chart_id)
+        rows = [(r["category"], r["value"]) for r in first]
+        if spec.chart_type == "line":
+            rows.sort()
+        if spec.chart_type == "pie" and most is not None and len(rows) == most:
+            rest = _rest(table, rows)
+            rows += [("Other", rest)] if rest is not None else []
     rows = rows or [("No Data", 0.0)]
-    return [(spec.chart_id, i, c, float(x)) for i, (c, x) in enumerate(rows, start=1)]
+    numbered = [(spec.chart_id, i, c, float(x)) for i, (c, x) in enumerate(rows, start=1)]
+    return local_frame(df.sparkSession, numbered, DATA_SCHEMA)
+
+
+def _rest(table: DataFrame, rows: list[tuple]) -> float | None:
+    """The sum of what is not among the first rows, None if there is nothing."""
+    named = F.col("category").isin([c for c, _ in rows])
+    rest = table.filter(~named).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("x")).first()
+    return rest["x"] if rest["n"] else None
+
+
+def _numbered(table: DataFrame, order: list[Column], chart_id: str) -> DataFrame:
+    """All rows with their positions. The sorted rows are written with their part and place; the sizes of
+    the parts, one number each, give the position, so no task holds all rows."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = table.orderBy(*order).select(F.spark_partition_id().alias("part"), place.alias("place"), "category", "value")
+    stored = written(parts)
+    sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, earlier = [], 0
+    for part in sorted(sizes):
+        before.append((part, earlier))
+        earlier += sizes[part]
+    offsets = local_frame(table.sparkSession, before, "part int, earlier bigint")
+    position = (F.col("earlier") + F.col("place") + 1).cast("int")
+    return stored.join(offsets, "part").select(F.lit(chart_id).alias("chart_id"), position.alias("position"), "category", "value")
 
 
 def chart_tables(
@@ -103,10 +146,15 @@ def chart_tables(
     specs: list[ChartSpec],
     order_by: str | None = None,
     measured: TableProfile | None = None,
+    limits: ChartLimits = ALL_ROWS,
 ) -> DataFrame:
     """The tables of all charts, one below the other."""
-    found = at_once(df.sparkSession, *[lambda spec=spec: _rows(df, spec, order_by, measured) for spec in specs])
-    return local_frame(df.sparkSession, [row for rows in found for row in rows], DATA_SCHEMA)
+    spark = df.sparkSession
+    found = at_once(spark, *[lambda spec=spec: chart_data(df, spec, order_by, measured, limits) for spec in specs])
+    tables = local_frame(spark, [], DATA_SCHEMA)
+    for part in found:
+        tables = tables.unionByName(part)
+    return tables
 
 
 def chart_ranges(tables: DataFrame) -> DataFrame:
@@ -138,26 +186,27 @@ def _grouped(df: DataFrame, key: Column, spec: ChartSpec, mean: bool) -> DataFra
     return pairs.groupBy("category").agg(combined.alias("value"))
 
 
-def _largest(grouped: DataFrame, n: int) -> DataFrame:
-    return grouped.orderBy(F.desc("value"), F.asc("category")).limit(n)
+def _largest() -> list[Column]:
+    return [F.desc("value"), F.asc("category")]
 
 
-def _line(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
+def _line(df: DataFrame, spec: ChartSpec, limits: ChartLimits) -> tuple[DataFrame, list[Column], int | None]:
+    """A row per day; the order puts the last days first if they are limited."""
     moment = column(spec.x_col)
     if kinds(df)[spec.x_col] == "text":
         moment = parse.timestamp(moment)
     days = _grouped(df, F.date_format(moment, "yyyy-MM-dd"), spec, "mean" in spec.aggregation)
-    return days.orderBy(F.desc("category")).limit(LINE_DAYS).orderBy("category")
+    return days, [F.asc("category") if limits.days is None else F.desc("category")], limits.days
 
 
-def _bar(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
+def _bar(df: DataFrame, spec: ChartSpec, limits: ChartLimits) -> tuple[DataFrame, list[Column], int | None]:
     key = _label(df, spec.x_col)
-    bars = TOP_BARS if "top10" in spec.aggregation else BARS
-    return _largest(_grouped(df, key, spec, "mean" in spec.aggregation), bars)
+    bars = TOP_BARS if "top10" in spec.aggregation else limits.bars
+    return _grouped(df, key, spec, "mean" in spec.aggregation), _largest(), bars
 
 
-def _pie(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:
-    return _largest(_grouped(df, _label(df, spec.x_col), spec, False), SLICES)
+def _pie(df: DataFrame, spec: ChartSpec, limits: ChartLimits) -> tuple[DataFrame, list[Column], int | None]:
+    return _grouped(df, _label(df, spec.x_col), spec, False), _largest(), limits.slices
 
 
 def _scatter(df: DataFrame, spec: ChartSpec, order_by: str | None) -> DataFrame:

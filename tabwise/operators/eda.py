@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.functions.text import LONG_TEXT, grouping_key
@@ -21,8 +23,8 @@ from tabwise.plans.roles import ColumnRole
 QUARTILES = [0.25, 0.5, 0.75]
 TOP_VALUES = 10
 MAX_BINS = 10
-# Column pairs measured in one aggregate; a wide table takes several.
-PAIRS_PER_JOB = 300
+# Up to so many column pairs are sums of one aggregate; beyond, tasks add up whole matrices.
+FEW_PAIRS = 300
 
 Quartiles = dict[str, list[float]]
 
@@ -165,9 +167,8 @@ def correlations(
     stats = measured.numeric
     varying = [c for c in names if c in stats and stats[c].low < stats[c].high]
     pairs = [(a, b) for i, a in enumerate(varying) for b in varying[i + 1 :]]
-    found: dict[tuple[str, str], float] = {}
-    for chunk in _chunks(pairs, PAIRS_PER_JOB):
-        found |= _correlate(df, chunk, measured)
+    few = len(pairs) <= FEW_PAIRS
+    found = (_correlate(df, pairs, measured) if few else _co_moments(df, varying, measured)) if pairs else {}
     rows = []
     if len(varying) >= 2:
         for a in varying:
@@ -179,11 +180,6 @@ def correlations(
     )
 
 
-def _chunks(items: list, size: int) -> Iterator[list]:
-    for start in range(0, len(items), size):
-        yield items[start : start + size]
-
-
 def _correlate(
     df: DataFrame, pairs: list[tuple[str, str]], measured: TableProfile
 ) -> dict[tuple[str, str], float | None]:
@@ -215,11 +211,52 @@ def _correlate(
             s, t = stats[a], stats[b]
             found[a, b] = _ratio(row[f"xy{i}"], (s.count - 1) * s.std * t.std)
         elif row[f"n{i}"]:
-            n, x, y, xx, yy, xy = (row[f"{k}{i}"] for k in ("n", "x", "y", "xx", "yy", "xy"))
-            # A column that is constant on the shared rows leaves rounding noise for a variance.
-            spread = [q - p * p / n for p, q in ((x, xx), (y, yy))]
-            if all(v > 1e-12 * q for v, q in zip(spread, (xx, yy))):
-                found[a, b] = _ratio(xy - x * y / n, math.sqrt(spread[0] * spread[1]))
+            found[a, b] = _shared_ratio(*(row[f"{k}{i}"] for k in ("n", "x", "y", "xx", "yy", "xy")))
+    return found
+
+
+def _shared_ratio(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
+    """Correlation from sums over the rows that have both values."""
+    # A column that is constant on the shared rows leaves rounding noise for a variance.
+    spread = [q - p * p / n for p, q in ((x, xx), (y, yy))]
+    if not all(v > 1e-12 * q for v, q in zip(spread, (xx, yy))):
+        return None
+    return _ratio(xy - x * y / n, math.sqrt(spread[0] * spread[1]))
+
+
+def _co_moments(
+    df: DataFrame, names: list[str], measured: TableProfile
+) -> dict[tuple[str, str], float | None]:
+    """Correlations of all pairs of many columns in one scan.
+
+    A task adds up four matrices over its rows: per pair of columns how many rows have both, and over
+    these the sums of the first value, of its square and of the product. Values are taken relative to
+    the known means. Matrices of tasks are added entry by entry.
+    """
+    stats, m = measured.numeric, len(names)
+    cells = [(as_double(df, c) - F.lit(stats[c].mean)).alias(f"c{i}") for i, c in enumerate(names)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, m, m))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        a, b = np.divmod(np.arange(m * m), m)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), *(pa.array(s.ravel()) for s in sums)], names=["a", "b", "n", "x", "xx", "xy"]
+        )
+
+    parts = df.select(*cells).mapInArrow(add, "a long, b long, n double, x double, xx double, xy double")
+    total = parts.groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in ("n", "x", "xx", "xy")])
+    sums = {(r["a"], r["b"]): r for r in total.collect()}
+    found = {}
+    for i in range(m):
+        for j in range(i + 1, m):
+            r, s = sums[i, j], sums[j, i]
+            if r["n"]:
+                found[names[i], names[j]] = _shared_ratio(r["n"], r["x"], s["x"], r["xx"], s["xx"], r["xy"])
     return found
 
 
