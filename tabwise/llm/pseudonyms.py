@@ -3,7 +3,9 @@
 Numbers and dates that pass their checks are permuted within their format by a keyed Feistel network: a
 card number becomes another of its length and layout with a right check digit, a telephone number keeps
 its country code and layout, an address of a network becomes another, a social security number and a date
-stay valid ones. Equal values become equal pseudonyms in all documents, different ones stay different.
+stay valid ones. Equal values become equal pseudonyms in all documents, different ones of a format stay
+different: every permutation is one-to-one on the strings of the format. Dates with strokes are two formats,
+month first where that can be and else day first; a date in all layouts but the last stays one date.
 An e-mail address becomes a keyed name at a reserved domain. What fails its check stays.
 
 One expression looks for all kinds at once; the text between the matches is left as it is.
@@ -26,13 +28,15 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}(?:[ .-][0-9]{2,6}){2,4}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
 }
 EVERY = f"(?:{PATTERNS['email']})|(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
 ROUNDS = 10
 #: 1900-01-01 to 2099-12-31: 73,049 days, which is 319 times 229.
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)
+#: A walk of steps through the days finds one after the 12th; 61 % are. No chain of others is nearly so long.
+STEPS = 64
 
 
 def _round(key: str, kind: str, i: Column, half: Column, size: Column) -> Column:
@@ -146,19 +150,38 @@ def _day(m: Column) -> Column:
     )
 
 
-def _date(m: Column, key: str) -> Column:
-    def written(day: Column) -> Column:
-        month_first = F.try_to_date(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))), "yyyy-MM-dd").isNotNull()
-        return (
-            F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy"))
-            .when(month_first, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+def _moved(n: Column, key: str) -> Column:
+    """Another day, one-to-one."""
+    pair = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+    return _once(pair, lambda p: p["a"] * DAYS[1] + p["b"])
+
+
+def _of_day(n: Column) -> Column:
+    return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+
+def _late(n: Column, key: str) -> Column:
+    """Another day after the 12th, one-to-one among them: a permutation's steps up to the next such day."""
+    def step(seen: Column, _: Column) -> Column:
+        done = seen["done"] | (F.dayofmonth(_of_day(seen["n"])) > 12)
+        return F.when(done, F.struct(seen["n"].alias("n"), F.lit(True).alias("done"))).otherwise(
+            F.struct(_moved(seen["n"], key).alias("n"), F.lit(False).alias("done"))
         )
 
-    def moved(n: Column) -> Column:
-        pair = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
-        return _once(pair, lambda p: written(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int"))))
+    start = F.struct(_moved(n, key).alias("n"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["n"]
 
-    return _once(F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long"), moved)
+
+def _date(m: Column, key: str) -> Column:
+    """Another date of the layout. With strokes, the month comes first where it can; the others, day first
+    after the 12th, become others of their kind, so that no two dates become one string."""
+    n = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long")
+    whole = _once(n, lambda x: _of_day(_moved(x, key)))
+    late = _once(n, lambda x: _of_day(_late(x, key)))
+    return (
+        F.when(m.rlike("^[0-9]{4}-"), F.date_format(whole, "yyyy-MM-dd")).when(m.contains("."), F.date_format(whole, "dd.MM.yyyy"))
+        .when(F.substr(m, F.lit(1), F.lit(2)) <= "12", F.date_format(whole, "MM/dd/yyyy")).otherwise(F.date_format(late, "dd/MM/yyyy"))
+    )
 
 
 def _kind(m: Column) -> Column:
@@ -189,7 +212,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "tabwise", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text replaced by its pseudonymised form, and n_email, n_ip, … of what was replaced.
 
     key: the secret of the permutations; whoever knows it can turn them back.

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import archive, language_id, line_quality, mixing, near_texts, near_vectors, packing, passages, periodic, pseudonyms, repeats, secret_scan, spelling
 from .common import pick
 
+#: The key of the registered query, which anyone may know; a deployment passes its own secret.
+PSEUDONYM_KEY = "op6 key of the registered query"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,7 +46,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return pseudonyms.pseudonymise(docs)
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def test_pseudonyms_keep_formats(spark):
         (2, "again 123-45-6789; bad 4111 1111 1111 1112 and 999.1.1.1; call +1 (212) 555-0199 or mail Ann@example.com"),
         (3, "10.0.0.1 and 4111111111111111 and 2001-13-45"), (4, None), (5, ""), (6, "nothing here"),
     ]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "tabwise").collect()}
     one, two, three = (got[i].text for i in (1, 2, 3))
     ssn = re.search(r"\d{3}-\d{2}-\d{4}", one)[0]
     assert ssn != "123-45-6789" and ssn in two
@@ -154,6 +154,26 @@ def test_digits_are_permuted(spark):
 
 
 def test_pseudonyms_of_odd_rows(odd, odd_rows, nothing):
-    out = pseudonyms.pseudonymise(odd)
+    out = pseudonyms.pseudonymise(odd, "k")
     assert out.count() == len(odd_rows) and out.columns[:8] == odd.columns
-    assert pseudonyms.pseudonymise(nothing).count() == 0
+    assert pseudonyms.pseudonymise(nothing, "k").count() == 0
+
+
+def test_all_dates_with_strokes_stay_different(spark):
+    """Every valid string of the layout: 73,049 with the month first and 44,249 with the day first."""
+    days = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d")
+    strings = days.select(F.date_format("d", "MM/dd/yyyy").alias("s")).union(
+        days.filter("dayofmonth(d) > 12").select(F.date_format("d", "dd/MM/yyyy"))
+    )
+    made = strings.repartition(8).select("s", pseudonyms._date(F.col("s"), "k").alias("p"))
+    read = made.withColumn("valid", pseudonyms._day(F.col("p")).isNotNull())
+    row = read.agg(F.count("*").alias("n"), F.count_distinct("p").alias("p"), F.min("valid").alias("valid"), F.count_if(F.col("s") == F.col("p")).alias("same")).first()
+    assert (row.n, row.p, row.valid) == (117_298, 117_298, True) and row.same < 30
+
+
+def test_telephone_numbers_with_short_area_codes(spark):
+    rows = [(1, "ring +44 20 7946 0958 or +49 30 901820."), (2, "+44 20 7946 0958")]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    british, german = re.fullmatch(r"ring (\+44 \d\d \d{4} \d{4}) or (\+49 \d\d \d{6})\.", got[1].text).groups()
+    assert british != "+44 20 7946 0958" and german != "+49 30 901820" and got[2].text == british
+    assert (got[1].n_phone, got[2].n_phone) == (2, 1)
