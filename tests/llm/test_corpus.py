@@ -331,6 +331,62 @@ def test_near_texts_equal_brute_force(spark):
             assert (r.doc_id, r.n_links, r.class_id, r.kept) == (r.doc_id, degree[r.doc_id], root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+def test_forest_nodes_are_the_shared_prefixes(spark):
+    rng = random.Random(21)
+    signed = [(i, bytes(x for _ in range(3 * 4) for x in (0, rng.choice([1, 1, 1, 2])))) for i in range(400)]
+    signed += [(400 + i, signed[0][1]) for i in range(300)]
+    table = spark.createDataFrame(signed, "node long, signature binary").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        edges = [tuple(r) for r in near_texts.forest(table, Saved(spark), trees=3, deepest=4, least=2).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {e[2] for e in edges} == {2, 3, 4}
+    for level in (2, 3, 4):
+        first, wanted = {}, []
+        for i, s in signed:
+            for t in range(3):
+                wanted.append((first.setdefault((t, s[8 * t : 8 * t + 2 * level]), i), i))
+        nodes = [i for i, _ in signed]
+        assert groups(nodes, [(a, b) for a, b, d in edges if d >= level]) == groups(nodes, wanted)
+
+
+def test_near_texts_of_one_identifier(spark):
+    rng = random.Random(31)
+    bases = [[f"v{rng.randrange(900)}" for _ in range(80)] for _ in range(6)]
+    near = [" ".join([*b[:40], "changed", *b[41:]]) for b in bases]
+    texts = [" ".join(b) for b in bases]
+    # 1: three texts, each with a near copy elsewhere; 2: near copies under one identifier; equal rows
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[2]), (10, near[0]), (11, near[1]), (12, near[2]), (12, near[2])]
+    rows += [(2, texts[3]), (2, near[3]), (3, texts[4]), (3, texts[4]), (4, texts[5]), (5, None), (5, ""), (5, None), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, __words string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_texts.join_near(spark, docs).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (1, 1, 2), (10, 1, 1), (11, 1, 1), (12, 1, 2), (12, 1, 2), (2, 2, 1), (2, 2, 1), (3, 3, 1), (3, 3, 1), (4, 4, 0), (5, 5, 0), (5, 5, 0), (5, 5, 0), (None, None, 0)])
+    left = near_texts.drop_near(spark, docs)
+    assert left.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in left.collect())
+    assert kept.pop((2, texts[3]), 0) + kept.pop((2, near[3]), 0) == 1
+    assert kept == Counter([(1, texts[0]), (1, texts[1]), (1, texts[2]), (3, texts[4]), (4, texts[5]), (5, None), (5, ""), (5, None), (None, texts[0])])
+
+
+def test_prefixes_are_shortened_for_less_similar_links(spark):
+    assert [near_texts.prefix_length(s, 24, 8, 0.9999) for s in (0.8, 0.9, 0.99)] == [5, 8, 8]
+    rng = random.Random(41)
+    rows = []
+    for _ in range(250):
+        base = [f"u{rng.randrange(5000)}" for _ in range(100)]
+        copy = list(base)
+        copy[rng.randrange(4, 45)] = copy[rng.randrange(55, 95)] = "x"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    sets = [{tuple(w[k : k + 5]) for k in range(96)} for w in (words(t) for _, t in rows)]
+    linked = sum(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert linked > 100
+    assert near_texts.join_near(spark, docs).filter("n_links = 1").count() == 2 * linked
+
+
 def test_near_texts_of_odd_rows(spark, odd, odd_rows, nothing):
     assert near_texts.join_near(spark, odd).count() == len(odd_rows)
     assert near_texts.join_near(spark, nothing).count() == 0
@@ -408,4 +464,4 @@ def test_pipeline_takes_an_empty_table(spark, nothing):
 
 def test_every_operator_is_registered():
     assert [n for n in queries.QUERIES if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(queries.QUERIES) == 11 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 14 and set(queries.ORACLES) <= set(queries.QUERIES)
