@@ -4,8 +4,9 @@ Every stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last r
 documents. A stage works on all that the stage before kept:
 
 1. language ID: documents whose language is rejected go.
-2. n-gram Jaccard join: of each group of near copies the document with the smallest doc_id stays; documents
-   without a doc_id or without a word have no copies and stay.
+2. n-gram Jaccard join: of each group of near copies one row stays, that with the smallest doc_id; documents
+   without a doc_id or without a word have no copies and stay. Different texts under one doc_id are
+   documents of their own.
 3. secret scans: every span found is replaced by a mark.
 4. mixing: documents are taken as often as the mix of the sources asks, copies as repeated rows.
 5. packing: (doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all rows, copies included.
@@ -34,8 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_texts.join_near(spark, docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_texts.drop_near(spark, docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
