@@ -92,14 +92,17 @@ ORACLES["audit_files"] = union(
 def _rank() -> str:
     parts = []
     for i, t in enumerate(TABLES):
-        cells = " + ".join(f"count({c})" for c, _ in columns_of(t))
+        cells = " + ".join(
+            rf"count({c}) FILTER (regexp_matches({c}, '\S'))" if kind == "t" else f"count({c})"
+            for c, kind in columns_of(t)
+        )
         wide = len(columns_of(t))
         form = v.matches(v.PENALISED_TABLES, t), v.matches(v.FAVOURED_TABLES, t)
         parts.append(
             f"SELECT '{t}' AS table_name, {i} AS position, (SELECT count(*) + 1 FROM {t}) AS rows, "
             f"{wide} AS active_columns, ({cells} + {wide}) / ((count(*) + 1) * {wide}) AS d, "
             f"{wide >= 3} AS header_detected, {-75 * form[0] + 35 * form[1]} AS named "
-            f"FROM (SELECT * FROM {t} LIMIT 149)"
+            f"FROM {t}"
         )
     return f"""
 WITH parts AS ({union(parts)}),

@@ -1,8 +1,9 @@
-"""Which of several candidate tables holds the data: a score per table from a short head."""
+"""Which of several candidate tables holds the data: a score per table from all its cells."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,7 +11,6 @@ from tabwise.functions.text import strip
 from tabwise.operators.frames import column, first_rows, kinds, local_frame
 from tabwise.plans import vocabulary as v
 
-HEAD_ROWS = 150
 # Names a reader makes up for a column without a header.
 _NO_HEADER = r"^(_c\d+|Unnamed: \d+|\s*)$"
 
@@ -18,8 +18,7 @@ _NO_HEADER = r"^(_c\d+|Unnamed: \d+|\s*)$"
 def rank_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Score of every candidate, best first, with ``selected`` marking the winner.
 
-    The header counts as the first row. Only the head of a table is looked at, and its row count,
-    which columnar files know without reading data.
+    The header counts as the first row. Rows and filled cells of all tables are counted in one job.
     """
     if not tables:
         raise ValueError("No candidate tables.")
@@ -28,9 +27,9 @@ def rank_tables(tables: dict[str, DataFrame]) -> DataFrame:
     if len(names) == 1:
         rows = [(names[0], 0, None, None, None, None, 100.0)]
     else:
-        counts = _row_counts(tables)
+        counts = _filled_cells(tables)
         rows = [
-            (name, i, *_score(name, df, counts[name])) for i, (name, df) in enumerate(tables.items())
+            (name, i, *_score(name, df, *counts[name])) for i, (name, df) in enumerate(tables.items())
         ]
     winner = max(rows, key=lambda r: r[-1])[1]
     return local_frame(
@@ -41,29 +40,28 @@ def rank_tables(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _row_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """Row counts of all candidates in one job."""
-    counted = None
+def _filled_cells(tables: dict[str, DataFrame]) -> dict[str, tuple[int, list[int]]]:
+    """Rows of each candidate and filled cells of each of its columns, a row per table and task."""
+    counted = []
     for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        counted = one if counted is None else counted.unionByName(one)
-    return {r["table_name"]: r["n"] for r in counted.collect()}
+        filled = [
+            F.count_if(column(c).isNotNull() & (strip(column(c).cast("string")) != ""))
+            if kind == "text" else F.count(column(c))
+            for c, kind in kinds(df).items()
+        ]
+        cells = F.array(*filled) if filled else F.lit(None).cast("array<bigint>")
+        counted.append(df.agg(F.count(F.lit(1)).alias("n"), cells.alias("cells")).withColumn("name", F.lit(name)))
+    rows = reduce(DataFrame.unionByName, counted).collect()
+    return {r["name"]: (r["n"], r["cells"] or []) for r in rows}
 
 
-def _score(name: str, df: DataFrame, data_rows: int) -> tuple:
+def _score(name: str, df: DataFrame, data_rows: int, cells: list[int]) -> tuple:
     titled = [c for c in df.columns if not re.match(_NO_HEADER, c)]
-    head = first_rows(df, HEAD_ROWS - 1)
-    filled = [
-        F.count_if(column(c).isNotNull() & (strip(column(c).cast("string")) != "")).alias(f"c{i}")
-        for i, c in enumerate(df.columns)
-    ]
-    found = head.agg(F.count(F.lit(1)).alias("rows"), *filled).first()
-    per_column = [found[f"c{i}"] + (c in titled) for i, c in enumerate(df.columns)]
-    cells = (found["rows"] + 1) * len(df.columns)
-    density = sum(per_column) / cells if cells else 0.0
-    active = sum(1 for n in per_column if n)
-    header = len(titled) >= 3 or _text_row(df, head)
     rows = data_rows + 1
+    per_column = [n + (c in titled) for c, n in zip(df.columns, cells, strict=True)]
+    density = sum(per_column) / (rows * len(per_column)) if per_column else 0.0
+    active = sum(1 for n in per_column if n)
+    header = len(titled) >= 3 or _text_row(df)
     points = (
         _row_points(rows) + _column_points(active) + _density_points(density)
         + (25.0 if header else 0.0) + _name_points(name)
@@ -71,10 +69,10 @@ def _score(name: str, df: DataFrame, data_rows: int) -> tuple:
     return rows, active, round(density, 3), header, round(points, 6)
 
 
-def _text_row(df: DataFrame, head: DataFrame) -> bool:
+def _text_row(df: DataFrame) -> bool:
     """Whether one of the first four data rows opens with three texts."""
     by_kind = kinds(df)
-    for row in head.take(4):
+    for row in first_rows(df, 4).collect():
         values = [c for c in df.columns if row[c] is not None and str(row[c]).strip() != ""]
         if len(values) >= 3 and all(by_kind[c] == "text" for c in values[:3]):
             return True

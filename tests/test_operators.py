@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,25 @@ def test_hot_value_counts(spark):
     assert smallest_modes(df, ["t"]) == {"t": "hot"}
 
 
+def test_modes_of_long_texts_equal_brute_force(spark):
+    x, y, z = "x" * 80, "é" * 90, "x" * 79 + "w" * 30
+    columns = {
+        "one_long": [x, x, "short", y, None],
+        "tied_long": [y, y, x, x, z],
+        "short_and_long": [z, z, "a", "a", None],
+        "short_wins_not": ["z", "z", x, x, None],
+        "all_differ": [y, x, z, "y" * 70, None],
+        "no_value": [None] * 5,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} string" for c in columns))
+    wanted = {}
+    for c, values in columns.items():
+        counts = Counter(v for v in values if v is not None)
+        if counts:
+            wanted[c] = min(v for v, n in counts.items() if n == max(counts.values()))
+    assert smallest_modes(df.repartition(3), list(columns)) == wanted
+
+
 def test_first_values_of_sparse_columns(spark):
     df = spark.range(0, 20_000, 1, 16).select(
         "id", F.when(F.col("id") % 100 == 99, F.col("id")).alias("sparse"), F.lit(None).cast("string").alias("none")
