@@ -160,6 +160,9 @@ SELECT l_orderkey, round(l_discount * 100 / 100, 6) AS discount_pct FROM lineite
 ORACLES["parse_currencies"] = f"WITH {TYPED_SQL} SELECT order_id, amount FROM typed"
 ORACLES["parse_dates"] = """
 SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') AS TIMESTAMP) AS order_date FROM orders"""
+ORACLES["parse_datetimes"] = """
+SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 7 = 5 THEN date_trunc('day', ts)
+  ELSE date_trunc('second', ts) END::TIMESTAMP AS event_time FROM events"""
 ORACLES["parse_numbers"] = f"WITH {TYPED_SQL} SELECT order_id, units FROM typed"
 
 

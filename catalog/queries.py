@@ -203,6 +203,27 @@ def parse_dates(spark: SparkSession, folder: str) -> DataFrame:
     return orders.select("o_orderkey", parse.timestamp(text).alias("order_date"))
 
 
+@query
+def parse_datetimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Times of events with weekdays, clocks of 12 hours, zones and years of two digits."""
+    events = table(spark, folder, "events").select("event_id", "ts")
+    east = F.timestamp_add("MINUTE", F.lit(330), F.col("ts"))
+    west = F.timestamp_add("MINUTE", F.lit(-480), F.col("ts"))
+    texts = [
+        F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss 'GMT'"),
+        F.date_format("ts", "MM/dd/yy h:mm:ss a"),
+        F.date_format(east, "yyyy-MM-dd'T'HH:mm:ss'+05:30'"),
+        F.date_format(west, "EEEE, MMMM d, yyyy h:mm:ss a '-0800'"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.date_format("ts", "M-d-yy"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" o'clock")),
+    ]
+    text: Column = F.lit(None).cast("string")
+    for i, t in enumerate(texts):
+        text = F.when(F.col("event_id") % len(texts) == i, t).otherwise(text)
+    return events.select("event_id", parse.timestamp(text).alias("event_time"))
+
+
 @query
 def parse_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.parse_numbers(_marked(spark, folder).select("order_id", "units"), ["units"])

@@ -34,6 +34,18 @@ _MONTHS = [
     "sept?(ember)?", "oct(ober)?", "nov(ember)?", "dec(ember)?",
 ]
 
+# Other spellings by their parts: weekday, day, clock of 12 or 24 hours, zone. A year of two digits
+# follows strokes or dashes, so that version numbers stay text.
+_DAY = (
+    r"\d{4}[/-]\d{1,2}[/-]\d{1,2}|\d{1,2}[/-]\d{1,2}[/-]\d{2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+    r"|\d{1,2}[ -][a-z]{3,9}[ -]\d{4}|[a-z]{3,9} \d{1,2},? \d{4}"
+)
+_PARTS = (
+    r"(?i)^(?:(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?,? +)?"
+    rf"({_DAY})(?:(?:T|,? +)(\d{{1,2}})(?::([0-5]\d))?(?::([0-5]\d(?:\.\d{{1,9}})?))?"
+    r" *(?:([ap])\.?m\.?)?(?: *(z|utc|gmt|[+-]\d{2}:?[0-5]\d))?)?$"
+)
+
 
 def number(c: Column) -> Column:
     """Text to double. Only text of the right form is cast, for a failing cast is slow."""
@@ -72,10 +84,33 @@ def loose_number(c: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """Text to ``timestamp_ntz``: ISO text directly, other spellings rewritten to it first."""
+    """Text to ``timestamp_ntz``: ISO text directly, other spellings rewritten to it first, and
+    spellings with a weekday, ``AM`` or ``PM``, a zone or a short year by their parts. A time with a
+    zone becomes UTC; years of two digits lie from 1969 to 2068."""
     text = F.btrim(c, F.lit(WHITESPACE))
     iso = F.when(text.rlike(_ISO), text.try_cast("timestamp_ntz"))
-    return iso.when(text.rlike(_SPELLED), _other_spelling(text))
+    spelled = iso.when(text.rlike(_SPELLED), _other_spelling(text))
+    return spelled.when(text.rlike(_PARTS), F.transform(F.array(text), _by_parts)[0])
+
+
+def _by_parts(text: Column) -> Column:
+    day, hour, minute, second, half, zone = (F.regexp_extract(text, _PARTS, i) for i in range(1, 7))
+    for digits, century in (("[0-6][0-9]", 20), ("[7-9][0-9]", 19)):
+        if century == 20:
+            day = F.regexp_replace(day, r"^(?<d>\d{1,2}[/-]\d{1,2}[/-])69$", "${d}1969")
+        day = F.regexp_replace(day, rf"^(?<d>\d{{1,2}}[/-]\d{{1,2}}[/-])(?<y>{digits})$", f"${{d}}{century}${{y}}")
+    hours, halved = hour.try_cast("int"), half != ""
+    # twelve o'clock is the hour 0 of its half; without a half there must be minutes
+    hours = F.when(halved & hours.between(1, 12), hours % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)).when(
+        ~halved & (minute != "") & (hours < 24), hours
+    )
+    clock = hours * 3600 + F.coalesce(minute.try_cast("int"), F.lit(0)) * 60
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    ahead = F.substring(digits, 1, 2).try_cast("int") * 3600 + F.substring(digits, 3, 2).try_cast("int") * 60
+    offset = F.when(zone.startswith("-"), -ahead).when(zone.startswith("+"), ahead).otherwise(0)
+    micros = F.round(F.coalesce(second.try_cast("double"), F.lit(0.0)) * 1e6).cast("bigint")
+    shift = (clock - offset).cast("bigint") * 1_000_000 + micros
+    return F.timestamp_add("MICROSECOND", F.when(hour == "", F.lit(0).cast("bigint")).otherwise(shift), _other_spelling(day))
 
 
 def _other_spelling(text: Column) -> Column:

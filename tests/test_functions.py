@@ -98,3 +98,32 @@ def test_display(spark, value, role, symbol, shown, code):
     args = F.col("r"), F.col("s")
     row = df.select(format_kpi(F.col("v"), *args), number_format(*args)).first()
     assert tuple(row) == (shown, code)
+
+
+def test_dates_by_their_parts(spark):
+    at = datetime
+    wanted = {
+        "Mon, 5 Feb 2024 17:03:09 GMT": at(2024, 2, 5, 17, 3, 9),
+        "monday February 5, 2024 5 pm": at(2024, 2, 5, 17),
+        "02/05/24 12:00 AM": at(2024, 2, 5, 0, 0),
+        "2/5/24, 12:30:01.5 p.m.": at(2024, 2, 5, 12, 30, 1, 500_000),
+        "13/05/24": at(2024, 5, 13),
+        "1-2-68": at(2068, 1, 2),
+        "1-2-69": at(1969, 1, 2),
+        "1-2-99": at(1999, 1, 2),
+        "2024-02-05T23:30:00-08:00": at(2024, 2, 6, 7, 30),
+        "2024-02-05 01:00 +0530": at(2024, 2, 4, 19, 30),
+        "2024/2/5 7:05z": at(2024, 2, 5, 7, 5),
+        "Tue 2024-02-06": at(2024, 2, 6),
+        "2024-02-05 24:00 GMT": None,
+        "2024-02-05 13:00 PM": None,
+        "2024-02-05 0:10 am": None,
+        "2024-02-05 7": None,
+        "2024-02-30 07:00 GMT": None,
+        "30/30/24": None,
+        "1.2.34": None,
+        "Mondays 5 Feb 2024": None,
+        "5 Fob 2024 5 pm": None,
+        "": None,
+    }
+    assert dict(zip(wanted, values(spark, parse.timestamp, list(wanted)), strict=True)) == wanted
