@@ -195,6 +195,7 @@ SELECT * FROM (VALUES
 ) AS t(position, column_name, method)"""
 ORACLES["clean_table"] = f"""
 WITH {CLEANED_SQL} SELECT * REPLACE (round(share_pct, 6) AS share_pct) FROM cleaned"""
+ORACLES["distinct_documents"] = "SELECT DISTINCT text, lang, source FROM documents"
 _GAPS = " + ".join(f'count(*) - count("{n}")' for n in CLEAN_NAMES)
 ORACLES["cleaning_metrics"] = f"""
 WITH {CLEANED_SQL},

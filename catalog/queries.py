@@ -11,6 +11,7 @@ from catalog.inputs import TABLES, messy_orders, table, wide_cells
 from tabwise.functions import parse
 from tabwise.operators import charts, cleaning, eda, reporting, roles as role_ops
 from tabwise.operators.charts import ALL_ROWS, ChartLimits
+from tabwise.operators.duplicates import distinct_table
 from tabwise.operators.frames import kinds, local_frame, scratch_path, written
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.samples import first_values
@@ -241,6 +242,11 @@ def clean_table(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cleaned, share_pct=6)
 
 
+@query
+def distinct_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct_table(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
 @query
 def cleaning_metrics(spark: SparkSession, folder: str) -> DataFrame:
     _, audit = tw.clean(messy_orders(spark, folder))

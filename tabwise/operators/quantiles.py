@@ -1,26 +1,32 @@
-"""Exact quantiles of many columns without sorting or gathering any of them.
+"""Exact quantiles of many columns in two passes, without sorting or gathering any of them.
 
 The exact ``percentile`` aggregate keeps every distinct value of a column in one task, so it does
-not survive large data. Here each wanted rank is closed in on by counting: one job counts the
-values of every column in equal slices of the interval known to hold the rank and keeps each
-slice's smallest and largest value; the slice with the rank is the next interval. A slice is
-resolved when all its values are equal or the rank is its first or last. When few values are left,
-a slice is a single value, which ends the search. Every job is one pre-aggregated count, and only
-the slice counts reach the driver.
+not survive large data. Here a first pass keeps a quantile sketch of each column and task, whose
+merged form gives a lower and an upper bound of the value at each wanted rank. The second pass
+counts the values: those between the bounds each for itself, the others only by the gap between
+bounds that they lie in. What is between the bounds, a few thousandths of the column at most, is
+written once, and the ranks are closed in on there: one job counts it in equal slices and keeps
+each slice's smallest and largest value; the slice with the rank is the next interval. A slice is
+resolved when all its values are equal or the rank is its first or last. When few values are
+left, a slice is a single value, which ends the search. All jobs are pre-aggregated counts, and
+only gaps and slices reach the driver. Tables of few values need the last job only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwise.operators.frames import as_double, long_form
+from tabwise.operators.frames import as_double, long_form, written
 
 SLICES = 1024
 # Once the open intervals hold no more values than this in all, each value is its own slice.
 FEW_VALUES = 50_000
+# The sketch is off by n / ACCURACY ranks at most; the bounds leave twice that on both sides.
+ACCURACY = 5_000
 _LARGEST = 1.7976931348623157e308
 
 
@@ -58,6 +64,7 @@ def order_statistics(
     limits: dict[str, tuple[float, float]],
     slices: int = SLICES,
     few_values: int = FEW_VALUES,
+    accuracy: int = ACCURACY,
 ) -> dict[str, dict[int, float]]:
     """Values at the 0-based ranks ``wanted``, given each column's non-null count, min and max."""
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
@@ -70,7 +77,110 @@ def order_statistics(
                 found[name][r] = low
             else:
                 open_ranks.setdefault(name, {})[r] = whole
+    if not open_ranks:
+        return found
+    names = list(open_ranks)
+    cells = long_form(df, {c: as_double(df, c) for c in names}, numbered=True)
+    if sum(counts[c] for c in names) > few_values:
+        bounds = _bounds(cells, names, open_ranks, counts, accuracy)
+        inside, gaps = _between(cells, names, bounds)
+        for name, spans in gaps.items():
+            ranks = open_ranks[name]
+            for rank in list(ranks):
+                ranks[rank] = next(i for i in spans if rank < i.skipped + i.size)
+                if ranks[rank].low == ranks[rank].high:
+                    found[name][rank] = ranks.pop(rank).low
+        missed = {
+            c: {r: i for r, i in ranks.items() if (i.low, i.high) not in bounds[c]}
+            for c, ranks in open_ranks.items()
+        }
+        for name, ranks in missed.items():
+            for rank in ranks:
+                del open_ranks[name][rank]
+        # Outside the bounds a rank lies only if the sketch keeps less than it promises.
+        _close_in(cells.withColumn("n", F.lit(1)), names, missed, found, slices, few_values)
+        cells = inside
+    else:
+        cells = cells.withColumn("n", F.lit(1))
+    _close_in(cells, names, open_ranks, found, slices, few_values)
+    return found
+
 
+def _bounds(
+    cells: DataFrame, names: list[str], ranks: dict[str, Iterable[int]], counts: dict[str, int], accuracy: int
+) -> dict[str, list[tuple[float, float]]]:
+    """Disjoint ascending ``(low, high)`` of each column that hold its wanted ranks: one job."""
+    shares = {}
+    for c in names:
+        places = [r / max(1, counts[c] - 1) for r in ranks[c]]
+        shares[c] = [(max(0.0, p - 2.0 / accuracy), min(1.0, p + 2.0 / accuracy)) for p in places]
+    asked = sorted({p for pairs in shares.values() for pair in pairs for p in pair})
+    rows = (
+        cells.groupBy("column_number")
+        .agg(F.percentile_approx("value", asked, accuracy).alias("values"))
+        .collect()
+    )
+    bounds: dict[str, list[tuple[float, float]]] = {}
+    for row in rows:
+        name = names[row["column_number"]]
+        value = dict(zip(asked, row["values"], strict=True))
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted((value[a], value[b]) for a, b in shares[name]):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        bounds[name] = merged
+    return bounds
+
+
+def _between(
+    cells: DataFrame, names: list[str], bounds: dict[str, list[tuple[float, float]]]
+) -> tuple[DataFrame, dict[str, list[Interval]]]:
+    """``(column_number, value, n)`` of the values within bounds, written, and for each column the
+    intervals in and between its bounds in ascending order: one job over the table.
+
+    An interval has an odd number within bounds, an even one between them.
+    """
+    at, x = F.col("column_number"), F.col("value")
+    zone, most = F.lit(0), max(len(b) for b in bounds.values())
+    for turn in range(most):
+        chosen = [bounds[c][min(turn, len(bounds[c]) - 1)] for c in names]
+        low, high = (_constant([pair[i] for pair in chosen], at) for i in (0, 1))
+        number = _constant([2 * min(turn, len(bounds[c]) - 1) + 1 for c in names], at)
+        zone = F.when(x > high, number + 1).when(x >= low, number).otherwise(zone)
+    counted = written(
+        cells.withColumn("zone", zone)
+        .groupBy("column_number", "zone", F.when(F.col("zone") % 2 == 1, x).alias("within"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    rows = (
+        counted.groupBy("column_number", "zone")
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .collect()
+    )
+    gaps: dict[str, list[Interval]] = {}
+    for row in sorted(rows, key=lambda r: (r["column_number"], r["zone"])):
+        name = names[row["column_number"]]
+        spans = gaps.setdefault(name, [])
+        before = spans[-1].skipped + spans[-1].size if spans else 0
+        low, high = row["low"], row["high"]
+        if row["zone"] % 2 and low < high:
+            low, high = bounds[name][row["zone"] // 2]
+        spans.append(Interval(low, high, before, row["n"]))
+    inside = counted.filter("zone % 2 = 1").select("column_number", F.col("within").alias("value"), "n")
+    return inside, gaps
+
+
+def _close_in(
+    cells: DataFrame,
+    names: list[str],
+    open_ranks: dict[str, dict[int, Interval]],
+    found: dict[str, dict[int, float]],
+    slices: int,
+    few_values: int,
+) -> None:
+    """Find the open ranks among ``(column_number, value, n)`` cells, a job per round."""
     while any(open_ranks.values()):
         intervals = [
             (name, interval)
@@ -78,7 +188,7 @@ def order_statistics(
             for interval in sorted(set(ranks.values()), key=lambda i: i.low)
         ]
         few = sum(interval.size for _, interval in intervals) <= few_values
-        counted = _count_slices(df, intervals, None if few else slices)
+        counted = _count_slices(cells, names, intervals, None if few else slices)
         for number, (name, interval) in enumerate(intervals):
             parts = counted[number]
             for rank in [r for r, i in open_ranks[name].items() if i == interval]:
@@ -97,7 +207,6 @@ def order_statistics(
                     open_ranks[name][rank] = Interval(low, high, before, n, turned)
                     continue
                 del open_ranks[name][rank]
-    return found
 
 
 def _constant(values: list, index: Column) -> Column:
@@ -118,7 +227,9 @@ def _part(intervals: list[Interval], slices: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(slices - 1), part))
 
 
-def _count_slices(df: DataFrame, intervals: list, slices: int | None) -> dict[int, list[tuple]]:
+def _count_slices(
+    cells: DataFrame, names: list[str], intervals: list, slices: int | None
+) -> dict[int, list[tuple]]:
     """Per interval the ordered ``(count, min, max)`` of its non-empty slices: one job.
 
     Without ``slices`` every distinct value is a slice.
@@ -126,14 +237,13 @@ def _count_slices(df: DataFrame, intervals: list, slices: int | None) -> dict[in
     by_column: dict[str, list[int]] = {}
     for number, (name, _) in enumerate(intervals):
         by_column.setdefault(name, []).append(number)
-    cells = long_form(df, {c: as_double(df, c) for c in by_column}, numbered=True)
 
     at, x = F.col("column_number"), F.col("value")
     interval = F.lit(None).cast("int")
     for turn in range(max(len(numbers) for numbers in by_column.values())):
-        chosen = [numbers[min(turn, len(numbers) - 1)] for numbers in by_column.values()]
-        low = _constant([intervals[n][1].low for n in chosen], at)
-        high = _constant([intervals[n][1].high for n in chosen], at)
+        chosen = [by_column[c][min(turn, len(by_column[c]) - 1)] if c in by_column else None for c in names]
+        low = _constant([None if n is None else intervals[n][1].low for n in chosen], at)
+        high = _constant([None if n is None else intervals[n][1].high for n in chosen], at)
         interval = F.when((x >= low) & (x <= high), _constant(chosen, at)).otherwise(interval)
     cells = cells.withColumn("interval", interval).filter("interval IS NOT NULL")
 
@@ -141,7 +251,7 @@ def _count_slices(df: DataFrame, intervals: list, slices: int | None) -> dict[in
     rows = (
         cells.withColumn("part", part)
         .groupBy("interval", "part")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .collect()
     )
     counted: dict[int, list[tuple]] = {}
@@ -157,6 +267,7 @@ def exact_quantiles(
     limits: dict[str, tuple[float, float]],
     slices: int = SLICES,
     few_values: int = FEW_VALUES,
+    accuracy: int = ACCURACY,
 ) -> dict[str, list[float]]:
     """Linearly interpolated quantiles per column, from non-null counts and (min, max)."""
     wanted: dict[str, list[int]] = {}
@@ -164,7 +275,7 @@ def exact_quantiles(
         if n:
             places = [(n - 1) * p for p in probabilities]
             wanted[name] = [r for h in places for r in (math.floor(h), math.ceil(h))]
-    values = order_statistics(df, wanted, counts, limits, slices, few_values)
+    values = order_statistics(df, wanted, counts, limits, slices, few_values, accuracy)
     result = {}
     for name, n in counts.items():
         if not n:
