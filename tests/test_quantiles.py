@@ -21,7 +21,7 @@ COLUMNS = {
 
 
 @pytest.mark.parametrize(
-    ("slices", "few", "accuracy"), [(8, 20, 20), (1024, 50_000, 5_000), (2, 0, 100), (64, 500, 5_000)]
+    ("slices", "few", "accuracy"), [(8, 20, 20), (1024, 50_000, 8_000), (2, 0, 100), (64, 500, 8_000)]
 )
 def test_quantiles(spark, slices, few, accuracy):
     _compare(spark, slices, few, accuracy)
@@ -56,7 +56,7 @@ def test_two_passes_over_the_table(spark, monkeypatch):
     df = spark.range(100_000).selectExpr("double(id * 7 % 100000) AS x")
     got = exact_quantiles(df, [0.25, 0.5, 0.75], {"x": 100_000}, {"x": (0.0, 99_999.0)})
     assert got == {"x": [24_999.75, 49_999.5, 74_999.25]}
-    assert read and max(read) < 1_000
+    assert read and max(read) < 2_000
 
 
 def test_gaps_do_not_count(spark):
