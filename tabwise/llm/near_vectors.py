@@ -2,15 +2,16 @@
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
 coordinate of the largest size, with its sign. A table's bucket joins several such hashes, as many as
-make the buckets outnumber the vectors. Every vector lies in one bucket of each table, its own, and
+make the buckets outnumber the vectors; the more it joins, the more tables there are, by the share of random
+pairs at the threshold that meet in one table. Every vector lies in one bucket of each table, its own, and
 also looks into the buckets where its second-largest coordinates would put it. Buckets that hold a
 vector's own place and another entry are compared in blocks, by matrix products in double precision.
 A link is counted in the first bucket that shows it, so no pairs leave a task.
 
 Defined results: null, zero and non-finite vectors, and vectors with a null or non-finite component,
 link with nothing; vectors of different lengths are not compared; a null identifier links with nothing;
-equal vectors are compared once and counted as often as they occur; rows that share an identifier count
-as vectors of their own for n_links; an empty table gives an empty table; ties of coordinates go to the
+equal vectors are compared once and counted as often as they occur; rows that share an identifier are
+vectors of their own, each with the links and the component of its own vector; an empty table gives an empty table; ties of coordinates go to the
 first.
 """
 
@@ -28,6 +29,8 @@ from .blocks import grouped, labels
 from .common import Saved, components, pick
 
 TABLES, PROBES, BLOCK = 12, 7, 256
+#: Share of the links at the threshold itself, the hardest ones, that the tables are to show.
+RECALL = 0.999
 
 
 @lru_cache(maxsize=16)
@@ -86,6 +89,22 @@ def buckets(vectors: np.ndarray, width: int, tables: int = TABLES, probes: int =
     return out
 
 
+def tables_for(dim: int, width: int, threshold: float, probes: int = PROBES, recall: float = RECALL, pairs: int = 1000) -> int:
+    """So many tables show a pair of cosine `threshold` with probability `recall`: by random pairs, TABLES at least."""
+    if not -1 < threshold < 1 or dim < 2:
+        return TABLES
+    rng = np.random.default_rng(dim)
+    x, z = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (buckets(v, width, 4, probes) for v in (x, threshold * x + np.sqrt(1 - threshold**2) * z))
+    met = ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any(axis=2).mean()
+    if met >= recall:
+        return TABLES
+    return max(TABLES, int(np.ceil(np.log(1 - recall) / np.log1p(-max(met, 0.02)))))
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     flat = np.asarray(col.flatten(), np.float64)
     return flat.reshape(len(col), -1)
@@ -104,8 +123,11 @@ def _by_length(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, _matrix(col.take(pa.array(at)))
 
 
-def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each row of (vec_id, embedding)."""
+def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, tables: int | None = None, probes: int = PROBES, block: int = BLOCK, width: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), a row for each row of (vec_id, embedding).
+
+    The number of hashes joined (`width`, 6 at most) and of tables follow from the vectors if not given.
+    """
     saved = Saved(spark)
     rows = pick(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -113,12 +135,15 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, tabl
     valid = rows.filter(F.coalesce(fine, F.lit(False)))
     # equal vectors are one, with a weight
     digest = F.sha2(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ","), 256)
-    single = saved(valid.groupBy(digest.alias("digest")).agg(F.min("vec_id").alias("id"), F.first("embedding").alias("v"), F.count("*").alias("w")))
+    once = valid.groupBy(digest.alias("digest")).agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("v"), F.count("*").alias("w"))
+    single = saved(once.withColumn("id", F.monotonically_increasing_id()))  # unique, and fixed once written
     total, length = single.agg(F.count("*"), F.max(F.size("v"))).first()
     size = 2 * (1 << max((length or 1) - 1, 0).bit_length())
-    width = 1
-    while size**width < 4 * total and width < 6:
-        width += 1
+    if width is None:
+        width = 1
+        while size**width < 4 * total and width < 6:
+            width += 1
+    tables = tables or tables_for(length or 1, width, threshold, probes)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,10 +197,12 @@ def links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95, tabl
     found = saved(grouped(pairs, ["bucket", "i", "j"], verify, "id long, links long, root long"))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     connected = components(spark, found.select(F.col("id").alias("a"), F.col("root").alias("b")), saved)
-    classes = (
-        single.select("digest", "id", "w").join(counted, "id", "left").join(connected, F.col("node") == F.col("id"), "left")
-        .select("digest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    vectors_of = single.select("digest", "vec_id", "id", "w").join(counted, "id", "left").join(connected, F.col("node") == F.col("id"), "left").select(
+        "digest", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "id").alias("component")
     )
+    # partial minima go to the shuffle; the join is by a column that adaptive execution can split
+    least = vectors_of.groupBy("component").agg(F.min("vec_id").alias("c"))
+    classes = vectors_of.join(least, "component").select("digest", "n", "c")
     keyed = rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), digest).alias("digest"))
     return keyed.join(classes, "digest", "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"),

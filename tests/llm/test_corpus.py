@@ -420,6 +420,33 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.links(spark, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [5, 6])
+def test_near_vectors_of_wide_codes(spark, width):
+    """Buckets as narrow as those of large tables: the tables added keep the links at the threshold."""
+    rng = np.random.default_rng(width)
+    x, z = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9505 * x + np.sqrt(1 - 0.9505**2) * z
+    tables = near_vectors.tables_for(64, width, 0.95)
+    assert tables > near_vectors.TABLES
+    p, q = (near_vectors.buckets(v, width, tables) for v in (x, y))
+    assert ((p[:, :, :1] == q) | (q[:, :, :1] == p)).any(axis=(1, 2)).mean() >= 0.99
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x[:20], y[:20]]))]
+    got = near_vectors.links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), width=width)
+    assert got.filter("n_links = 1 and component_id = vec_id % 20").count() == 40
+
+
+def test_near_vectors_that_share_an_identifier(spark):
+    a, near, far = [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a), (1, far), (2, near), (3, far), (3, a), (4, [0.0, 1.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0, 1.0])]
+    got = near_vectors.links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 0, 4, True)
+    ]
+
+
 def test_components(spark):
     rng = random.Random(13)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
