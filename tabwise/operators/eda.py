@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabwise.functions.text import LONG_TEXT, grouping_key
 from tabwise.operators.frames import (
@@ -16,7 +16,7 @@ from tabwise.operators.frames import (
 from tabwise.operators.frequency import value_counts
 from tabwise.operators.profile import profile
 from tabwise.operators.quantiles import exact_quantiles
-from tabwise.operators.roles import as_roles
+from tabwise.operators.roles import as_roles, identifier_roles
 from tabwise.plans.measures import NumericStats, TableProfile
 from tabwise.plans.roles import ColumnRole
 
@@ -29,8 +29,9 @@ FEW_PAIRS = 300
 Quartiles = dict[str, list[float]]
 
 
-def numeric_columns(df: DataFrame, roles: list[ColumnRole]) -> list[str]:
-    """Numeric columns that are not identifiers."""
+def numeric_columns(df: DataFrame, roles: list[ColumnRole] | DataFrame | None) -> list[str]:
+    """Numeric columns that are not identifiers. Without roles only the identifiers are looked for."""
+    roles = identifier_roles(df) if roles is None else as_roles(df, roles)
     ids = {r.column_name for r in roles if r.role == "identifier"}
     return [c for c, k in kinds(df).items() if is_numeric(k) and c not in ids]
 
@@ -72,7 +73,7 @@ def describe_numeric(
     digits: int = 3,
 ) -> DataFrame:
     """Count, mean, deviation, quartiles, limits and skewness of each numeric column."""
-    names = numeric_columns(df, as_roles(df, roles))
+    names = numeric_columns(df, roles)
     measured = measured or profile(df, names, nulls=False)
     stats = {c: measured.numeric[c] for c in names if c in measured.numeric}
     parts = parts if parts is not None else quartiles(df, stats)
@@ -161,14 +162,20 @@ def correlations(
     measured: TableProfile | None = None,
 ) -> DataFrame:
     """Pearson correlation of every pair of varying numeric columns, over rows that have both."""
-    names = numeric_columns(df, as_roles(df, roles))
-    if measured is None or not set(names) <= set(measured.nulls):
+    names = numeric_columns(df, roles)
+    few = len(names) * (len(names) - 1) // 2 <= FEW_PAIRS
+    if measured is not None and set(names) <= set(measured.nulls):
+        ranges = {c: (s.mean, s.low, s.high) for c, s in measured.numeric.items()}
+    elif few:
         measured = profile(df, names)
-    stats = measured.numeric
-    varying = [c for c in names if c in stats and stats[c].low < stats[c].high]
+        ranges = {c: (s.mean, s.low, s.high) for c, s in measured.numeric.items()}
+    else:
+        ranges = _ranges(df, names)
+    varying = [c for c in names if c in ranges and ranges[c][1] < ranges[c][2]]
     pairs = [(a, b) for i, a in enumerate(varying) for b in varying[i + 1 :]]
-    few = len(pairs) <= FEW_PAIRS
-    found = (_correlate(df, pairs, measured) if few else _co_moments(df, varying, measured)) if pairs else {}
+    found = {}
+    if pairs:
+        found = _correlate(df, pairs, measured) if few else _co_moments(df, {c: ranges[c][0] for c in varying})
     rows = []
     if len(varying) >= 2:
         for a in varying:
@@ -224,31 +231,83 @@ def _shared_ratio(n: float, x: float, y: float, xx: float, yy: float, xy: float)
     return _ratio(xy - x * y / n, math.sqrt(spread[0] * spread[1]))
 
 
-def _co_moments(
-    df: DataFrame, names: list[str], measured: TableProfile
-) -> dict[tuple[str, str], float | None]:
+def _values(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns for `_matrix`. Only what NumPy can't read is converted: an expression for each
+    of many columns would make a method that the JVM doesn't compile."""
+    exact = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    return df.select(*[(as_double(df, c) if c in exact else column(c)).alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """A row per column of the batch; missing values are NaN."""
+    x = np.empty((batch.num_columns, batch.num_rows))
+    for i, c in enumerate(batch.columns):
+        if pa.types.is_boolean(c.type):
+            c = c.cast(pa.int8())
+        x[i] = c.to_numpy(zero_copy_only=False)
+    return x
+
+
+def _ranges(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
+    """Mean, least and greatest value of each of many columns that has any, in one scan: a task sends a
+    row per column."""
+    m = len(names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(m, np.int64), np.zeros(m)
+        low, high = np.full(m, np.inf), np.full(m, -np.inf)
+        for batch in batches:
+            x = _matrix(batch)
+            gap = np.isnan(x)
+            count += x.shape[1] - gap.sum(axis=1)
+            total += np.where(gap, 0.0, x).sum(axis=1)
+            low = np.fmin(low, np.fmin.reduce(x, axis=1, initial=np.inf))
+            high = np.fmax(high, np.fmax.reduce(x, axis=1, initial=-np.inf))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (np.arange(m), count, total, low, high)], names=["a", "n", "total", "low", "high"]
+        )
+
+    parts = _values(df, names).mapInArrow(add, "a long, n long, total double, low double, high double").filter("n > 0")
+    sums = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")]
+    rows = parts.groupBy("a").agg(*sums).collect()
+    return {names[r["a"]]: (r["total"] / r["n"], r["low"], r["high"]) for r in rows}
+
+
+def _co_moments(df: DataFrame, means: dict[str, float]) -> dict[tuple[str, str], float | None]:
     """Correlations of all pairs of many columns in one scan.
 
     A task adds up four matrices over its rows: per pair of columns how many rows have both, and over
     these the sums of the first value, of its square and of the product. Values are taken relative to
     the known means. Matrices of tasks are added entry by entry.
     """
-    stats, m = measured.numeric, len(names)
-    cells = [(as_double(df, c) - F.lit(stats[c].mean)).alias(f"c{i}") for i, c in enumerate(names)]
+    names, m = list(means), len(means)
+    offsets = np.array(list(means.values()))[:, None]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, m, m))
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            there = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
-            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+            with np.errstate(invalid="ignore"):
+                x = _matrix(batch) - offsets
+                gap = np.isnan(x)
+                x[gap] = 0.0
+                # over the rows of a column without gaps, the sums are those over all rows
+                at = np.flatnonzero(gap.any(axis=1))
+                there = (~gap[at]).astype(float)
+                held = x.shape[1] - gap.sum(axis=1)
+                both = np.minimum(held[:, None], held).astype(float)
+                both[np.ix_(at, at)] = there @ there.T
+                sums[0] += both
+                for k, y in ((1, x), (2, x * x)):
+                    over = np.repeat(y.sum(axis=1)[:, None], m, axis=1)
+                    over[:, at] = y @ there.T
+                    sums[k] += over
+                sums[3] += x @ x.T
         a, b = np.divmod(np.arange(m * m), m)
         yield pa.RecordBatch.from_arrays(
             [pa.array(a), pa.array(b), *(pa.array(s.ravel()) for s in sums)], names=["a", "b", "n", "x", "xx", "xy"]
         )
 
-    parts = df.select(*cells).mapInArrow(add, "a long, b long, n double, x double, xx double, xy double")
+    parts = _values(df, names).mapInArrow(add, "a long, b long, n double, x double, xx double, xy double")
     total = parts.groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in ("n", "x", "xx", "xy")])
     sums = {(r["a"], r["b"]): r for r in total.collect()}
     found = {}
@@ -327,7 +386,7 @@ def histograms(
 ) -> DataFrame:
     """Up to ten equal bins for every numeric column (or the first ``most``) with over two distinct values."""
     by_kind = kinds(df)
-    names = numeric_columns(df, as_roles(df, roles))[:most]
+    names = numeric_columns(df, roles)[:most]
     measured = measured or profile(df, names, nulls=False)
     stats = {
         c: measured.numeric[c]

@@ -24,6 +24,8 @@ PARTITION_BYTES = 64 * 1024 * 1024
 MOST_PARTITIONS = 30_000
 # From this many partitions on a table is large.
 LARGE_PARTITIONS = 64
+# Tables of more columns are wide: a method for all of them is too large for the JVM to compile.
+WIDE_COLUMNS = 40
 # Largest method, in bytes of byte code, that the JVM compiles.
 COMPILED_BYTES = 8000
 _PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -185,6 +187,25 @@ def tuned(df: DataFrame) -> Iterator[None]:
                 conf.set(name, value)
 
 
+@contextmanager
+def compiled(df: DataFrame) -> Iterator[None]:
+    """Generated methods of a pass over a wide table stay below the size up to which the JVM compiles
+    them; the setting is restored afterwards, and one that goes further is kept."""
+    conf = df.sparkSession.conf
+    before = conf.get(_METHOD_LIMIT, None)
+    if len(df.columns) <= WIDE_COLUMNS or int(before or COMPILED_BYTES + 1) <= COMPILED_BYTES:
+        yield
+        return
+    conf.set(_METHOD_LIMIT, str(COMPILED_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            conf.unset(_METHOD_LIMIT)
+        else:
+            conf.set(_METHOD_LIMIT, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New folder under the shared ``spark.checkpoint.dir``. A local session may have none set;
     on a cluster every executor must reach the folder, so there it has to be named."""
@@ -203,7 +224,8 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, "table")
     names = df.columns
-    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    with compiled(df):
+        df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
     return spark.read.parquet(path).toDF(*names)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.functions import parse
 from tabwise.functions.text import CURRENCY_CODES, LONG_TEXT, grouping_key, strip
-from tabwise.operators.frames import at_once, column, kinds, local_frame, long_form
+from tabwise.operators.frames import at_once, column, is_numeric, kinds, local_frame, long_form
 from tabwise.operators.frequency import distinct_counts
 from tabwise.operators.samples import first_values
 from tabwise.plans import vocabulary as v
@@ -191,6 +191,17 @@ def infer_roles(
     ]
 
 
+def identifier_roles(df: DataFrame) -> list[ColumnRole]:
+    """Roles of the numeric identifiers. Values are only looked at where the name leaves it open."""
+    by_kind = {c: k for c, k in kinds(df).items() if is_numeric(k)}
+    clear = [c for c in by_kind if v.matches(v.IDENTIFIER, v.name_form(c))]
+    open_ids = [c for c in by_kind if c not in clear and weak_identifier(c)]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    found = [decide_role(c, df.columns.index(c), by_kind[c], types[c], Evidence()) for c in clear]
+    found += infer_roles(df.select(*map(column, open_ids))) if open_ids else []
+    return [r for r in found if r.role == "identifier"]
+
+
 def detect_roles(
     df: DataFrame, sample_size: int | None = None, order_by: str | None = None
 ) -> DataFrame:

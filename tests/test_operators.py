@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabwise as tw
-from tabwise.operators import cleaning, eda, frames
+from tabwise.operators import cleaning, eda, frames, roles as role_ops
 from tabwise.operators.frequency import smallest_modes
 from tabwise.operators.profile import profile
 from tabwise.operators.samples import first_values
@@ -258,6 +258,37 @@ def test_many_columns(spark):
     assert tw.describe_numeric(wide).count() == 40
 
 
+def test_wide_correlations_equal_pandas(spark, monkeypatch):
+    """Values of wide tables are read for the correlations alone, not for the roles of all columns."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 1))
+    frame = pd.DataFrame(rng.normal(size=(400, 30)) + base * rng.normal(size=30), columns=[f"m{i}" for i in range(30)])
+    frame["m1"] += 1e7
+    for i in range(0, 30, 4):
+        frame.loc[i::5, f"m{i}"] = np.nan
+    frame["m8"] = frame["m8"].where(frame.index < 3)
+    frame["row_id"], frame["serial"], frame["flat"] = np.arange(400), np.arange(400), 1.0
+    df = spark.createDataFrame(frame).withColumns(
+        {
+            "whole": F.when(F.col("m4") > 0, F.col("row_id") % 7),
+            "yes": F.when(F.col("m5") > -1, F.col("m6") > 0),
+            "exact": F.col("m7").cast("decimal(20, 4)"),
+            "nothing": F.lit(None).cast("double"),
+        }
+    )
+    seen = []
+    evidence = role_ops.whole_evidence
+    monkeypatch.setattr(role_ops, "whole_evidence", lambda d, *a: seen.extend(d.columns) or evidence(d, *a))
+    got = {(r[0], r[1]): r[2] for r in tw.correlations(df).collect()}
+    assert seen == ["serial"]
+    local = df.drop("row_id", "serial", "flat", "nothing").toPandas().astype(float)
+    want = local.corr(min_periods=1)
+    assert set(got) == {(a, b) for a in local for b in local}
+    for a, b in got:
+        expected = 1.0 if a == b else 0.0 if math.isnan(want.loc[a, b]) else round(want.loc[a, b], 3)
+        assert got[a, b] == pytest.approx(expected, abs=0.0011), (a, b)
+
+
 def spec(kind, x, y=None, how="sum"):
     return ChartSpec("c", kind, "", x, y, how, "")
 
