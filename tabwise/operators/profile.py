@@ -31,9 +31,12 @@ def profile(df: DataFrame, columns: list[str] | None = None, nulls: bool = True)
 
     wanted = [F.count("value").alias("count")]
     if measured:
+        # Whole parts add up without rounding (to 2^53), and the rest is small: a plain sum of doubles
+        # depends on the order of the rows and is off by cents from some ten million rows on.
+        whole, value = F.rint("value"), F.col("value")
         wanted += [
-            F.sum("value").alias("total"),
-            F.avg("value").alias("mean"),
+            F.sum(whole).alias("whole"),
+            F.sum(F.when(whole == value, 0.0).otherwise(value - whole)).alias("rest"),
             F.stddev_samp("value").alias("std"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
@@ -49,10 +52,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, nulls: bool = True)
     for c in measured:
         if c in found:
             r = found[c]
+            total = r["whole"] + r["rest"]
             stats[c] = NumericStats(
                 count=r["count"],
-                total=r["total"],
-                mean=r["mean"],
+                total=total,
+                mean=total / r["count"],
                 std=r["std"] or 0.0,
                 low=r["low"],
                 high=r["high"],

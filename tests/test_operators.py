@@ -31,6 +31,19 @@ def test_profile_equals_pandas(spark):
         assert s.skewness == pytest.approx(frame[c].skew())
 
 
+def test_profile_totals_do_not_drift(spark):
+    rng = np.random.default_rng(4)
+    prices = np.round(rng.uniform(-1e8, 1e9, 300_000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"price": prices, "rate": prices / 1e12}))
+    for parts in (1, 7):
+        found = profile(df.repartition(parts)).numeric
+        assert found["price"].total == math.fsum(prices)
+        assert found["price"].mean == math.fsum(prices) / len(prices)
+        assert found["rate"].total == pytest.approx(math.fsum(prices / 1e12), rel=1e-12)
+    far = profile(spark.createDataFrame([(math.inf, -2.5), (1.0, 2.5)], "a double, b double")).numeric
+    assert (far["a"].total, far["a"].mean, far["b"].total) == (math.inf, math.inf, 0.0)
+
+
 def test_profile_of_little(spark):
     one = profile(spark.createDataFrame([(2.0, None)], "a double, b double"))
     assert (one.numeric["a"].std, one.numeric["a"].skewness, "b" in one.numeric) == (0.0, 0.0, False)
