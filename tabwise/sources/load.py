@@ -116,21 +116,33 @@ def load_csv(
     return infer_types(table)
 
 
-def _file_kinds(lines: DataFrame, sep: str | None, encoding: str | None, multi_line: bool | None) -> list[dict]:
-    """The kinds of files of a text scan: delimiter, encoding, whether quoted line breaks are likely, and,
-    where there are several kinds, their files. One pass over the lines."""
+def _file_headers(lines: DataFrame) -> DataFrame:
+    """Per file of a text scan: a hash of the header and its fields by delimiter, and what all lines say."""
     value = F.col("value")
-    place = F.struct("block", "id")
-    files = (
+    # the first line of a file has the least number in its first split; whatever is kept of it is a number,
+    # as texts among the aggregates would have all lines sorted by file
+    first = F.when(F.col("block") == 0, F.monotonically_increasing_id())
+
+    def of_header(x: Column) -> Column:
+        return F.min_by(F.when(F.col("block") == 0, x), "first")
+
+    return (
         lines_of(lines)
-        .withColumn("id", F.monotonically_increasing_id())
+        .withColumn("first", first)
         .groupBy("file")
         .agg(
-            F.min_by("value", place).alias("header"), F.bool_and(F.is_valid_utf8(value)).alias("valid"),
+            of_header(F.xxhash64(value)).alias("header"), F.bool_and(F.is_valid_utf8(value)).alias("valid"),
             F.max(odd_quotes(value)).alias("broken_lines"),
+            *[of_header(header_columns(value, d)).alias(f"split{i}") for i, d in enumerate(DELIMITERS)],
         )
     )
-    splits = [header_columns(F.col("header"), d) for d in DELIMITERS]
+
+
+def _file_kinds(lines: DataFrame, sep: str | None, encoding: str | None, multi_line: bool | None) -> list[dict]:
+    """The kinds of files of a text scan: delimiter, encoding, whether quoted line breaks are likely, and,
+    where there are several kinds, their files. One pass over the lines."""
+    files = _file_headers(lines)
+    splits = [F.col(f"split{i}") for i in range(len(DELIMITERS))]
     sniffed = F.lit(DELIMITERS[-1])
     for i in reversed(range(len(DELIMITERS) - 1)):
         most = F.greatest(*splits[i:])
@@ -141,7 +153,7 @@ def _file_kinds(lines: DataFrame, sep: str | None, encoding: str | None, multi_l
         (F.lit(sep) if sep else sniffed).alias("sep"),
         (F.lit(encoding) if encoding else charset).alias("encoding"),
         (F.col("broken_lines") if multi_line is None else F.lit(multi_line)).alias("broken_lines"),
-        F.xxhash64("header").alias("header"),
+        "header",
     )
     same = ["sep", "encoding", "broken_lines", "header"]
     found = each.groupBy(*same).agg(F.min("file").alias("first")).orderBy("first").collect()

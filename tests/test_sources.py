@@ -1,8 +1,11 @@
 """File checks, loading and typing."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tabwise as tw
+from tabwise.functions import parse
+from tabwise.sources import load
 from tabwise.sources.audit import Limits
 
 
@@ -139,6 +142,24 @@ def test_quoted_line_breaks_over_splits(spark, csv, tiny_splits):
     assert got == {int(i): (text, kind) for i, text, kind in rows}
 
 
+def test_no_cast_of_texts_that_are_no_whole_numbers(spark):
+    """A failing cast throws and catches an exception, which takes microseconds a cell."""
+    texts = [("12",), ("-7 ",), ("x1",), ("",), (None,), ("1.0",), ("99999999999999999999",)]
+    df = spark.createDataFrame(texts, "t string").select(parse.whole_number(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [12, -7, None, None, None, None, None]
+    assert "nullif" in df._jdf.queryExecution().logical().toString()
+
+
+def test_files_are_told_apart_without_sorting_lines(spark, csv, tmp_path):
+    csv("a.csv", "name,n\n" + "José,1\n" * 50)
+    csv("b.csv", "n;name\n" + "2;Zoë\n" * 50, "latin-1")
+    lines = spark.read.text(str(tmp_path))
+    kinds_of_files = load._file_kinds(lines, None, None, None)
+    assert [(k["sep"], k["encoding"]) for k in kinds_of_files] == [(",", "UTF-8"), (";", "ISO-8859-1")]
+    plan = load._file_headers(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_a_single_quote_in_a_cell_is_text(spark, csv, tiny_splits):
     lines = ["id,size,note", '1,5" pipe,a', '2,6,"two\nlines"'] + [f'{i},{i}" rod,plain' for i in range(3, 60)]
     rows = {r["id"]: r for r in tw.load_table(spark, csv("inch.csv", "\n".join(lines) + "\n"))[0].collect()}
