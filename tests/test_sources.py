@@ -1,5 +1,7 @@
 """File checks, loading and typing."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ import tabwise as tw
 from tabwise.functions import parse
 from tabwise.sources import load
 from tabwise.sources.audit import Limits
+from tabwise.sources.records import records
 
 
 def verdicts(spark, path, **limits):
@@ -142,6 +145,22 @@ def test_quoted_line_breaks_over_splits(spark, csv, tiny_splits):
     assert got == {int(i): (text, kind) for i, text, kind in rows}
 
 
+def test_lines_stay_where_they_are_read(spark, csv, tiny_splits, tmp_path):
+    """Lines are neither joined by a shuffle nor followed again for each use; only pieces are shuffled."""
+    rows = [f'{i},"line {i}\nof ""{i}""",x' for i in range(300)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    path = csv("many.csv", "\n".join(["id,text,kind", *rows]) + "\n")
+    table = tw.load_table(spark, path)[0]
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan
+    found = records(spark.read.text(path), ",").filter("NOT header")
+    assert found.count() == table.count() == 300
+    written = spark.read.parquet(*{os.path.dirname(f) for f in found.inputFiles()})
+    pieces = written.filter("c3 IS NOT NULL").count()
+    assert pieces <= 2 * spark.read.text(path).rdd.getNumPartitions() < 20
+    assert {r["id"]: r["text"] for r in table.collect()} == {i: f'line {i}\nof "{i}"' for i in range(300)}
+
+
 def test_no_cast_of_texts_that_are_no_whole_numbers(spark):
     """A failing cast throws and catches an exception, which takes microseconds a cell."""
     texts = [("12",), ("-7 ",), ("x1",), ("",), (None,), ("1.0",), ("99999999999999999999",)]
