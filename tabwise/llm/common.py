@@ -44,8 +44,10 @@ class Saved:
         return back
 
     def free(self) -> None:
-        """Let Spark remove the shuffle files of finished steps, which it does when their plans are collected."""
+        """Let go of finished steps: their plans on the driver, whose heap otherwise grows to its limit from
+        step to step, and with them the shuffle files, which Spark removes when the plans are collected."""
         gc.collect()
+        pa.default_memory_pool().release_unused()
         self.spark._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
@@ -126,7 +128,8 @@ def components(spark: SparkSession, edges: DataFrame, saved: Saved, most_rounds:
 
     Alternates large-star and small-star steps, each a grouped minimum over partial sums and a join
     that adaptive execution can split, so a hub of any degree is no single task. Every round is
-    written to the shared folder. Nodes without an edge are not returned. No edges: no rows.
+    written to the shared folder, and the driver lets go of its plans. Nodes without an edge are not
+    returned. No edges: no rows.
     """
     now = saved(
         edges.filter("a <> b")
@@ -142,7 +145,8 @@ def components(spark: SparkSession, edges: DataFrame, saved: Saved, most_rounds:
             F.bit_xor(F.xxhash64("lo", "hi")).alias("x"),
         ).first()
         saved.drop(now)
-        now = small
+        now, large, small = small, None, None
+        saved.free()
         if state == before:
             break
         before = state

@@ -248,13 +248,16 @@ def near_classes(
     if not shared.isEmpty():  # equal rows under one identifier would come into a block together
         texts = texts.join(shared, "doc_id", "left_anti").unionByName(texts.join(shared, "doc_id", "left_semi").dropDuplicates())
 
+    saved.free()
     shortest = prefix_length(threshold, trees, deepest, target)
     edges = forest(single.select("node", "signature"), saved, trees, deepest, shortest)
     level, clusters, found = deepest, None, []
     while True:
         earlier = clusters
         clusters = components(spark, edges.filter(F.col("level") >= level).select("a", "b"), saved).withColumnRenamed("component", "cluster")
+        saved.free()
         found.append(_compare(spark, saved, single, texts, clusters, earlier, threshold, block))
+        saved.free()
         least = min((x for f in found if (x := f.agg(F.min("least")).first()[0]) is not None), default=threshold)
         wanted = prefix_length(max(threshold, least - margin), trees, deepest, target)
         if wanted >= level:
