@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,16 +126,13 @@ def text_of(col: pa.Array) -> list[str]:
 def components(spark: SparkSession, edges: DataFrame, saved: Saved, most_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a grouped minimum over partial sums and a join
-    that adaptive execution can split, so a hub of any degree is no single task. Every round is
-    written to the shared folder, and the driver lets go of its plans. Nodes without an edge are not
-    returned. No edges: no rows.
+    Alternates large-star and small-star steps. Before each round, tasks replace the edges of a block by a
+    star around the smallest node of each component there, so that the rows of a node are no more than the
+    blocks that hold it; a large step is a grouped minimum over partial sums and a join that adaptive
+    execution can split, so a hub of any degree is no single task. Every round is written to the shared
+    folder, and the driver lets go of its plans. Nodes without an edge are not returned. No edges: no rows.
     """
-    now = saved(
-        edges.filter("a <> b")
-        .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        .distinct()
-    )
+    now = saved(contracted(edges))
     before = None
     for _ in range(most_rounds):
         large = _star(now, larger=True)
@@ -145,30 +142,66 @@ def components(spark: SparkSession, edges: DataFrame, saved: Saved, most_rounds:
             F.bit_xor(F.xxhash64("lo", "hi")).alias("x"),
         ).first()
         saved.drop(now)
-        now, large, small = small, None, None
+        large = now = None
         saved.free()
         if state == before:
             break
-        before = state
+        before, now = state, saved(contracted(small.toDF("a", "b")))
+        saved.drop(small)
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
-        now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )
+    out = saved(small.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        small.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+    ))
+    saved.drop(small)
+    return out
+
+
+def contracted(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(a, b) -> (lo, hi): in each block of a task, the smallest node of each component with the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= block:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate([np.asarray(table["a"]), np.asarray(table["b"])]), return_inverse=True)
+        up = smallest(len(nodes), at[: len(table)], at[len(table) :])
+        others = np.flatnonzero(up != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[up[others]]), pa.array(nodes[others])], names=["lo", "hi"])
+
+    return edges.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "lo long, hi long")
+
+
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to n - 1, the smallest node that the links a-b connect it to."""
+    up = np.arange(n)
+    while len(a):
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """One step: link neighbours to the smallest node around; large: the larger neighbours only."""
-    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    if larger:
-        both = both.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    if not larger:
+        around = Window.partitionBy("hi").orderBy("lo")
+        seen = edges.select("lo", "hi", F.first("lo").over(around).alias("m"), F.lag("lo").over(around).alias("last"))
+        # the first row links the node itself, the others its further neighbours
+        return seen.filter("last is null or last <> lo").select(F.col("m").alias("lo"), F.expr("if(last is null, hi, lo)").alias("hi"))
+    both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = both.join(least, "u")
-    if larger:
-        out = linked.filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        # the node itself stays linked to its minimum
-        out = out.unionByName(least.filter("m < u").select(F.col("m").alias("lo"), F.col("u").alias("hi")))
-    else:
-        out = linked.filter("v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        out = out.unionByName(least.filter("m < u").select(F.col("m").alias("lo"), F.col("u").alias("hi")))
-    return out.filter("lo < hi").distinct()
+    # the node itself stays linked to its minimum
+    return both.join(least, "u").select(F.col("m").alias("lo"), F.expr("case when v > u then v when v = m then u end").alias("hi")).filter("hi is not null")

@@ -251,6 +251,7 @@ def near_classes(
     saved.free()
     shortest = prefix_length(threshold, trees, deepest, target)
     edges = forest(single.select("node", "signature"), saved, trees, deepest, shortest)
+    saved.free()
     level, clusters, found = deepest, None, []
     while True:
         earlier = clusters
@@ -267,6 +268,7 @@ def near_classes(
     linked = reduce(DataFrame.unionByName, found)
     counted = linked.groupBy("node").agg(F.sum("links").alias("links"))
     connected = components(spark, linked.select(F.col("node").alias("a"), F.col("root").alias("b")), saved)
+    saved.free()
     texts_of = single.select("digest", "doc_id", "w", "node").join(counted, "node", "left").join(connected, "node", "left").select(
         "digest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "node").alias("c"), F.col("doc_id").alias("t")
     )
