@@ -128,9 +128,9 @@ def components(spark: SparkSession, edges: DataFrame, saved: Saved, most_rounds:
 
     Alternates large-star and small-star steps. Before each round, tasks replace the edges of a block by a
     star around the smallest node of each component there, so that the rows of a node are no more than the
-    blocks that hold it; a large step is a grouped minimum over partial sums and a join that adaptive
-    execution can split, so a hub of any degree is no single task. Every round is written to the shared
-    folder, and the driver lets go of its plans. Nodes without an edge are not returned. No edges: no rows.
+    blocks that hold it; a large step is a grouped minimum over partial sums and a join by the node, which
+    brings the links of a hub, two numbers each, to one task. Every round is written to the shared folder,
+    and the driver lets go of its plans. Nodes without an edge are not returned. No edges: no rows.
     """
     now = saved(contracted(edges))
     before = None
